@@ -18,7 +18,7 @@ from ..functions import text as X
 from ..operators.html import html_to_text
 from ..operators.parse import parse_mail
 from ..session import table
-from ..sources.synthetic import SENDER_PAIRS, MISMATCH_KEYS, mail_body, subject_text, synthetic_mail, with_page_urls
+from ..sources.synthetic import MISMATCH_KEYS, SENDER_PAIRS, mail_body, synthetic_mail, with_page_urls
 from . import oracle as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,252 @@ def q_parse_mail(spark: SparkSession, sf: str) -> DataFrame:
     raw = synthetic_mail(table(spark, sf, "documents"), table(spark, sf, "pages"), table(spark, sf, "labels"))
     p = parse_mail(raw)
     return p.select("doc_id", "label", "subject", "body", "mismatch", "parse_error")
+
+
+# ------------------------------------------------------------------ corpus
+
+def _corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as a flattened mail corpus: folder = source (list order = its
+    number), subdir by language, basename = n_chars (so names clash), class
+    from the toxic label."""
+    d = table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    lab = table(spark, sf, "labels").select("doc_id", "toxic")
+    d = d.join(lab, "doc_id", "left")
+    subdir = F.when(F.col("lang").isin("en", "de"), F.lit("cur")).otherwise(F.lit("new"))
+    ord_ = F.regexp_extract("source", "[0-9]+", 0).cast("int")
+    return d.select(
+        F.when(F.col("toxic") == 1, F.lit("bad")).otherwise(F.lit("good")).alias("class"),
+        F.col("n_chars").cast("string").alias("basename"),
+        F.col("source").alias("folder"), ord_.alias("ord"), subdir.alias("subdir"), "lang",
+        F.concat_ws("/", "source", subdir, F.concat(F.col("n_chars").cast("string"), F.lit("."),
+                                                    F.col("doc_id").cast("string"))).alias("path"),
+        F.octet_length("text").cast("long").alias("length"),
+        (F.lit(1704067200) + ord_ * 86400 + F.pmod(F.col("n_chars") * 7919, F.lit(86400))).cast("long").alias("mtime"),
+    )
+
+
+_CORPUS_SQL = """
+(SELECT CASE WHEN l.toxic = 1 THEN 'bad' ELSE 'good' END AS class,
+        CAST(d.n_chars AS VARCHAR) AS basename, d.source AS folder,
+        CAST(regexp_extract(d.source, '[0-9]+', 0) AS INTEGER) AS ord,
+        CASE WHEN d.lang IN ('en', 'de') THEN 'cur' ELSE 'new' END AS subdir, d.lang,
+        d.source || '/' || (CASE WHEN d.lang IN ('en', 'de') THEN 'cur' ELSE 'new' END) || '/' ||
+          CAST(d.n_chars AS VARCHAR) || '.' || CAST(d.doc_id AS VARCHAR) AS path,
+        CAST(octet_length(encode(d.text)) AS BIGINT) AS length,
+        CAST(1704067200 + CAST(regexp_extract(d.source, '[0-9]+', 0) AS INTEGER) * 86400
+             + (d.n_chars * 7919) % 86400 AS BIGINT) AS mtime
+ FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
+"""
+
+
+@register("keep_last", f"""
+SELECT class, basename, folder, ord, subdir, lang, path, length, mtime FROM (
+  SELECT *, row_number() OVER (PARTITION BY class, basename ORDER BY ord DESC, subdir, path) AS rn
+  FROM {_CORPUS_SQL} c) WHERE rn = 1
+""")
+def q_keep_last(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.corpus import keep_last
+
+    return keep_last(_corpus(spark, sf))
+
+
+@register("manifest", f"""
+SELECT class, basename, length, mtime FROM (
+  SELECT *, row_number() OVER (PARTITION BY class, basename ORDER BY ord DESC, subdir, path) AS rn
+  FROM {_CORPUS_SQL} c) WHERE rn = 1 ORDER BY class, basename
+""")
+def q_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.corpus import keep_last, manifest
+
+    return manifest(keep_last(_corpus(spark, sf)), mtime="mtime")
+
+
+@register("manifest_diff", f"""
+WITH o AS (SELECT class, basename, length AS old_length, mtime AS old_mtime FROM (
+    SELECT *, row_number() OVER (PARTITION BY class, basename ORDER BY ord ASC, subdir, path) AS rn
+    FROM {_CORPUS_SQL} c WHERE lang <> 'de') WHERE rn = 1),
+ n AS (SELECT class, basename, length AS new_length, mtime AS new_mtime FROM (
+    SELECT *, row_number() OVER (PARTITION BY class, basename ORDER BY ord DESC, subdir, path) AS rn
+    FROM {_CORPUS_SQL} c WHERE lang <> 'es') WHERE rn = 1)
+SELECT coalesce(o.class, n.class) AS class, coalesce(o.basename, n.basename) AS basename,
+       old_length, old_mtime, new_length, new_mtime,
+       CASE WHEN old_length IS NULL THEN 'added' WHEN new_length IS NULL THEN 'removed'
+            WHEN old_length <> new_length OR old_mtime <> new_mtime THEN 'changed' ELSE 'unchanged' END AS status
+FROM o FULL OUTER JOIN n ON o.class = n.class AND o.basename = n.basename
+""")
+def q_manifest_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Old snapshot: before the German mail arrived, earliest folder kept;
+    new snapshot: without the Spanish mail, latest folder kept."""
+    from ..operators.corpus import keep_last, manifest, manifest_diff
+
+    c = _corpus(spark, sf)
+    old = manifest(keep_last(c.filter(F.col("lang") != "de").withColumn("ord", -F.col("ord"))), mtime="mtime")
+    new = manifest(keep_last(c.filter(F.col("lang") != "es")), mtime="mtime")
+    return manifest_diff(old, new)
+
+
+@register("corpus_counts", """
+SELECT label, count(*) AS files, count(*) AS processed, CAST(0 AS BIGINT) AS errors FROM (
+  SELECT 0 AS label FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1
+  UNION ALL
+  SELECT 1 AS label FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic = 1)
+GROUP BY label
+""")
+def q_corpus_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """S3 + P6: good list = quality documents, bad list = toxic ones (a document
+    on both lists is parsed twice), parse, count per class."""
+    from ..operators.parse import parse_counts
+    from ..sources.mail import load_corpus
+
+    mail = synthetic_mail(table(spark, sf, "documents"), table(spark, sf, "pages")).drop("label")
+    lab = table(spark, sf, "labels")
+    good = mail.join(lab.filter(F.col("quality") == 1).select("doc_id"), "doc_id", "left_semi")
+    bad = mail.join(lab.filter(F.col("toxic") == 1).select("doc_id"), "doc_id", "left_semi")
+    parsed = parse_mail(load_corpus(good, bad))
+    return parse_counts(parsed, "label")
+
+
+# ------------------------------------------------------------------ metadata vectors
+
+def _event_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").try_cast("double")
+    v, u = F.col("value"), F.col("user_id").cast("double")
+    null = F.lit(None).cast("double")
+    arr = (F.when(F.col("event_type") == "view", F.array(v))
+           .when(F.col("event_type") == "click", F.array(v, null, u))
+           .when(F.col("event_type") == "purchase", F.array(v, u, k, v * 2))
+           .when(F.col("event_type") == "signup", F.array().cast("array<double>"))
+           .otherwise(F.array(null)))
+    return e.select("event_id", arr.alias("metadata_features"))
+
+
+_EVENT_ARRAYS_SQL = """
+(SELECT event_id, CASE event_type
+    WHEN 'view' THEN [value]
+    WHEN 'click' THEN [value, NULL, CAST(user_id AS DOUBLE)]
+    WHEN 'purchase' THEN [value, CAST(user_id AS DOUBLE), TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), value * 2]
+    WHEN 'signup' THEN []::DOUBLE[]
+    ELSE [NULL]::DOUBLE[] END AS metadata_features FROM events)
+"""
+
+
+def _vec_text(c):
+    return F.array_join(F.transform(c, lambda x: F.format_string("%.4f", x)), ",")
+
+
+def _vec_text_sql(e: str) -> str:
+    return f"array_to_string(list_transform({e}, lambda x: printf('%.4f', x)), ',')"
+
+
+@register("metadata_width", f"""
+SELECT CAST(coalesce(max(len(list_filter(metadata_features, lambda x: x IS NOT NULL))), 0) AS INTEGER) AS m
+FROM {_EVENT_ARRAYS_SQL} a
+""")
+def q_metadata_width(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.features import metadata_width
+
+    return metadata_width(_event_arrays(spark, sf))
+
+
+@register("fit_width", f"""
+WITH a AS {_EVENT_ARRAYS_SQL},
+ w AS (SELECT coalesce(max(len(list_filter(metadata_features, lambda x: x IS NOT NULL))), 0) AS m FROM a)
+SELECT event_id, CAST(w.m AS INTEGER) AS width,
+       {_vec_text_sql("list_resize(list_filter(metadata_features, lambda x: x IS NOT NULL), w.m, 0.0)")} AS vec_text
+FROM a, w
+""")
+def q_fit_width(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.features import standardise_metadata
+
+    s = standardise_metadata(_event_arrays(spark, sf), "metadata_features", out="vec")
+    return s.select("event_id", F.size("vec").alias("width"), _vec_text(F.col("vec")).alias("vec_text"))
+
+
+def _event_json(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    v = F.format_string("%.2f", "value")
+    u = F.col("user_id").cast("string")
+    j = (F.when(F.col("event_type") == "view", F.col("props"))
+         .when(F.col("event_type") == "click", F.concat(F.lit("["), v, F.lit(", "), u, F.lit("]")))
+         .when(F.col("event_type") == "purchase", F.concat(F.lit('["'), v, F.lit('"]')))
+         .when(F.col("event_type") == "signup", F.concat(F.lit("["), v, F.lit(", null]")))
+         .otherwise(F.concat(F.lit('["x'), u, F.lit('"]'))))
+    return e.select("event_id", j.alias("metadata_json"))
+
+
+@register("parse_metadata", f"""
+WITH j AS (SELECT event_id, CASE event_type
+    WHEN 'view' THEN props
+    WHEN 'click' THEN '[' || printf('%.2f', value) || ', ' || CAST(user_id AS VARCHAR) || ']'
+    WHEN 'purchase' THEN '["' || printf('%.2f', value) || '"]'
+    WHEN 'signup' THEN '[' || printf('%.2f', value) || ', null]'
+    ELSE '["x' || CAST(user_id AS VARCHAR) || '"]' END AS metadata_json FROM events),
+ p AS (SELECT event_id, from_json(metadata_json, '["VARCHAR"]') AS raw FROM j),
+ n AS (SELECT event_id, raw, list_transform(raw, lambda x: TRY_CAST(x AS DOUBLE)) AS nums FROM p)
+SELECT event_id, {_vec_text_sql(
+    "CASE WHEN raw IS NULL OR list_bool_or(list_transform(nums, lambda x: x IS NULL)) THEN [0.0, 0.0, 0.0] "
+    "ELSE list_resize(nums, 3, 0.0) END")} AS vec_text
+FROM n
+""")
+def q_parse_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    from ..functions.vectors import parse_metadata
+
+    j = _event_json(spark, sf)
+    return j.select("event_id", _vec_text(parse_metadata("metadata_json", 3)).alias("vec_text"))
+
+
+# ------------------------------------------------------------------ features
+
+@register("mean_pool", """
+SELECT label, dim, round(sum(v * m) / greatest(sum(m), 1e-9), 6) AS pooled FROM (
+  SELECT label, CASE WHEN vec_id % 3 <> 0 THEN 1.0 ELSE 0.0 END AS m,
+         CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
+GROUP BY label, dim
+""")
+def q_mean_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """A3 with mask = vec_id mod 3 ≠ 0 (the mask plays the attention mask)."""
+    from ..operators.features import mean_pool_long
+
+    e = table(spark, sf, "embeddings")
+    mask = F.when(F.pmod("vec_id", F.lit(3)) != 0, 1.0).otherwise(0.0)
+    p = mean_pool_long(e, "label", "embedding", mask)
+    return p.select("label", "dim", F.round("pooled", 6).alias("pooled"))
+
+
+@register("class_weights", """
+SELECT label, n_c, round(sum(n_c) OVER () / (count(*) OVER () * n_c), 9) AS weight FROM (
+  SELECT toxic AS label, count(*) AS n_c FROM labels GROUP BY toxic)
+""")
+def q_class_weights(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.features import class_weights
+
+    w = class_weights(table(spark, sf, "labels").withColumnRenamed("toxic", "label"))
+    return w.select("label", "n_c", F.round("weight", 9).alias("weight"))
+
+
+def _coef(i):
+    """Fixed test coefficients by position: ((i mod 7) − 3) / 10."""
+    return (F.pmod(i, F.lit(7)) - 3) / 10.0
+
+
+@register("assemble_score", """
+WITH f AS (SELECT e.vec_id, list_concat(CAST(e.embedding AS DOUBLE[]), [d.n_chars / 10000.0]) AS features
+           FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
+ s AS (SELECT vec_id, 1.0 / (1.0 + exp(-(list_sum(list_transform(features,
+          lambda x, i: x * (((i - 1) % 7) - 3) / 10.0)) + 0.1))) AS score FROM f)
+SELECT vec_id, round(score, 6) AS score, printf('%.4f', score) AS score_text FROM s
+""")
+def q_assemble_score(spark: SparkSession, sf: str) -> DataFrame:
+    """J2 + X9 + E3 with fixed coefficients: embedding ‖ [n_chars/10⁴] of the record with the same id."""
+    from ..functions.scoring import format_score
+    from ..functions.vectors import assemble
+    from ..operators.features import join_embeddings
+
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    d = table(spark, sf, "documents").select("doc_id", F.array(F.col("n_chars") / 10000.0).alias("metadata"))
+    f = join_embeddings(d, e, "doc_id").select(F.col("doc_id").alias("vec_id"),
+                                                assemble("embedding", "metadata").alias("features"))
+    dot = F.aggregate(F.transform("features", lambda x, i: x * _coef(i)), F.lit(0.0), lambda a, v: a + v)
+    s = F.lit(1.0) / (F.lit(1.0) + F.exp(-(dot + F.lit(0.1))))
+    return f.select("vec_id", F.round(s, 6).alias("score"), format_score(s).alias("score_text"))
