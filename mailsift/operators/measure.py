@@ -28,7 +28,9 @@ def status_counts(df: DataFrame) -> DataFrame:
 def score_histogram(df: DataFrame, text_col: str = "score_text", bins: int = 20) -> DataFrame:
     """Counts per bin ``floor(score * bins)`` (a score of exactly 1 joins the last bin)."""
     width = 10000 // bins
-    b = F.least(F.floor(score_units(text_col) / width), F.lit(bins - 1)).cast("int")
+    u = score_units(text_col)
+    # least() skips nulls, so invalid texts must stay null explicitly
+    b = F.when(u.isNotNull(), F.least(F.floor(u / width), F.lit(bins - 1))).cast("int")
     return (df.select(b.alias("bin")).filter(F.col("bin").isNotNull())
             .groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
             .withColumn("lo", F.round(F.col("bin") / F.lit(bins), 4))

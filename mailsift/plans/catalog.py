@@ -365,3 +365,190 @@ def q_assemble_score(spark: SparkSession, sf: str) -> DataFrame:
     dot = F.aggregate(F.transform("features", lambda x, i: x * _coef(i)), F.lit(0.0), lambda a, v: a + v)
     s = F.lit(1.0) / (F.lit(1.0) + F.exp(-(dot + F.lit(0.1))))
     return f.select("vec_id", F.round(s, 6).alias("score"), format_score(s).alias("score_text"))
+
+
+# ------------------------------------------------------------------ verdicts, tagging, routing
+
+def _event_scores(e: DataFrame) -> DataFrame:
+    """Score texts derived from events: value/500 (error events: value/100, so
+    some exceed 1 → invalid); signup events stand for a failed parse below a
+    value of 50 (fallback 0.5000, E5) and for an empty reply from 300 on."""
+    from ..functions.scoring import score_text
+
+    raw = F.when(F.col("event_type") == "error", F.col("value") / 100.0).otherwise(F.col("value") / 500.0)
+    failed = (F.col("event_type") == "signup") & (F.col("value") < 50)
+    empty = (F.col("event_type") == "signup") & (F.col("value") >= 300)
+    txt = F.when(empty, F.lit("")).otherwise(score_text(raw, failed))
+    return e.select("event_id", "event_type", F.encode("props", "UTF-8").alias("content"), txt.alias("score_text"))
+
+
+_EVENT_SCORES_SQL = """
+(SELECT event_id, event_type, props,
+   CASE WHEN event_type = 'signup' AND value >= 300 THEN ''
+        WHEN event_type = 'signup' AND value < 50 THEN '0.5000'
+        WHEN event_type = 'error' THEN printf('%.4f', value / 100.0)
+        ELSE printf('%.4f', value / 500.0) END AS score_text
+ FROM events)
+"""
+
+_VERDICT_SQL = f"""
+(SELECT *, CASE WHEN error IS NOT NULL THEN 'Error' WHEN s >= 0.5 THEN 'Yes' ELSE 'No' END AS status,
+        CASE WHEN error IS NOT NULL THEN NULL WHEN s >= 0.5 THEN 'spam' ELSE 'ham' END AS folder
+ FROM (SELECT *, CASE WHEN score_text = '' THEN 'empty response'
+                      WHEN TRY_CAST(score_text AS DOUBLE) IS NULL OR TRY_CAST(score_text AS DOUBLE) < 0
+                        OR TRY_CAST(score_text AS DOUBLE) > 1 THEN 'invalid score: ' || score_text END AS error,
+              TRY_CAST(score_text AS DOUBLE) AS s
+       FROM {_EVENT_SCORES_SQL} e))
+"""
+
+
+def _tagged_events(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
+    from ..operators.route import tag_headers, with_verdict
+
+    e = table(spark, sf, "events") if events is None else events
+    v = with_verdict(_event_scores(e), "score_text", 0.5)
+    t = tag_headers(v, "content", 0.5)
+    return t.select("event_id", "score_text", "status", "folder", "error",
+                    F.decode("tagged", "UTF-8").alias("tagged"))
+
+
+_TAG_SQL = f"""
+SELECT event_id, score_text, status, folder, error,
+  (CASE WHEN error IS NOT NULL
+        THEN 'X-Spam-Status: Error, score=0.0000, threshold=0.5000, error="' || error || '"' || chr(10)
+             || 'X-Spam-Score: 0.0000' || chr(10)
+        ELSE 'X-Spam-Status: ' || status || ', score=' || printf('%.4f', s) || ', threshold=0.5000' || chr(10)
+             || 'X-Spam-Score: ' || printf('%.4f', s) || chr(10) END) || props AS tagged
+FROM {_VERDICT_SQL} v
+"""
+
+
+@register("tag_headers", _TAG_SQL)
+def q_tag_headers(spark: SparkSession, sf: str) -> DataFrame:
+    return _tagged_events(spark, sf)
+
+
+@register("route_counts", f"""
+SELECT status, folder, count(*) AS n FROM {_VERDICT_SQL} v GROUP BY status, folder
+""")
+def q_route_counts(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.measure import status_counts
+    from ..operators.route import with_verdict
+
+    return status_counts(with_verdict(_event_scores(table(spark, sf, "events")), "score_text", 0.5))
+
+
+# ------------------------------------------------------------------ shadow-mode statistics (A5)
+
+@register("score_histogram", f"""
+SELECT bin, count(*) AS n, round(bin / 20.0, 4) AS lo, round((bin + 1) / 20.0, 4) AS hi FROM (
+  SELECT least(CAST(floor(CAST(replace(score_text, '.', '') AS INTEGER) / 500) AS INTEGER), 19) AS bin
+  FROM {_VERDICT_SQL} v WHERE error IS NULL)
+GROUP BY bin
+""")
+def q_score_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.measure import score_histogram
+
+    return score_histogram(_event_scores(table(spark, sf, "events")), "score_text", 20)
+
+
+@register("threshold_sweep", f"""
+WITH s AS (SELECT CAST(floor(CAST(replace(score_text, '.', '') AS INTEGER) / 500) AS INTEGER) AS bin,
+                  event_type = 'purchase' AS pos
+           FROM {_VERDICT_SQL} v WHERE error IS NULL),
+ g AS (SELECT range AS k FROM range(0, 21)),
+ c AS (SELECT k, (SELECT count(*) FROM s WHERE bin >= k AND pos) AS tp,
+              (SELECT count(*) FROM s WHERE bin >= k AND NOT pos) AS fp,
+              (SELECT count(*) FROM s WHERE pos) AS p_all, (SELECT count(*) FROM s WHERE NOT pos) AS n_all FROM g)
+SELECT round(k / 20.0, 4) AS threshold, tp, fp, p_all - tp AS fn, n_all - fp AS tn,
+       CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) END AS precision,
+       CASE WHEN p_all > 0 THEN round(tp / p_all, 6) END AS recall
+FROM c
+""")
+def q_threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """Precision/recall at thresholds 0, 0.05, …, 1 with purchase events as the positive class."""
+    from ..operators.measure import threshold_sweep
+    from ..operators.route import with_verdict
+
+    v = with_verdict(_event_scores(table(spark, sf, "events")), "score_text", 0.5).filter(F.col("error").isNull())
+    return threshold_sweep(spark, v, F.col("event_type") == "purchase", "score_text", 20)
+
+
+# ------------------------------------------------------------------ SPF (X14) and auth flags
+
+# --- fixed test cases: (X-SPF-Status, Received-SPF list, Authentication-Results list) by doc_id % 8
+SPF_CASES = (
+    ("pass", [], []),
+    ("softfail", [], []),
+    ("none", ["fail (example.org: domain does not designate 192.0.2.1)"], []),
+    (None, ["none (no SPF record)"], ["mx.example.net; spf=pass smtp.mailfrom=a.example; dkim=pass"]),
+    (None, ["temperror (DNS timeout)"], []),
+    (None, [], []),
+    (" PASS ", [], ["mx.example.net; dkim=fail; SPF = Fail"]),
+    ("bogus", ["Neutral (x)", "pass"], ["mx; spf=softfail; dmarc=pass"]),
+)
+
+
+def _spf_pick(k, idx):
+    e = None
+    for i, case in enumerate(SPF_CASES):
+        v = case[idx]
+        val = F.lit(v) if idx == 0 else (F.array(*[F.lit(x) for x in v]) if v else F.array().cast("array<string>"))
+        e = F.when(k == i, val) if e is None else e.when(k == i, val)
+    return e
+
+
+def _spf_sql_pick(idx):
+    arms = []
+    for i, case in enumerate(SPF_CASES):
+        v = case[idx]
+        if idx == 0:
+            val = "NULL" if v is None else O.lit(v)
+        else:
+            val = ("[" + ", ".join(O.lit(x) for x in v) + "]") if v else "[]::VARCHAR[]"
+        arms.append(f"WHEN {i} THEN {val}")
+    return f"(CASE doc_id % {len(SPF_CASES)} {' '.join(arms)} END)"
+
+
+@register("spf_feature", f"""
+SELECT doc_id, {O.spf_feature('x_spf', 'rs', 'ar')} AS spf
+FROM (SELECT doc_id, {_spf_sql_pick(0)} AS x_spf, {_spf_sql_pick(1)} AS rs, {_spf_sql_pick(2)} AS ar FROM documents)
+""")
+def q_spf_feature(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.pmod(F.col("doc_id"), F.lit(len(SPF_CASES)))
+    d = table(spark, sf, "documents").select("doc_id", _spf_pick(k, 0).alias("x_spf"), _spf_pick(k, 1).alias("rs"),
+                                            _spf_pick(k, 2).alias("ar"))
+    return d.select("doc_id", H.spf_feature("x_spf", "rs", "ar").alias("spf"))
+
+
+# ------------------------------------------------------------------ domain vocabulary
+
+def _doc_texts(spark: SparkSession, sf: str) -> DataFrame:
+    d = with_page_urls(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "pages"))
+    return d.select("doc_id", mail_body(F.col("text"), F.col("url")).alias("text"))
+
+
+_TOP_SQL = f"""
+SELECT domain, count(*) AS n FROM (
+  SELECT unnest({O.url_domains("text || ' see ' || url || '. '")}) AS domain FROM {_DOC_URL_SQL} t)
+GROUP BY domain ORDER BY n DESC, domain LIMIT 200
+"""
+
+
+@register("top_domains", _TOP_SQL)
+def q_top_domains(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.corpus import top_domains
+
+    return top_domains(_doc_texts(spark, sf), "text", 200)
+
+
+@register("mark_domains", f"""
+WITH v AS (SELECT list(domain) AS vocab FROM ({_TOP_SQL}))
+SELECT doc_id, {O.strip_urls("text || ' see ' || url || '. '", "vocab")} AS marked FROM {_DOC_URL_SQL} t, v
+""")
+def q_mark_domains(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.corpus import domain_vocab, mark_domains
+
+    texts = _doc_texts(spark, sf)
+    vocab = domain_vocab(texts, "text", 200)
+    return mark_domains(texts, "text", vocab).select("doc_id", "marked")
