@@ -552,3 +552,70 @@ def q_mark_domains(spark: SparkSession, sf: str) -> DataFrame:
     texts = _doc_texts(spark, sf)
     vocab = domain_vocab(texts, "text", 200)
     return mark_domains(texts, "text", vocab).select("doc_id", "marked")
+
+
+# ------------------------------------------------------------------ learning and scoring
+
+@register("train_score")
+def q_train_score(spark: SparkSession, sf: str) -> DataFrame:
+    """E2 + E3 + E4 on the precomputed embeddings with label mod 2 as the class
+    (rows-only check; the fit is verified against a Newton solve in the tests)."""
+    from ..operators.model import classify, score, train
+
+    e = table(spark, sf, "embeddings").select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("features"),
+        F.pmod(F.col("label"), F.lit(2)).alias("label"))
+    model = train(e, "features", "label")
+    s = classify(score(e, model, "features", "score"))
+    return s.select("vec_id", "label", F.round("score", 6).alias("score"), "prediction", "spam_probability",
+                    "ham_probability")
+
+
+@register("train_accuracy")
+def q_train_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """A4: training-set accuracy of the model of ``train_score``."""
+    from ..operators.model import accuracy, score, train
+
+    e = table(spark, sf, "embeddings").select(
+        F.col("embedding").cast("array<double>").alias("features"), F.pmod(F.col("label"), F.lit(2)).alias("label"))
+    model = train(e, "features", "label")
+    return accuracy(score(e, model, "features", "score"), "score", "label")
+
+
+def _parsed_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Synthetic mail parsed once and checkpointed to the shared folder, so that
+    training and scoring read the parsed table instead of re-parsing."""
+    from ..session import shared_dir
+
+    shared_dir(spark)
+    raw = synthetic_mail(table(spark, sf, "documents"), table(spark, sf, "pages"), table(spark, sf, "labels"))
+    return parse_mail(raw).checkpoint(eager=True)
+
+
+@register("train_text")
+def q_train_text(spark: SparkSession, sf: str) -> DataFrame:
+    """E1 (hashing encoder) + E2 + E3 on parsed mail labelled by ``labels.toxic`` (rows-only)."""
+    from .score import score_parsed
+    from .train import build_model
+
+    parsed = _parsed_corpus(spark, sf)
+    trained, _ = build_model(parsed, "label")
+    s = score_parsed(parsed.filter(F.col("label").isNotNull()), trained)
+    return s.select("doc_id", "label", F.round("score", 6).alias("score"), "score_text", "status")
+
+
+@register("stream_score", _TAG_SQL)
+def q_stream_score(spark: SparkSession, sf: str) -> DataFrame:
+    """The tagging of ``tag_headers`` run as a Structured Streaming query
+    over the events parquet drop, written by an idempotent ``foreachBatch``
+    sink to the shared folder and read back (equal to the batch result)."""
+    from ..session import scratch_path
+    from ..streaming.score import run_to_table, stream_table
+
+    schema = table(spark, sf, "events").schema
+    src = stream_table(spark, sf, schema, "parquet", glob="events.parquet", max_files_per_trigger=1)
+    out = _tagged_events(spark, sf, events=src)
+    base = scratch_path(spark, "stream-score")
+    q = run_to_table(out, f"{base}/out", f"{base}/checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("batch_id")
