@@ -34,15 +34,19 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _domain_from(base: Column, netloc: Column) -> Column:
+    host = F.regexp_replace(F.regexp_extract(netloc, r"^[^:]*", 0), r"(?i)^www\.", "")
+    return F.when((netloc == "") | netloc.rlike(_NETLOC_REFUSED), base).otherwise(host)
+
+
 def _domain_of(base: Column) -> Column:
     """Host of a URL with scheme: netloc up to the first ':', leading 'www.' dropped.
 
     An empty netloc, or one that starts with ':' and carries a bracket, gives
-    the URL itself back.
+    the URL itself back. (Top-level use: Catalyst's subexpression elimination
+    evaluates the shared netloc once.)
     """
-    netloc = F.regexp_extract(base, _NETLOC, 1)
-    host = F.regexp_replace(F.regexp_extract(netloc, r"^[^:]*", 0), r"(?i)^www\.", "")
-    return F.when((netloc == "") | netloc.rlike(_NETLOC_REFUSED), base).otherwise(host)
+    return _domain_from(base, F.regexp_extract(base, _NETLOC, 1))
 
 
 def url_domain(url: Column | str) -> Column:
@@ -51,13 +55,24 @@ def url_domain(url: Column | str) -> Column:
     return F.when(u.isNull(), F.lit(None)).otherwise(_domain_of(u))
 
 
-def _reduce_url(u: Column, vocab: Column | None = None) -> Column:
-    punct = F.regexp_extract(u, _TRAIL_PUNCT, 0)
-    base = F.regexp_replace(u, _TRAIL_PUNCT_PLUS, "")
-    dom = _domain_of(base)
-    if vocab is not None:
-        dom = F.when(F.array_contains(vocab, dom), F.concat(F.lit("[DOM_"), dom, F.lit("]"))).otherwise(dom)
-    return F.concat(dom, punct)
+def _reduced_urls(t: Column, vocab: Column | None = None) -> Column:
+    """Reduced form of every URL in ``t``, in order.
+
+    Lambdas get no common-subexpression elimination, so each intermediate
+    (base/punct, then netloc) is computed once in its own ``transform`` stage
+    and carried in a struct.
+    """
+    urls = F.regexp_extract_all(t, F.lit(URL_PATTERN), 0)
+    split = F.transform(urls, lambda u: F.struct(F.regexp_replace(u, _TRAIL_PUNCT_PLUS, "").alias("b"),
+                                                 F.regexp_extract(u, _TRAIL_PUNCT, 0).alias("p")))
+    with_net = F.transform(split, lambda s: F.struct(s["b"].alias("b"), s["p"].alias("p"),
+                                                     F.regexp_extract(s["b"], _NETLOC, 1).alias("n")))
+    doms = F.transform(with_net, lambda s: F.struct(_domain_from(s["b"], s["n"]).alias("d"), s["p"].alias("p")))
+    if vocab is None:
+        return F.transform(doms, lambda s: F.concat(s["d"], s["p"]))
+    return F.transform(doms, lambda s: F.concat(
+        F.when(F.array_contains(vocab, s["d"]), F.concat(F.lit("[DOM_"), s["d"], F.lit("]"))).otherwise(s["d"]),
+        s["p"]))
 
 
 def strip_urls(text: Column | str, vocab: Column | None = None) -> Column:
@@ -65,15 +80,14 @@ def strip_urls(text: Column | str, vocab: Column | None = None) -> Column:
 
     Trailing ``.,!?;*-`` are cut off each match and put back after the domain.
     With ``vocab`` (an array<string> column or literal) a domain found in it is
-    written as the single token ``[DOM_<domain>]`` (X16).
+    written as the single token ``[DOM_<domain>]`` (X16). The text pieces
+    between URLs and the reduced URLs are zipped once (linear in the number of
+    URLs), then joined.
     """
     t = _col(text)
-    urls = F.regexp_extract_all(t, F.lit(URL_PATTERN), 0)
     parts = F.split(t, URL_PATTERN, -1)
-    reduced = F.transform(urls, lambda u: _reduce_url(u, vocab))
-    joined = F.array_join(
-        F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(reduced, i), F.lit("")))), ""
-    )
+    zipped = F.arrays_zip(parts, _reduced_urls(t, vocab))
+    joined = F.array_join(F.transform(zipped, lambda z: F.concat(z["0"], F.coalesce(z["1"], F.lit("")))), "")
     return F.when(t.isNull(), F.lit(None)).otherwise(joined)
 
 
@@ -81,7 +95,9 @@ def url_domains(text: Column | str) -> Column:
     """Domains of all URLs in ``text`` (array<string>), used for vocabularies."""
     t = _col(text)
     urls = F.regexp_extract_all(t, F.lit(URL_PATTERN), 0)
-    return F.transform(urls, lambda u: _domain_of(F.regexp_replace(u, _TRAIL_PUNCT_PLUS, "")))
+    bases = F.transform(urls, lambda u: F.regexp_replace(u, _TRAIL_PUNCT_PLUS, ""))
+    nets = F.transform(bases, lambda b: F.struct(b.alias("b"), F.regexp_extract(b, _NETLOC, 1).alias("n")))
+    return F.transform(nets, lambda s: _domain_from(s["b"], s["n"]))
 
 
 def links_count(text: Column | str) -> Column:
