@@ -619,3 +619,137 @@ def q_stream_score(spark: SparkSession, sf: str) -> DataFrame:
     q = run_to_table(out, f"{base}/out", f"{base}/checkpoint")
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out").drop("batch_id")
+
+
+# ------------------------------------------------------------------ files: Maildir delivery, scan, stream, JSONL
+
+def _labelled_mail(spark: SparkSession, sf: str) -> DataFrame:
+    mail = synthetic_mail(table(spark, sf, "documents"), table(spark, sf, "pages"), table(spark, sf, "labels"))
+    return mail.filter(F.col("label").isNotNull()).withColumn(
+        "class", F.when(F.col("label") == 1, F.lit("bad")).otherwise(F.lit("good")))
+
+
+_LABELLED_EXPECTED_SQL = f"""
+SELECT CASE WHEN l.toxic = 1 THEN 'bad' ELSE 'good' END AS class, l.toxic::INTEGER AS label,
+       left({O.collapse_ws('t.text')}, 40) AS subject,
+       {O.strip_urls(O.py_strip("t.text || ' see ' || t.url || '. '"))} AS body,
+       (CASE WHEN t.doc_id % {len(SENDER_PAIRS)} IN ({", ".join(map(str, MISMATCH_KEYS))}) THEN 1.0 ELSE 0.0 END)::DOUBLE
+         AS mismatch
+FROM {_DOC_URL_SQL} t JOIN labels l ON l.doc_id = t.doc_id
+"""
+
+
+def _write_maildirs(spark: SparkSession, sf: str) -> str:
+    """Deliver every labelled message as a file into ``<base>/<class>/new`` (colon in the names)."""
+    from ..operators.route import write_maildir_files
+    from ..session import scratch_path
+
+    base = scratch_path(spark, "maildir")
+    mail = _labelled_mail(spark, sf).withColumn("path", F.col("doc_id").cast("string"))
+    write_maildir_files(mail, base, "class", "path", "content")
+    return base
+
+
+@register("maildir_scan", _LABELLED_EXPECTED_SQL)
+def q_maildir_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """K5 → S2/S1 → S3 → P1: messages written as Maildir files (names with
+    colons), scanned from cur/ and new/ of the good and bad folders, labelled
+    by list and parsed."""
+    from ..sources.mail import scan_corpus
+
+    base = _write_maildirs(spark, sf)
+    corpus = scan_corpus(spark, f"{base}/good", f"{base}/bad", subdirs=("cur", "new"))
+    p = parse_mail(corpus.select("class", "label", "content"))
+    return p.select("class", "label", "subject", "body", "mismatch")
+
+
+@register("maildir_manifest", """
+SELECT class, count(*) AS files FROM (
+  SELECT CASE WHEN l.toxic = 1 THEN 'bad' ELSE 'good' END AS class FROM documents d JOIN labels l ON l.doc_id = d.doc_id)
+GROUP BY class
+""")
+def q_maildir_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """K6 over real files: the manifest reads only file metadata (content is
+    never selected, so no file is opened); summarised as files per class."""
+    from ..operators.corpus import manifest
+    from ..sources.mail import scan_corpus
+
+    base = _write_maildirs(spark, sf)
+    corpus = scan_corpus(spark, f"{base}/good", f"{base}/bad", subdirs=("cur", "new"))
+    man = manifest(corpus.select("class", "basename", "length", "modificationTime"))
+    return man.groupBy("class").agg(F.count(F.lit(1)).alias("files"))
+
+
+@register("stream_mail", _LABELLED_EXPECTED_SQL)
+def q_stream_mail(spark: SparkSession, sf: str) -> DataFrame:
+    """S7 + T1: the same Maildir files read as a file stream (declared schema,
+    colon-safe options, bounded files per trigger), parsed by the batch parse
+    job and written by an idempotent foreachBatch sink."""
+    from ..session import scratch_path
+    from ..streaming.score import run_to_table, stream_mail
+
+    base = _write_maildirs(spark, sf)
+    frames = []
+    for cls in ("good", "bad"):
+        s = stream_mail(spark, f"{base}/{cls}/new", max_files_per_trigger=500)
+        frames.append(s.withColumn("class", F.lit(cls)).withColumn("label", F.lit(1 if cls == "bad" else 0)))
+    src = frames[0].unionByName(frames[1])
+    parsed = parse_mail(src.select("class", "label", "content")).select("class", "label", "subject", "body",
+                                                                         "mismatch")
+    out = scratch_path(spark, "stream-mail")
+    run_to_table(parsed, f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/table").drop("batch_id")
+
+
+@register("training_roundtrip", f"""
+SELECT subject, body, label, mismatch FROM ({_LABELLED_EXPECTED_SQL})
+""")
+def q_training_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """K1 → S5: parsed records written as JSON lines and read back leniently."""
+    from ..session import scratch_path
+    from ..sources.training import read_training, write_training
+
+    p = parse_mail(_labelled_mail(spark, sf).select("label", "content"))
+    path = scratch_path(spark, "training-jsonl")
+    write_training(p, path)
+    good, _rejects = read_training(spark, path)
+    return good.select("subject", "body", "label", F.col("metadata_features")[0].alias("mismatch"))
+
+
+@register("inputs", f"""
+SELECT class, string_agg(folder, ',' ORDER BY ord) AS folders FROM (
+  SELECT DISTINCT class, ord, folder FROM {_CORPUS_SQL} c) GROUP BY class
+""")
+def q_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.corpus import inputs
+
+    return inputs(_corpus(spark, sf))
+
+
+@register("header_features", f"""
+SELECT t.doc_id, CAST(t.doc_id % 2 AS INTEGER) AS attachment_count,
+       CAST(CASE WHEN t.url IS NULL THEN 0 ELSE 1 END AS INTEGER) AS links_count,
+       0.0::DOUBLE AS spf, 0.0::DOUBLE AS dkim_pass, 0.0::DOUBLE AS dmarc_pass
+FROM {_DOC_URL_SQL} t
+""")
+def q_header_features(spark: SparkSession, sf: str) -> DataFrame:
+    """X15 (+X14) from parsed mail: attachments, links, SPF/DKIM/DMARC verdicts."""
+    raw = synthetic_mail(table(spark, sf, "documents"), table(spark, sf, "pages"))
+    p = parse_mail(raw)
+    return p.select(
+        "doc_id", "attachment_count", X.links_count("body_raw").cast("int").alias("links_count"),
+        H.spf_feature("x_spf_status", "received_spf", "authentication_results").alias("spf"),
+        H.auth_pass("authentication_results", "dkim").alias("dkim_pass"),
+        H.auth_pass("authentication_results", "dmarc").alias("dmarc_pass"))
+
+
+@register("route_tagged", f"""
+SELECT event_id, status = 'Yes' AS tagged_spam FROM {_VERDICT_SQL} v
+""")
+def q_route_tagged(spark: SparkSession, sf: str) -> DataFrame:
+    """Find mail already tagged as spam by its header lines."""
+    from ..operators.route import route_tagged, tag_headers, with_verdict
+
+    v = with_verdict(_event_scores(table(spark, sf, "events")), "score_text", 0.5)
+    t = tag_headers(v, "content", 0.5)
+    return route_tagged(t, "tagged").select("event_id", "tagged_spam")
