@@ -72,7 +72,9 @@ def scan_mail(spark: SparkSession, paths, subdirs: tuple[str, ...] | None = None
                 continue
             frames.append(_read(spark, t).withColumn("root", F.lit(root)))
     if not frames:
-        return spark.createDataFrame([], BINARY_SCHEMA.add("root", T.StringType()))
+        empty = T.StructType(BINARY_SCHEMA.fields + [T.StructField("root", T.StringType())])
+        return (spark.createDataFrame([], empty).withColumn("basename", F.lit(None).cast("string"))
+                .withColumn("subdir", F.lit(None).cast("string")))
     df = frames[0]
     for f in frames[1:]:
         df = df.unionByName(f)
