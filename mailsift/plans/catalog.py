@@ -753,3 +753,60 @@ def q_route_tagged(spark: SparkSession, sf: str) -> DataFrame:
     v = with_verdict(_event_scores(table(spark, sf, "events")), "score_text", 0.5)
     t = tag_headers(v, "content", 0.5)
     return route_tagged(t, "tagged").select("event_id", "tagged_spam")
+
+
+# ------------------------------------------------------------------ sinks and model round trip (K4, K8, J3 anti join)
+
+@register("deliver_counts", f"""
+SELECT coalesce(folder, 'rejects') AS folder, count(*) AS n FROM {_VERDICT_SQL} v GROUP BY 1
+""")
+def q_deliver_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """K4: decided mail written partitioned by folder (errors to ``rejects``), read back and counted."""
+    from ..operators.route import deliver, with_verdict
+    from ..session import scratch_path
+
+    v = with_verdict(_event_scores(table(spark, sf, "events")), "score_text", 0.5)
+    base = scratch_path(spark, "deliver")
+    deliver(v.select("event_id", "content", "score_text", "folder", "error"), base)
+    ok = spark.read.parquet(f"{base}/delivered").groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
+    rej = spark.read.parquet(f"{base}/rejects").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("rejects").alias("folder"), "n").filter(F.col("n") > 0)
+    return ok.unionByName(rej)
+
+
+@register("manifest_new", f"""
+WITH o AS (SELECT class, basename FROM {_CORPUS_SQL} c WHERE lang <> 'de'),
+ n AS (SELECT class, basename, length, mtime FROM (
+    SELECT *, row_number() OVER (PARTITION BY class, basename ORDER BY ord DESC, subdir, path) AS rn
+    FROM {_CORPUS_SQL} c) WHERE rn = 1)
+SELECT class, basename, length, mtime FROM n
+WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.class = n.class AND o.basename = n.basename)
+""")
+def q_manifest_new(spark: SparkSession, sf: str) -> DataFrame:
+    """Only the messages the previous manifest (before the German mail) did not have (anti join)."""
+    from ..operators.corpus import keep_last, manifest, new_only
+
+    c = _corpus(spark, sf)
+    seen = c.filter(F.col("lang") != "de").select("class", "basename")
+    now = manifest(keep_last(c), mtime="mtime")
+    return new_only(now, seen)
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """K8 + X10: the model of ``train_score`` saved with its contract, loaded
+    back, dimensions resolved from the contract, and used to score (rows-only)."""
+    from ..functions.vectors import resolve_dims
+    from ..operators.model import contract, load_model, save_model, score, train
+    from ..session import scratch_path
+
+    e = table(spark, sf, "embeddings").select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("features"), F.pmod("label", F.lit(2)).alias("label"))
+    model = train(e, "features", "label")
+    path = scratch_path(spark, "model")
+    width = e.select(F.max(F.size("features"))).first()[0]
+    save_model(spark, model, path, contract(model, 0, width))
+    loaded, c = load_model(spark, path)
+    emb, meta = resolve_dims(loaded.numFeatures, c)
+    return score(e, loaded).select("vec_id", "label", F.round("score", 6).alias("score"),
+                                   F.lit(emb).alias("embedding_dim"), F.lit(meta).alias("metadata_dim"))
