@@ -316,7 +316,7 @@ def q_parse_metadata(spark: SparkSession, sf: str) -> DataFrame:
 @register("mean_pool", """
 SELECT label, dim, round(sum(v * m) / greatest(sum(m), 1e-9), 6) AS pooled FROM (
   SELECT label, CASE WHEN vec_id % 3 <> 0 THEN 1.0 ELSE 0.0 END AS m,
-         CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
+         CAST(unnest(embedding) AS DOUBLE) AS v, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim FROM embeddings)
 GROUP BY label, dim
 """)
 def q_mean_pool(spark: SparkSession, sf: str) -> DataFrame:
