@@ -810,3 +810,48 @@ def q_model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     emb, meta = resolve_dims(loaded.numFeatures, c)
     return score(e, loaded).select("vec_id", "label", F.round("score", 6).alias("score"),
                                    F.lit(emb).alias("embedding_dim"), F.lit(meta).alias("metadata_dim"))
+
+
+# ------------------------------------------------------------------ token limit (X13) and other classifiers
+
+@register("token_limit", r"""
+WITH t AS (SELECT conv_id, turn,
+                  list_filter(regexp_split_to_array(lower(text), '\W+'), lambda x: x <> '') AS tokens
+           FROM conversations)
+SELECT conv_id, turn, CAST(len(tokens) AS INTEGER) AS n_tokens,
+       CAST(least(len(tokens), 512) AS INTEGER) AS n_kept,
+       array_to_string(tokens[1:512], ' ') AS kept
+FROM t
+""")
+def q_token_limit(spark: SparkSession, sf: str) -> DataFrame:
+    """The encoder's tokens of every conversation turn, cut to 512."""
+    from pyspark.ml.feature import RegexTokenizer
+
+    from ..constants import MAX_TOKENS
+    from ..operators.embed import limit_tokens
+
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    tok = RegexTokenizer(inputCol="text", outputCol="tokens", pattern=r"\W+", toLowercase=True).transform(c)
+    kept = limit_tokens("tokens", MAX_TOKENS)
+    return tok.select("conv_id", "turn", F.size("tokens").alias("n_tokens"), F.size(kept).alias("n_kept"),
+                      F.array_join(kept, " ").alias("kept"))
+
+
+@register("train_kinds")
+def q_train_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """The follow-up classifiers (linear SVM, gradient-boosted trees) next to
+    the logistic model, training accuracy per kind (rows-only)."""
+    from ..operators.model import train
+
+    e = table(spark, sf, "embeddings").select(
+        F.col("embedding").cast("array<double>").alias("features"), F.pmod("label", F.lit(2)).alias("label"))
+    from ..operators.model import to_vector
+
+    out = None
+    for kind in ("logistic", "svm", "gbt"):
+        m = train(e, "features", "label", kind=kind, max_iter=100 if kind == "svm" else 1000)
+        pred = m.transform(to_vector(e, "features")).select(
+            F.lit(kind).alias("kind"), (F.col("prediction") == F.col("label")).cast("double").alias("hit"))
+        acc = pred.groupBy("kind").agg(F.avg("hit").alias("accuracy"))
+        out = acc if out is None else out.unionByName(acc)
+    return out
