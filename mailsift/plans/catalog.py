@@ -13,13 +13,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.ml.feature import RegexTokenizer
+
+from ..constants import MAX_TOKENS
 from ..functions import headers as H
 from ..functions import text as X
+from ..functions.scoring import format_score, score_text
+from ..functions.vectors import assemble, parse_metadata, resolve_dims
+from ..operators.corpus import (domain_vocab, inputs, keep_last, manifest, manifest_diff, mark_domains, new_only,
+                                top_domains)
+from ..operators.embed import limit_tokens
+from ..operators.features import class_weights, join_embeddings, mean_pool_long, metadata_width, standardise_metadata
 from ..operators.html import html_to_text
-from ..operators.parse import parse_mail
-from ..session import table
+from ..operators.measure import score_histogram, status_counts, threshold_sweep
+from ..operators.model import accuracy, classify, contract, load_model, save_model, score, to_vector, train
+from ..operators.parse import parse_counts, parse_mail
+from ..operators.route import deliver, route_tagged, tag_headers, with_verdict, write_maildir_files
+from ..session import scratch_path, shared_dir, table
+from ..sources.mail import load_corpus, scan_corpus
+from ..sources.training import read_training, write_training
+from ..streaming.score import run_to_table, stream_mail, stream_table
 from ..sources.synthetic import MISMATCH_KEYS, SENDER_PAIRS, mail_body, synthetic_mail, with_page_urls
 from . import oracle as O
+from .score import score_parsed
+from .train import build_model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -160,8 +177,6 @@ SELECT class, basename, folder, ord, subdir, lang, path, length, mtime FROM (
   FROM {_CORPUS_SQL} c) WHERE rn = 1
 """)
 def q_keep_last(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.corpus import keep_last
-
     return keep_last(_corpus(spark, sf))
 
 
@@ -171,8 +186,6 @@ SELECT class, basename, length, mtime FROM (
   FROM {_CORPUS_SQL} c) WHERE rn = 1 ORDER BY class, basename
 """)
 def q_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.corpus import keep_last, manifest
-
     return manifest(keep_last(_corpus(spark, sf)), mtime="mtime")
 
 
@@ -192,8 +205,6 @@ FROM o FULL OUTER JOIN n ON o.class = n.class AND o.basename = n.basename
 def q_manifest_diff(spark: SparkSession, sf: str) -> DataFrame:
     """Old snapshot: before the German mail arrived, earliest folder kept;
     new snapshot: without the Spanish mail, latest folder kept."""
-    from ..operators.corpus import keep_last, manifest, manifest_diff
-
     c = _corpus(spark, sf)
     old = manifest(keep_last(c.filter(F.col("lang") != "de").withColumn("ord", -F.col("ord"))), mtime="mtime")
     new = manifest(keep_last(c.filter(F.col("lang") != "es")), mtime="mtime")
@@ -210,9 +221,6 @@ GROUP BY label
 def q_corpus_counts(spark: SparkSession, sf: str) -> DataFrame:
     """S3 + P6: good list = quality documents, bad list = toxic ones (a document
     on both lists is parsed twice), parse, count per class."""
-    from ..operators.parse import parse_counts
-    from ..sources.mail import load_corpus
-
     mail = synthetic_mail(table(spark, sf, "documents"), table(spark, sf, "pages")).drop("label")
     lab = table(spark, sf, "labels")
     good = mail.join(lab.filter(F.col("quality") == 1).select("doc_id"), "doc_id", "left_semi")
@@ -259,8 +267,6 @@ SELECT CAST(coalesce(max(len(list_filter(metadata_features, lambda x: x IS NOT N
 FROM {_EVENT_ARRAYS_SQL} a
 """)
 def q_metadata_width(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.features import metadata_width
-
     return metadata_width(_event_arrays(spark, sf))
 
 
@@ -272,8 +278,6 @@ SELECT event_id, CAST(w.m AS INTEGER) AS width,
 FROM a, w
 """)
 def q_fit_width(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.features import standardise_metadata
-
     s = standardise_metadata(_event_arrays(spark, sf), "metadata_features", out="vec")
     return s.select("event_id", F.size("vec").alias("width"), _vec_text(F.col("vec")).alias("vec_text"))
 
@@ -305,8 +309,6 @@ SELECT event_id, {_vec_text_sql(
 FROM n
 """)
 def q_parse_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    from ..functions.vectors import parse_metadata
-
     j = _event_json(spark, sf)
     return j.select("event_id", _vec_text(parse_metadata("metadata_json", 3)).alias("vec_text"))
 
@@ -321,8 +323,6 @@ GROUP BY label, dim
 """)
 def q_mean_pool(spark: SparkSession, sf: str) -> DataFrame:
     """A3 with mask = vec_id mod 3 ≠ 0 (the mask plays the attention mask)."""
-    from ..operators.features import mean_pool_long
-
     e = table(spark, sf, "embeddings")
     mask = F.when(F.pmod("vec_id", F.lit(3)) != 0, 1.0).otherwise(0.0)
     p = mean_pool_long(e, "label", "embedding", mask)
@@ -334,8 +334,6 @@ SELECT label, n_c, round(sum(n_c) OVER () / (count(*) OVER () * n_c), 9) AS weig
   SELECT toxic AS label, count(*) AS n_c FROM labels GROUP BY toxic)
 """)
 def q_class_weights(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.features import class_weights
-
     w = class_weights(table(spark, sf, "labels").withColumnRenamed("toxic", "label"))
     return w.select("label", "n_c", F.round("weight", 9).alias("weight"))
 
@@ -354,10 +352,6 @@ SELECT vec_id, round(score, 6) AS score, printf('%.4f', score) AS score_text FRO
 """)
 def q_assemble_score(spark: SparkSession, sf: str) -> DataFrame:
     """J2 + X9 + E3 with fixed coefficients: embedding ‖ [n_chars/10⁴] of the record with the same id."""
-    from ..functions.scoring import format_score
-    from ..functions.vectors import assemble
-    from ..operators.features import join_embeddings
-
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     d = table(spark, sf, "documents").select("doc_id", F.array(F.col("n_chars") / 10000.0).alias("metadata"))
     f = join_embeddings(d, e, "doc_id").select(F.col("doc_id").alias("vec_id"),
@@ -373,8 +367,6 @@ def _event_scores(e: DataFrame) -> DataFrame:
     """Score texts derived from events: value/500 (error events: value/100, so
     some exceed 1 → invalid); signup events stand for a failed parse below a
     value of 50 (fallback 0.5000, E5) and for an empty reply from 300 on."""
-    from ..functions.scoring import score_text
-
     raw = F.when(F.col("event_type") == "error", F.col("value") / 100.0).otherwise(F.col("value") / 500.0)
     failed = (F.col("event_type") == "signup") & (F.col("value") < 50)
     empty = (F.col("event_type") == "signup") & (F.col("value") >= 300)
@@ -403,8 +395,6 @@ _VERDICT_SQL = f"""
 
 
 def _tagged_events(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
-    from ..operators.route import tag_headers, with_verdict
-
     e = table(spark, sf, "events") if events is None else events
     v = with_verdict(_event_scores(e), "score_text", 0.5)
     t = tag_headers(v, "content", 0.5)
@@ -432,9 +422,6 @@ def q_tag_headers(spark: SparkSession, sf: str) -> DataFrame:
 SELECT status, folder, count(*) AS n FROM {_VERDICT_SQL} v GROUP BY status, folder
 """)
 def q_route_counts(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.measure import status_counts
-    from ..operators.route import with_verdict
-
     return status_counts(with_verdict(_event_scores(table(spark, sf, "events")), "score_text", 0.5))
 
 
@@ -447,8 +434,6 @@ SELECT bin, count(*) AS n, round(bin / 20.0, 4) AS lo, round((bin + 1) / 20.0, 4
 GROUP BY bin
 """)
 def q_score_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.measure import score_histogram
-
     return score_histogram(_event_scores(table(spark, sf, "events")), "score_text", 20)
 
 
@@ -467,9 +452,6 @@ FROM c
 """)
 def q_threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """Precision/recall at thresholds 0, 0.05, …, 1 with purchase events as the positive class."""
-    from ..operators.measure import threshold_sweep
-    from ..operators.route import with_verdict
-
     v = with_verdict(_event_scores(table(spark, sf, "events")), "score_text", 0.5).filter(F.col("error").isNull())
     return threshold_sweep(spark, v, F.col("event_type") == "purchase", "score_text", 20)
 
@@ -537,8 +519,6 @@ GROUP BY domain ORDER BY n DESC, domain LIMIT 200
 
 @register("top_domains", _TOP_SQL)
 def q_top_domains(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.corpus import top_domains
-
     return top_domains(_doc_texts(spark, sf), "text", 200)
 
 
@@ -547,8 +527,6 @@ WITH v AS (SELECT list(domain) AS vocab FROM ({_TOP_SQL}))
 SELECT doc_id, {O.strip_urls("text || ' see ' || url || '. '", "vocab")} AS marked FROM {_DOC_URL_SQL} t, v
 """)
 def q_mark_domains(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.corpus import domain_vocab, mark_domains
-
     texts = _doc_texts(spark, sf)
     vocab = domain_vocab(texts, "text", 200)
     return mark_domains(texts, "text", vocab).select("doc_id", "marked")
@@ -560,8 +538,6 @@ def q_mark_domains(spark: SparkSession, sf: str) -> DataFrame:
 def q_train_score(spark: SparkSession, sf: str) -> DataFrame:
     """E2 + E3 + E4 on the precomputed embeddings with label mod 2 as the class
     (rows-only check; the fit is verified against a Newton solve in the tests)."""
-    from ..operators.model import classify, score, train
-
     e = table(spark, sf, "embeddings").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("features"),
         F.pmod(F.col("label"), F.lit(2)).alias("label"))
@@ -574,8 +550,6 @@ def q_train_score(spark: SparkSession, sf: str) -> DataFrame:
 @register("train_accuracy")
 def q_train_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """A4: training-set accuracy of the model of ``train_score``."""
-    from ..operators.model import accuracy, score, train
-
     e = table(spark, sf, "embeddings").select(
         F.col("embedding").cast("array<double>").alias("features"), F.pmod(F.col("label"), F.lit(2)).alias("label"))
     model = train(e, "features", "label")
@@ -585,8 +559,6 @@ def q_train_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 def _parsed_corpus(spark: SparkSession, sf: str) -> DataFrame:
     """Synthetic mail parsed once and checkpointed to the shared folder, so that
     training and scoring read the parsed table instead of re-parsing."""
-    from ..session import shared_dir
-
     shared_dir(spark)
     raw = synthetic_mail(table(spark, sf, "documents"), table(spark, sf, "pages"), table(spark, sf, "labels"))
     return parse_mail(raw).checkpoint(eager=True)
@@ -595,9 +567,6 @@ def _parsed_corpus(spark: SparkSession, sf: str) -> DataFrame:
 @register("train_text")
 def q_train_text(spark: SparkSession, sf: str) -> DataFrame:
     """E1 (hashing encoder) + E2 + E3 on parsed mail labelled by ``labels.toxic`` (rows-only)."""
-    from .score import score_parsed
-    from .train import build_model
-
     parsed = _parsed_corpus(spark, sf)
     trained, _ = build_model(parsed, "label")
     s = score_parsed(parsed.filter(F.col("label").isNotNull()), trained)
@@ -609,9 +578,6 @@ def q_stream_score(spark: SparkSession, sf: str) -> DataFrame:
     """The tagging of ``tag_headers`` run as a Structured Streaming query
     over the events parquet drop, written by an idempotent ``foreachBatch``
     sink to the shared folder and read back (equal to the batch result)."""
-    from ..session import scratch_path
-    from ..streaming.score import run_to_table, stream_table
-
     schema = table(spark, sf, "events").schema
     src = stream_table(spark, sf, schema, "parquet", glob="events.parquet", max_files_per_trigger=1)
     out = _tagged_events(spark, sf, events=src)
@@ -641,9 +607,6 @@ FROM {_DOC_URL_SQL} t JOIN labels l ON l.doc_id = t.doc_id
 
 def _write_maildirs(spark: SparkSession, sf: str) -> str:
     """Deliver every labelled message as a file into ``<base>/<class>/new`` (colon in the names)."""
-    from ..operators.route import write_maildir_files
-    from ..session import scratch_path
-
     base = scratch_path(spark, "maildir")
     mail = _labelled_mail(spark, sf).withColumn("path", F.col("doc_id").cast("string"))
     write_maildir_files(mail, base, "class", "path", "content")
@@ -655,8 +618,6 @@ def q_maildir_scan(spark: SparkSession, sf: str) -> DataFrame:
     """K5 → S2/S1 → S3 → P1: messages written as Maildir files (names with
     colons), scanned from cur/ and new/ of the good and bad folders, labelled
     by list and parsed."""
-    from ..sources.mail import scan_corpus
-
     base = _write_maildirs(spark, sf)
     corpus = scan_corpus(spark, f"{base}/good", f"{base}/bad", subdirs=("cur", "new"))
     p = parse_mail(corpus.select("class", "label", "content"))
@@ -671,9 +632,6 @@ GROUP BY class
 def q_maildir_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """K6 over real files: the manifest reads only file metadata (content is
     never selected, so no file is opened); summarised as files per class."""
-    from ..operators.corpus import manifest
-    from ..sources.mail import scan_corpus
-
     base = _write_maildirs(spark, sf)
     corpus = scan_corpus(spark, f"{base}/good", f"{base}/bad", subdirs=("cur", "new"))
     man = manifest(corpus.select("class", "basename", "length", "modificationTime"))
@@ -685,13 +643,10 @@ def q_stream_mail(spark: SparkSession, sf: str) -> DataFrame:
     """S7 + T1: the same Maildir files read as a file stream (declared schema,
     colon-safe options, bounded files per trigger), parsed by the batch parse
     job and written by an idempotent foreachBatch sink."""
-    from ..session import scratch_path
-    from ..streaming.score import run_to_table, stream_mail
-
     base = _write_maildirs(spark, sf)
     frames = []
     for cls in ("good", "bad"):
-        s = stream_mail(spark, f"{base}/{cls}/new", max_files_per_trigger=500)
+        s = stream_mail(spark, f"{base}/{cls}/new")
         frames.append(s.withColumn("class", F.lit(cls)).withColumn("label", F.lit(1 if cls == "bad" else 0)))
     src = frames[0].unionByName(frames[1])
     parsed = parse_mail(src.select("class", "label", "content")).select("class", "label", "subject", "body",
@@ -706,9 +661,6 @@ SELECT subject, body, label, mismatch FROM ({_LABELLED_EXPECTED_SQL})
 """)
 def q_training_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """K1 → S5: parsed records written as JSON lines and read back leniently."""
-    from ..session import scratch_path
-    from ..sources.training import read_training, write_training
-
     p = parse_mail(_labelled_mail(spark, sf).select("label", "content"))
     path = scratch_path(spark, "training-jsonl")
     write_training(p, path)
@@ -721,8 +673,6 @@ SELECT class, string_agg(folder, ',' ORDER BY ord) AS folders FROM (
   SELECT DISTINCT class, ord, folder FROM {_CORPUS_SQL} c) GROUP BY class
 """)
 def q_inputs(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.corpus import inputs
-
     return inputs(_corpus(spark, sf))
 
 
@@ -748,8 +698,6 @@ SELECT event_id, status = 'Yes' AS tagged_spam FROM {_VERDICT_SQL} v
 """)
 def q_route_tagged(spark: SparkSession, sf: str) -> DataFrame:
     """Find mail already tagged as spam by its header lines."""
-    from ..operators.route import route_tagged, tag_headers, with_verdict
-
     v = with_verdict(_event_scores(table(spark, sf, "events")), "score_text", 0.5)
     t = tag_headers(v, "content", 0.5)
     return route_tagged(t, "tagged").select("event_id", "tagged_spam")
@@ -762,9 +710,6 @@ SELECT coalesce(folder, 'rejects') AS folder, count(*) AS n FROM {_VERDICT_SQL}
 """)
 def q_deliver_counts(spark: SparkSession, sf: str) -> DataFrame:
     """K4: decided mail written partitioned by folder (errors to ``rejects``), read back and counted."""
-    from ..operators.route import deliver, with_verdict
-    from ..session import scratch_path
-
     v = with_verdict(_event_scores(table(spark, sf, "events")), "score_text", 0.5)
     base = scratch_path(spark, "deliver")
     deliver(v.select("event_id", "content", "score_text", "folder", "error"), base)
@@ -784,8 +729,6 @@ WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.class = n.class AND o.basename = n.bas
 """)
 def q_manifest_new(spark: SparkSession, sf: str) -> DataFrame:
     """Only the messages the previous manifest (before the German mail) did not have (anti join)."""
-    from ..operators.corpus import keep_last, manifest, new_only
-
     c = _corpus(spark, sf)
     seen = c.filter(F.col("lang") != "de").select("class", "basename")
     now = manifest(keep_last(c), mtime="mtime")
@@ -796,10 +739,6 @@ def q_manifest_new(spark: SparkSession, sf: str) -> DataFrame:
 def q_model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """K8 + X10: the model of ``train_score`` saved with its contract, loaded
     back, dimensions resolved from the contract, and used to score (rows-only)."""
-    from ..functions.vectors import resolve_dims
-    from ..operators.model import contract, load_model, save_model, score, train
-    from ..session import scratch_path
-
     e = table(spark, sf, "embeddings").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("features"), F.pmod("label", F.lit(2)).alias("label"))
     model = train(e, "features", "label")
@@ -825,11 +764,6 @@ FROM t
 """)
 def q_token_limit(spark: SparkSession, sf: str) -> DataFrame:
     """The encoder's tokens of every conversation turn, cut to 512."""
-    from pyspark.ml.feature import RegexTokenizer
-
-    from ..constants import MAX_TOKENS
-    from ..operators.embed import limit_tokens
-
     c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
     tok = RegexTokenizer(inputCol="text", outputCol="tokens", pattern=r"\W+", toLowercase=True).transform(c)
     kept = limit_tokens("tokens", MAX_TOKENS)
@@ -841,12 +775,8 @@ def q_token_limit(spark: SparkSession, sf: str) -> DataFrame:
 def q_train_kinds(spark: SparkSession, sf: str) -> DataFrame:
     """The follow-up classifiers (linear SVM, gradient-boosted trees) next to
     the logistic model, training accuracy per kind (rows-only)."""
-    from ..operators.model import train
-
     e = table(spark, sf, "embeddings").select(
         F.col("embedding").cast("array<double>").alias("features"), F.pmod("label", F.lit(2)).alias("label"))
-    from ..operators.model import to_vector
-
     out = None
     for kind in ("logistic", "svm", "gbt"):
         m = train(e, "features", "label", kind=kind, max_iter=100 if kind == "svm" else 1000)
