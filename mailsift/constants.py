@@ -54,6 +54,12 @@ WS_CLASS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 
+# The same code points as a plain string (for character-set trims).
+WS_CHARS = (
+    "".join(chr(c) for c in range(0x09, 0x0E)) + "".join(chr(c) for c in range(0x1C, 0x21)) + "\x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # --- fixed values: URL reduction ---------------------------------------------
 # A URL is "http(s)://" followed by anything but whitespace, <, >, ", ', ( or ).
 URL_PATTERN = r"(?i)https?://[^<>\"'()" + WS_CLASS + r"]+"

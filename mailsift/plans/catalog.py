@@ -29,7 +29,7 @@ from ..operators.measure import score_histogram, status_counts, threshold_sweep
 from ..operators.model import accuracy, classify, contract, load_model, save_model, score, to_vector, train
 from ..operators.parse import parse_counts, parse_mail
 from ..operators.route import deliver, route_tagged, tag_headers, with_verdict, write_maildir_files
-from ..session import scratch_path, shared_dir, table
+from ..session import scratch_path, table
 from ..sources.mail import load_corpus, scan_corpus
 from ..sources.training import read_training, write_training
 from ..streaming.score import run_to_table, stream_mail, stream_table
@@ -557,11 +557,13 @@ def q_train_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _parsed_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """Synthetic mail parsed once and checkpointed to the shared folder, so that
-    training and scoring read the parsed table instead of re-parsing."""
-    shared_dir(spark)
+    """Synthetic mail parsed once and written as a Parquet table in the shared
+    folder (``spark.checkpoint.dir``): training and scoring read the parsed
+    table instead of re-parsing, and the lineage to the Python step is cut."""
     raw = synthetic_mail(table(spark, sf, "documents"), table(spark, sf, "pages"), table(spark, sf, "labels"))
-    return parse_mail(raw).checkpoint(eager=True)
+    path = scratch_path(spark, "parsed")
+    parse_mail(raw).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 @register("train_text")
