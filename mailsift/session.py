@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -36,27 +35,27 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be shared storage (HDFS/S3/...). Only when the
-    setting is absent (unit tests on one machine) a private temp folder is
-    created and registered as the checkpoint dir.
+    On a cluster this must be shared storage (HDFS/S3/...). Only when neither
+    the setting nor a context checkpoint dir exists (unit tests on one
+    machine) a private temp folder is created and registered as the
+    checkpoint dir of the context.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    if not d:
-        d = tempfile.mkdtemp(prefix="mailsift-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
-    return d.rstrip("/")
+        "spark.checkpoint.dir", None)
+    if d:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(d)
+        return d.rstrip("/")
+    current = spark.sparkContext.getCheckpointDir()
+    if current is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mailsift-ckpt-"))
+        current = spark.sparkContext.getCheckpointDir()
+    return current.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-path of the shared folder for a written table."""
-    base = shared_dir(spark)
-    if "://" not in base:
-        os.makedirs(base, exist_ok=True)
-    return f"{base}/mailsift-{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_dir(spark)}/mailsift-{name}-{uuid.uuid4().hex[:12]}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
