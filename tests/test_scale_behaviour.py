@@ -89,3 +89,26 @@ def test_scratch_uses_the_session_checkpoint_dir(spark):
     d = shared_dir(spark)
     assert scratch_path(spark, "x").startswith(d)
     assert d == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_empty_and_broken_messages_fall_back_to_half(spark):
+    from mailsift.operators.parse import parse_mail
+    from mailsift.plans.score import score_parsed
+    from mailsift.plans.train import build_model
+
+    good = [(i, i % 2, f"Subject: s{i}\n\n{'spam offer' if i % 2 else 'meeting notes'} {i}".encode()) for i in range(40)]
+    df = spark.createDataFrame(good + [(100, None, b""), (101, None, None)], "doc_id int, label int, content binary")
+    parsed = parse_mail(df)
+    trained, _ = build_model(parsed, "label", embedding_dim=32)
+    out = {r.doc_id: (r.score_text, r.status) for r in score_parsed(parsed, trained).collect()}
+    assert out[100] == ("0.5000", "Yes") and out[101] == ("0.5000", "Yes")
+    assert all(out[i][1] in ("Yes", "No") for i in range(40))
+
+
+def test_observed_parse_counts(spark):
+    from mailsift.operators.parse import observe_parse, parse_mail
+
+    df = spark.createDataFrame([(b"Subject: a\n\nb",), (None,), (b"x",)], "content binary")
+    out, obs = observe_parse(parse_mail(df))
+    out.write.format("noop").mode("overwrite").save()
+    assert obs.get == {"files": 3, "processed": 2, "errors": 1}
