@@ -93,6 +93,10 @@ HTML_ENTITIES = (
     ("&amp;", "&"),
 )
 
+# Those of the above that HTML also accepts without the ';' (legacy names),
+# when the next character cannot continue a name.
+HTML_LEGACY_NAMES = ("nbsp", "copy", "middot", "reg", "laquo", "raquo", "quot", "lt", "gt", "amp")
+
 # --- fixed values: model / scoring defaults ------------------------------------
 DEFAULT_EMBEDDING_DIM = 384
 DEFAULT_EMBEDDING_MODEL = "sentence-transformers/paraphrase-multilingual-MiniLM-L12-v2"

@@ -16,6 +16,7 @@ from ..constants import (
     HTML_BLOCK_TAGS,
     HTML_ENTITIES,
     HTML_HIDDEN_TAGS,
+    HTML_LEGACY_NAMES,
     URL_PATTERN,
     URL_TRAILING_PUNCT,
     WS_CHARS,
@@ -161,8 +162,18 @@ def html_to_text_flat(html: Column | str) -> Column:
     t = F.regexp_replace(h, HTML_DROP_PATTERN, "")
     t = F.regexp_replace(t, HTML_DECL_PATTERN, "")
     t = F.regexp_replace(t, HTML_BREAK_PATTERN, "\n")
+    # a legacy name cut off right before a tag ("&amp</title>") is resolved while
+    # the '<' that ends it is still there
+    for name in HTML_LEGACY_NAMES:
+        t = F.replace(t, F.lit(f"&{name}<"), F.lit(dict(HTML_ENTITIES)[f"&{name};"] + "<"))
     t = F.regexp_replace(t, HTML_TAG_PATTERN, "")
     for ent, ch in HTML_ENTITIES:
         t = F.replace(t, F.lit(ent), F.lit(ch))
+    # legacy names without ';' (e.g. a title cut after "&amp"); the terminator is
+    # consumed by the match, so two passes resolve back-to-back references
+    for name in HTML_LEGACY_NAMES:
+        ch = dict(HTML_ENTITIES)[f"&{name};"]
+        for _ in range(2):
+            t = F.regexp_replace(t, f"&{name}([^-.a-zA-Z0-9;])", ch + "$1")
     out = collapse_breaks(t)
     return F.when(h.isNull() | (h == ""), F.lit("")).otherwise(out)

@@ -12,6 +12,7 @@ from ..constants import (
     HTML_BLOCK_TAGS,
     HTML_ENTITIES,
     HTML_HIDDEN_TAGS,
+    HTML_LEGACY_NAMES,
     SPF_RESULT_WORDS,
     SPF_STATUS_WORDS,
     URL_PATTERN,
@@ -85,9 +86,15 @@ def html_text_flat(h: str) -> str:
     e = f"regexp_replace({h}, {lit(drop)}, '', 'g')"
     e = f"regexp_replace({e}, {lit(decl)}, '', 'g')"
     e = f"regexp_replace({e}, {lit(brk)}, chr(10), 'g')"
+    for name in HTML_LEGACY_NAMES:
+        e = f"replace({e}, {lit('&' + name + '<')}, {lit(dict(HTML_ENTITIES)['&' + name + ';'] + '<')})"
     e = f"regexp_replace({e}, {lit(tag)}, '', 'g')"
     for ent, ch in HTML_ENTITIES:
         e = f"replace({e}, {lit(ent)}, {lit(ch)})"
+    for name in HTML_LEGACY_NAMES:
+        ch = dict(HTML_ENTITIES)[f"&{name};"]
+        for _ in range(2):
+            e = f"regexp_replace({e}, {lit('&' + name + '([^-.a-zA-Z0-9;])')}, {lit(ch + chr(92) + '1')}, 'g')"
     e = f"replace({e}, {lit(chr(92) + 'n')}, chr(10))"
     e = f"replace({e}, chr(13), '')"
     e = f"regexp_replace({e}, ' +', ' ', 'g')"
