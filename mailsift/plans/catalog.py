@@ -787,3 +787,21 @@ def q_train_kinds(spark: SparkSession, sf: str) -> DataFrame:
         acc = pred.groupBy("kind").agg(F.avg("hit").alias("accuracy"))
         out = acc if out is None else out.unionByName(acc)
     return out
+
+
+# ------------------------------------------------------------------ the filter as a stream (T1 + T2 with a trained model)
+
+@register("stream_filter")
+def q_stream_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """T1/T2 end to end: a model trained on the parsed corpus scores the Maildir
+    files as they stream in (same parse, features and model as batch), tags
+    them (K2/K3) and delivers them by folder (K4) through an idempotent
+    foreachBatch sink; the delivered table is read back (rows-only check;
+    tests compare it with the batch filter on the same model)."""
+    from .score import filter_files_stream
+
+    trained, _ = build_model(_parsed_corpus(spark, sf), "label")
+    base = _write_maildirs(spark, sf)
+    target = scratch_path(spark, "stream-filter")
+    filter_files_stream(spark, trained, [f"{base}/good/new", f"{base}/bad/new"], target).awaitTermination()
+    return spark.read.parquet(f"{target}/table").drop("batch_id")

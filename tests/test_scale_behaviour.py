@@ -112,3 +112,23 @@ def test_observed_parse_counts(spark):
     out, obs = observe_parse(parse_mail(df))
     out.write.format("noop").mode("overwrite").save()
     assert obs.get == {"files": 3, "processed": 2, "errors": 1}
+
+
+def test_stream_filter_equals_batch_filter(spark):
+    from mailsift.plans.catalog import _parsed_corpus, _write_maildirs
+    from mailsift.plans.score import filter_files_batch, filter_files_stream
+    from mailsift.plans.train import build_model
+    from mailsift.session import scratch_path
+
+    trained, _ = build_model(_parsed_corpus(spark, SF001), "label")
+    base = _write_maildirs(spark, SF001)
+    roots = [f"{base}/good/new", f"{base}/bad/new"]
+    batch = sorted(map(tuple, filter_files_batch(spark, trained, roots).select(
+        "basename", "score_text", "status", "folder", "subject", "tagged").collect()))
+    target = scratch_path(spark, "t-stream-filter")
+    filter_files_stream(spark, trained, roots, target).awaitTermination()
+    stream = sorted(map(tuple, spark.read.parquet(f"{target}/table").select(
+        "basename", "score_text", "status", "folder", "subject", "tagged").collect()))
+    assert batch == stream and len(batch) > 50
+    assert {r[2] for r in batch} <= {"Yes", "No"}
+    assert all(r[5].startswith(b"X-Spam-Status: " + r[2].encode()) for r in batch)
