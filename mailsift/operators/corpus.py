@@ -74,8 +74,12 @@ def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def new_only(candidates: DataFrame, seen: DataFrame) -> DataFrame:
-    """Ingest only messages not in the previous manifest (anti join)."""
-    return candidates.join(seen.select("class", "basename"), ["class", "basename"], "left_anti")
+    """Ingest only messages not in the previous manifest (anti join).
+
+    The previous keys are de-duplicated first (combined map-side), so a name
+    repeated across a third of the old corpus is one key on the build side."""
+    keys = seen.select("class", "basename").distinct()
+    return candidates.join(keys, ["class", "basename"], "left_anti")
 
 
 def domain_counts(df: DataFrame, text_col: str) -> DataFrame:
