@@ -31,7 +31,7 @@ def keep_last(df: DataFrame, keys=("class", "basename"), ord_col: str = "ord", s
 
 def manifest(df: DataFrame, class_col: str = "class", name_col: str = "basename", length: str = "length",
              mtime: str = "modificationTime") -> DataFrame:
-    """K6/O1: class, name, size and whole-second mtime, ordered by class then name.
+    """K6/O1: class, name, size and whole-second mtime, ordered by class (good, bad) then name.
 
     ``mtime`` may be a timestamp (``binaryFile``'s modificationTime) or epoch
     seconds; seconds are rounded half-to-even like ``%.0f``. With ``binaryFile``
@@ -42,9 +42,11 @@ def manifest(df: DataFrame, class_col: str = "class", name_col: str = "basename"
         secs = F.bround(F.unix_micros(m) / 1e6)
     else:
         secs = F.bround(m.cast("double"))
-    return df.select(F.col(class_col).alias("class"), F.col(name_col).alias("basename"),
-                     F.col(length).cast("long").alias("length"), secs.cast("long").alias("mtime")).orderBy(
-        "class", "basename")
+    out = df.select(F.col(class_col).alias("class"), F.col(name_col).alias("basename"),
+                    F.col(length).cast("long").alias("length"), secs.cast("long").alias("mtime"))
+    # good first, then bad (the order the classes are listed in), names sorted within a class
+    rank = F.when(F.col("class") == "good", 0).when(F.col("class") == "bad", 1).otherwise(2)
+    return out.orderBy(rank, "class", "basename")
 
 
 def manifest_lines(man: DataFrame) -> DataFrame:

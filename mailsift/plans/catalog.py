@@ -183,7 +183,8 @@ def q_keep_last(spark: SparkSession, sf: str) -> DataFrame:
 @register("manifest", f"""
 SELECT class, basename, length, mtime FROM (
   SELECT *, row_number() OVER (PARTITION BY class, basename ORDER BY ord DESC, subdir, path) AS rn
-  FROM {_CORPUS_SQL} c) WHERE rn = 1 ORDER BY class, basename
+  FROM {_CORPUS_SQL} c) WHERE rn = 1
+ORDER BY CASE class WHEN 'good' THEN 0 WHEN 'bad' THEN 1 ELSE 2 END, class, basename
 """)
 def q_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return manifest(keep_last(_corpus(spark, sf)), mtime="mtime")

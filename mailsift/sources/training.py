@@ -15,60 +15,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import WS_CLASS
+from ..functions.jsonvals import json_type, py_float, py_int, py_str
 from ..functions.text import py_strip
 
 TRAINING_FIELDS = ("subject", "body", "metadata_features", "label")
 
-_WS = "[" + WS_CLASS + "]*"
-_INT_TEXT = "^" + _WS + r"[+-]?[0-9]+(_[0-9]+)*" + _WS + r"\z"
-_FLOAT_TEXT = ("^" + _WS + r"[+-]?((([0-9]+(_[0-9]+)*)?\.?[0-9]+(_[0-9]+)*|[0-9]+(_[0-9]+)*\.)([eE][+-]?[0-9]+)?"
-               r"|(?i:inf|infinity|nan))" + _WS + r"\z")
-_NUMERIC = ("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE")
-
-
 def _type(v: Column) -> Column:
-    return F.schema_of_variant(v)
-
-
-def _is_number(t: Column) -> Column:
-    return t.isin(*_NUMERIC) | t.startswith("DECIMAL")
+    return json_type(v)
 
 
 def _text_field(v: Column, name: str) -> Column:
-    """``str(item.get(name, ""))``: missing → "", JSON null → "None", booleans → True/False."""
-    x = F.try_variant_get(v, f"$.{name}", "variant")
-    t = _type(x)
-    return (F.when(x.isNull(), F.lit(""))
-            .when(t == "VOID", F.lit("None"))
-            .when(t == "STRING", F.try_variant_get(x, "$", "string"))
-            .when(t == "BOOLEAN", F.when(F.try_variant_get(x, "$", "boolean"), F.lit("True")).otherwise(F.lit("False")))
-            .when(t.isin("TINYINT", "SMALLINT", "INT", "BIGINT"), F.try_variant_get(x, "$", "string"))
-            .when(_is_number(t), F.try_variant_get(x, "$", "double").cast("string"))
-            .otherwise(F.to_json(x)))
+    """``str(item.get(name, ""))``."""
+    return py_str(F.try_variant_get(v, f"$.{name}", "variant"), "")
 
 
 def _label(v: Column) -> Column:
     """``int(label)``; null when the reference's conversion would fail."""
-    x = F.try_variant_get(v, "$.label", "variant")
-    t = _type(x)
-    s = F.try_variant_get(x, "$", "string")
-    from_text = F.when(s.rlike(_INT_TEXT), F.regexp_replace(py_strip(s), "_", "").try_cast("long"))
-    return (F.when(t.isin("TINYINT", "SMALLINT", "INT", "BIGINT"), F.try_variant_get(x, "$", "long"))
-            .when(_is_number(t), F.try_variant_get(x, "$", "double").try_cast("long"))
-            .when(t == "BOOLEAN", F.try_variant_get(x, "$", "boolean").cast("long"))
-            .when(t == "STRING", from_text)
-            .cast("int"))
+    return py_int(F.try_variant_get(v, "$.label", "variant")).cast("int")
 
 
 def _float_of(x: Column) -> Column:
-    """``float(item)`` for one array element (variant); null = conversion fails."""
-    t = _type(x)
-    s = F.try_variant_get(x, "$", "string")
-    from_text = F.when(s.rlike(_FLOAT_TEXT), F.regexp_replace(py_strip(s), "_", "").try_cast("double"))
-    return (F.when(_is_number(t), F.try_variant_get(x, "$", "double"))
-            .when(t == "BOOLEAN", F.try_variant_get(x, "$", "boolean").cast("double"))
-            .when(t == "STRING", from_text))
+    return py_float(x)
 
 
 def _metadata(v: Column) -> tuple[Column, Column]:

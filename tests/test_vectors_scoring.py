@@ -17,9 +17,11 @@ def test_fit_width(spark):
 
 
 def test_parse_metadata(spark):
-    vals = ["[0,1,3]", '{"a":1}', '["x"]', "[1,null]", '["2"]', "[1,2,3,4]", "not json"]
+    vals = ["[0,1,3]", '{"a":1}', '["x"]', "[1,null]", '["2"]', "[1,2,3,4]", "not json", "[true, 2.5]", "[[1]]",
+            '[" 7 "]', "[]"]
     got = one_col(spark, vals, lambda c: parse_metadata(c, 3))
-    assert got == [[0.0, 1.0, 3.0], [0.0] * 3, [0.0] * 3, [0.0] * 3, [2.0, 0.0, 0.0], [1.0, 2.0, 3.0], [0.0] * 3]
+    assert got == [[0.0, 1.0, 3.0], [0.0] * 3, [0.0] * 3, [0.0] * 3, [2.0, 0.0, 0.0], [1.0, 2.0, 3.0], [0.0] * 3,
+                   [1.0, 2.5, 0.0], [0.0] * 3, [7.0, 0.0, 0.0], [0.0] * 3]
 
 
 def test_metadata_width(spark):
