@@ -26,7 +26,7 @@ from ..operators.embed import limit_tokens
 from ..operators.features import class_weights, join_embeddings, mean_pool_long, metadata_width, standardise_metadata
 from ..operators.html import html_to_text
 from ..operators.measure import score_histogram, status_counts, threshold_sweep
-from ..operators.model import accuracy, classify, contract, load_model, save_model, score, to_vector, train
+from ..operators.model import accuracy, classify, contract, load_model, predicted_class, save_model, score, train
 from ..operators.parse import parse_counts, parse_mail
 from ..operators.route import deliver, route_tagged, tag_headers, with_verdict, write_maildir_files
 from ..session import scratch_path, table
@@ -783,8 +783,8 @@ def q_train_kinds(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for kind in ("logistic", "svm", "gbt"):
         m = train(e, "features", "label", kind=kind, max_iter=100 if kind == "svm" else 1000)
-        pred = m.transform(to_vector(e, "features")).select(
-            F.lit(kind).alias("kind"), (F.col("prediction") == F.col("label")).cast("double").alias("hit"))
+        pred = predicted_class(e, m, "features").select(
+            F.lit(kind).alias("kind"), (F.col("predicted") == F.col("label")).cast("double").alias("hit"))
         acc = pred.groupBy("kind").agg(F.avg("hit").alias("accuracy"))
         out = acc if out is None else out.unionByName(acc)
     return out
