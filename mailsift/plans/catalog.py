@@ -609,10 +609,11 @@ FROM {_DOC_URL_SQL} t JOIN labels l ON l.doc_id = t.doc_id
 
 
 def _write_maildirs(spark: SparkSession, sf: str) -> str:
-    """Deliver every labelled message as a file into ``<base>/<class>/new`` (colon in the names)."""
+    """Deliver every labelled message as a file into ``<base>/<class>/new``; the
+    names carry a Maildir flags part (``:2,S``) so the colon handling is exercised."""
     base = scratch_path(spark, "maildir")
     mail = _labelled_mail(spark, sf).withColumn("path", F.col("doc_id").cast("string"))
-    write_maildir_files(mail, base, "class", "path", "content")
+    write_maildir_files(mail, base, "class", "path", "content", info="2,S")
     return base
 
 
