@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.measure import status_counts  # noqa: F401  (documented alternative)
 from .catalog import _parsed_corpus
 from .score import score_parsed
 from .train import build_model

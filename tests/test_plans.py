@@ -3,7 +3,6 @@ every registered query against its DuckDB statement on the smallest tables."""
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import SF001
 
