@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pyspark.ml.feature import RegexTokenizer
 
-from ..constants import MAX_TOKENS
+from ..constants import MAX_TOKENS, WS_CLASS
 from ..functions import headers as H
 from ..functions import text as X
 from ..functions.scoring import format_score, score_text
@@ -89,11 +89,22 @@ def q_html_text(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ headers
 
+# A display name taken from the start of each document ("Name" <addr>) for the
+# senders whose address is bare in SENDER_PAIRS; quotes, brackets, backslashes
+# and whitespace runs become single spaces.
+_NAME_CHARS = "[" + WS_CLASS + r'"<>\\]+'
+_NAMED = (0, 2, 3)
+
+
 def _pairs_sql(idx: int) -> str:
-    arms = " ".join(
-        f"WHEN {i} THEN {('NULL' if p[idx] is None else O.lit(p[idx]))}" for i, p in enumerate(SENDER_PAIRS)
-    )
-    return f"(CASE doc_id % {len(SENDER_PAIRS)} {arms} END)"
+    arms = []
+    for i, p in enumerate(SENDER_PAIRS):
+        v = "NULL" if p[idx] is None else O.lit(p[idx])
+        if idx == 0 and i in _NAMED:
+            name = f"trim(regexp_replace(substring(text, 1, 20), {O.lit(_NAME_CHARS)}, ' ', 'g'))"
+            v = f"('\"' || {name} || '\" <' || {v} || '>')"
+        arms.append(f"WHEN {i} THEN {v}")
+    return f"(CASE doc_id % {len(SENDER_PAIRS)} {' '.join(arms)} END)"
 
 
 @register("reply_to_mismatch", f"""
@@ -104,12 +115,18 @@ FROM (SELECT doc_id, from_hdr, reply_to_hdr,
       FROM (SELECT doc_id, {_pairs_sql(0)} AS from_hdr, {_pairs_sql(1)} AS reply_to_hdr FROM documents))
 """)
 def q_reply_to_mismatch(spark: SparkSession, sf: str) -> DataFrame:
+    """X4 + X5 + J1 over sender headers built per document: fixed address pairs
+    (doc_id mod 6), display names from the document's own text."""
     k = F.pmod(F.col("doc_id"), F.lit(len(SENDER_PAIRS)))
+    name = F.trim(F.regexp_replace(F.substring("text", 1, 20), _NAME_CHARS, " "))
 
     def pick(idx):
         e = None
         for i, p in enumerate(SENDER_PAIRS):
-            e = F.when(k == i, F.lit(p[idx])) if e is None else e.when(k == i, F.lit(p[idx]))
+            v = F.lit(p[idx])
+            if idx == 0 and i in _NAMED:
+                v = F.concat(F.lit('"'), name, F.lit('" <'), v, F.lit(">"))
+            e = F.when(k == i, v) if e is None else e.when(k == i, v)
         return e
 
     d = table(spark, sf, "documents").select("doc_id", pick(0).alias("from_hdr"), pick(1).alias("reply_to_hdr"))
@@ -493,14 +510,26 @@ def _spf_sql_pick(idx):
     return f"(CASE doc_id % {len(SPF_CASES)} {' '.join(arms)} END)"
 
 
+_SNIPPET_WS = "[" + WS_CLASS + "]+"
+_SNIPPET_SQL = f"regexp_replace(substring(text, 1, 30), {O.lit(_SNIPPET_WS)}, ' ', 'g')"
+
+
 @register("spf_feature", f"""
 SELECT doc_id, {O.spf_feature('x_spf', 'rs', 'ar')} AS spf
-FROM (SELECT doc_id, {_spf_sql_pick(0)} AS x_spf, {_spf_sql_pick(1)} AS rs, {_spf_sql_pick(2)} AS ar FROM documents)
+FROM (SELECT doc_id, {_spf_sql_pick(0)} AS x_spf,
+             list_transform({_spf_sql_pick(1)}, lambda h: h || ' (' || {_SNIPPET_SQL} || ')') AS rs,
+             list_transform({_spf_sql_pick(2)}, lambda h: h || ' (' || {_SNIPPET_SQL} || ')') AS ar
+      FROM documents)
 """)
 def q_spf_feature(spark: SparkSession, sf: str) -> DataFrame:
+    """X14 over header sets chosen by doc_id mod 8; every Received-SPF and
+    Authentication-Results line carries a comment taken from the document."""
     k = F.pmod(F.col("doc_id"), F.lit(len(SPF_CASES)))
-    d = table(spark, sf, "documents").select("doc_id", _spf_pick(k, 0).alias("x_spf"), _spf_pick(k, 1).alias("rs"),
-                                            _spf_pick(k, 2).alias("ar"))
+    snippet = F.regexp_replace(F.substring("text", 1, 30), _SNIPPET_WS, " ")
+    d = table(spark, sf, "documents").select(
+        "doc_id", _spf_pick(k, 0).alias("x_spf"),
+        F.transform(_spf_pick(k, 1), lambda h: F.concat(h, F.lit(" ("), snippet, F.lit(")"))).alias("rs"),
+        F.transform(_spf_pick(k, 2), lambda h: F.concat(h, F.lit(" ("), snippet, F.lit(")"))).alias("ar"))
     return d.select("doc_id", H.spf_feature("x_spf", "rs", "ar").alias("spf"))
 
 
