@@ -149,31 +149,32 @@ def collapse_breaks(text: Column) -> Column:
     return py_strip(t)
 
 
+# A legacy reference without ';' ("&amp<", "&copy 2"): the character after the name
+# ends it. Writing the ';' in (on the raw HTML, where that character is still the
+# one the HTML parser sees) lets the ordinary decoding below handle it. The
+# terminator is consumed by each match, so a second pass catches back-to-back
+# references.
+HTML_LEGACY_PATTERN = "&(" + "|".join(HTML_LEGACY_NAMES) + ")([^-.a-zA-Z0-9;])"
+
+
 def html_to_text_flat(html: Column | str) -> Column:
     """All-native HTML to text.
 
-    Comments and script/style/template/rt/rp bodies go first (script bodies may
-    hold tag-like strings), then declarations; a line break is put at every
-    ``<br>`` and every closing ``p/div/li/tr`` tag; remaining tags are removed,
-    a fixed list of entities is decoded and the breaks are collapsed. Differs
-    from the tree form (X1) only for unclosed or mis-nested block elements.
+    Legacy references get their ';', then comments and script/style/template/
+    rt/rp bodies go (script bodies may hold tag-like strings), then
+    declarations; a line break is put at every ``<br>`` and every closing
+    ``p/div/li/tr`` tag; remaining tags are removed, a fixed list of entities is
+    decoded and the breaks are collapsed. Differs from the tree form (X1) only
+    for unclosed or mis-nested block elements and entities outside the list.
     """
     h = _col(html)
-    t = F.regexp_replace(h, HTML_DROP_PATTERN, "")
+    t = F.regexp_replace(h, HTML_LEGACY_PATTERN, "&$1;$2")
+    t = F.regexp_replace(t, HTML_LEGACY_PATTERN, "&$1;$2")
+    t = F.regexp_replace(t, HTML_DROP_PATTERN, "")
     t = F.regexp_replace(t, HTML_DECL_PATTERN, "")
     t = F.regexp_replace(t, HTML_BREAK_PATTERN, "\n")
-    # a legacy name cut off right before a tag ("&amp</title>") is resolved while
-    # the '<' that ends it is still there
-    for name in HTML_LEGACY_NAMES:
-        t = F.replace(t, F.lit(f"&{name}<"), F.lit(dict(HTML_ENTITIES)[f"&{name};"] + "<"))
     t = F.regexp_replace(t, HTML_TAG_PATTERN, "")
     for ent, ch in HTML_ENTITIES:
         t = F.replace(t, F.lit(ent), F.lit(ch))
-    # legacy names without ';' (e.g. a title cut after "&amp"); the terminator is
-    # consumed by the match, so two passes resolve back-to-back references
-    for name in HTML_LEGACY_NAMES:
-        ch = dict(HTML_ENTITIES)[f"&{name};"]
-        for _ in range(2):
-            t = F.regexp_replace(t, f"&{name}([^-.a-zA-Z0-9;])", ch + "$1")
     out = collapse_breaks(t)
     return F.when(h.isNull() | (h == ""), F.lit("")).otherwise(out)

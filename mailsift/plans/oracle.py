@@ -78,23 +78,20 @@ def url_domains(t: str) -> str:
 
 
 def html_text_flat(h: str) -> str:
-    drop = "(?is)" + "|".join(["<!--.*?-->"] + [rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in HTML_HIDDEN_TAGS])
+    drop = "(?is)<(?:" + "|".join(["!--.*?-->"] + [rf"{t}\b[^>]*>.*?</{t}\s*>" for t in HTML_HIDDEN_TAGS]) + ")"
     decl = r"<![^>]*>|<\?[^>]*>"
     brk = (r"(?i)<br\b[^>]*>|</(?:" + "|".join(HTML_BLOCK_TAGS) + r")\s*>|<(?:"
            + "|".join(HTML_BLOCK_TAGS) + r")\b[^>]*/>")
     tag = r"</?[a-zA-Z][^>]*>"
-    e = f"regexp_replace({h}, {lit(drop)}, '', 'g')"
+    legacy = "&(" + "|".join(HTML_LEGACY_NAMES) + ")([^-.a-zA-Z0-9;])"
+    e = f"regexp_replace({h}, {lit(legacy)}, {lit(chr(38) + chr(92) + '1;' + chr(92) + '2')}, 'g')"
+    e = f"regexp_replace({e}, {lit(legacy)}, {lit(chr(38) + chr(92) + '1;' + chr(92) + '2')}, 'g')"
+    e = f"regexp_replace({e}, {lit(drop)}, '', 'g')"
     e = f"regexp_replace({e}, {lit(decl)}, '', 'g')"
     e = f"regexp_replace({e}, {lit(brk)}, chr(10), 'g')"
-    for name in HTML_LEGACY_NAMES:
-        e = f"replace({e}, {lit('&' + name + '<')}, {lit(dict(HTML_ENTITIES)['&' + name + ';'] + '<')})"
     e = f"regexp_replace({e}, {lit(tag)}, '', 'g')"
     for ent, ch in HTML_ENTITIES:
         e = f"replace({e}, {lit(ent)}, {lit(ch)})"
-    for name in HTML_LEGACY_NAMES:
-        ch = dict(HTML_ENTITIES)[f"&{name};"]
-        for _ in range(2):
-            e = f"regexp_replace({e}, {lit('&' + name + '([^-.a-zA-Z0-9;])')}, {lit(ch + chr(92) + '1')}, 'g')"
     e = f"replace({e}, {lit(chr(92) + 'n')}, chr(10))"
     e = f"replace({e}, chr(13), '')"
     e = f"regexp_replace({e}, ' +', ' ', 'g')"
