@@ -91,3 +91,29 @@ def test_spf(spark):
                                "i int, x string, rs array<string>, ar array<string>, want double")
     rows = df.orderBy("i").select(spf_feature("x", "rs", "ar").alias("got"), "want").collect()
     assert [r.got for r in rows] == [r.want for r in rows]
+
+
+def test_tagging_keeps_older_headers_and_routing_reads_only_the_header_block(spark):
+    from mailsift.operators.route import route_tagged, tag_headers, with_verdict
+
+    old = b"X-Spam-Status: No, score=0.1000, threshold=0.5000\nSubject: s\n\nX-Spam-Status: Yes in the body\n"
+    body_only = b"Subject: s\n\nX-Spam-Status: Yes in the body\n"
+    df = spark.createDataFrame([(1, "0.9000", old), (2, None, body_only)], "id int, score_text string, content binary")
+    t = tag_headers(with_verdict(df, "score_text", 0.5), "content", 0.5)
+    rows = {r.id: r for r in route_tagged(t, "tagged").collect()}
+    assert rows[1].tagged.startswith(b"X-Spam-Status: Yes, score=0.9000, threshold=0.5000\nX-Spam-Score: 0.9000\n")
+    assert rows[1].tagged.endswith(old) and rows[1].tagged_spam
+    assert rows[2].tagged.startswith(b'X-Spam-Status: Error, score=0.0000, threshold=0.5000, error="empty response"')
+    plain = {r.id: r.tagged_spam for r in route_tagged(df, "content").collect()}
+    assert plain == {1: False, 2: False}
+
+
+def test_deliver_partitions_by_folder(spark, tmp_path):
+    from mailsift.operators.route import deliver, with_verdict
+
+    df = spark.createDataFrame([("0.9000",), ("0.1000",), ("abc",)], "score_text string")
+    deliver(with_verdict(df, "score_text", 0.5), str(tmp_path))
+    got = {r.folder: r.n for r in spark.read.parquet(str(tmp_path / "delivered")).groupBy("folder").count()
+           .withColumnRenamed("count", "n").collect()}
+    assert got == {"spam": 1, "ham": 1}
+    assert spark.read.parquet(str(tmp_path / "rejects")).count() == 1
