@@ -29,7 +29,7 @@ from ..operators.measure import score_histogram, status_counts, threshold_sweep
 from ..operators.model import accuracy, classify, contract, load_model, predicted_class, save_model, score, train
 from ..operators.parse import parse_counts, parse_mail
 from ..operators.route import deliver, route_tagged, tag_headers, with_verdict, write_maildir_files
-from ..session import scratch_path, table
+from ..session import scratch_path, spread, table
 from ..sources.mail import load_corpus, scan_corpus
 from ..sources.training import read_training, write_training
 from ..streaming.score import run_to_table, stream_mail, stream_table
@@ -84,7 +84,8 @@ def q_html_text_flat(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("html_text", ORACLE["html_text_flat"])
 def q_html_text(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", html_to_text("html").alias("text"))
+    # one Python call per page: give the UDF stage enough partitions
+    return spread(table(spark, sf, "pages")).select("page_id", html_to_text("html").alias("text"))
 
 
 # ------------------------------------------------------------------ headers
