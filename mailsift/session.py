@@ -62,21 +62,3 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     """Read one of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-
-def spread(df, per_core: int = 2):
-    """Enough partitions for an expensive per-row (Python) stage.
-
-    Large inputs already arrive in many partitions and are left alone (no
-    shuffle). A small input read from few files or row groups may sit in a
-    single task; it is spread round-robin (Spark sorts rows inside each task
-    first, so a retried task gets the same rows) over ``per_core`` partitions
-    per core. Streaming frames are left as they are.
-    """
-    if df.isStreaming:
-        return df
-    target = df.sparkSession.sparkContext.defaultParallelism * per_core
-    try:
-        n = df.rdd.getNumPartitions()
-    except Exception:  # e.g. no RDD view available
-        return df
-    return df.repartition(target) if n < target else df
