@@ -42,7 +42,7 @@ def _session(master: str | None) -> SparkSession:
 
 def ingest(spark: SparkSession, good, bad, output: str, maildir: bool = False) -> dict:
     """S1-S3 → P1-P6 → K1: parse the two folder lists and write JSON lines."""
-    corpus = scan_corpus(spark, good, bad, subdirs=("cur", "new") if maildir else None)
+    corpus = scan_corpus(spark, good, bad, subdirs=("cur", "new") if maildir else None, any_depth=maildir)
     parsed = parse_mail(corpus.select("path", "class", "label", "content")).persist()
     try:
         counts = {r["class"]: (r.files, r.processed, r.errors) for r in parse_counts(parsed).collect()}
@@ -117,7 +117,7 @@ def main(argv=None) -> int:
     a.add_argument("-g", "--good", nargs="+", required=True)
     a.add_argument("-b", "--bad", nargs="+", required=True)
     a.add_argument("-o", "--output", required=True)
-    a.add_argument("--maildir", action="store_true", help="read only cur/ and new/ of each folder")
+    a.add_argument("--maildir", action="store_true", help="read only cur/ and new/ directories, at any depth")
     t = sub.add_parser("train")
     t.add_argument("--data", required=True)
     t.add_argument("--model-dir", required=True)

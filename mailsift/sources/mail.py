@@ -56,16 +56,35 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
             .option("recursiveFileLookup", "true").load(path))
 
 
-def scan_mail(spark: SparkSession, paths, subdirs: tuple[str, ...] | None = None) -> DataFrame:
+def maildir_dirs(spark: SparkSession, root: str, subdirs: tuple[str, ...] = MAILDIR_SUBDIRS) -> list[str]:
+    """The ``cur``/``new`` directories at any depth below ``root``.
+
+    A first, metadata-only listing (``content`` is never selected, so no file
+    is opened) finds the topmost such directory of every file; the distinct
+    directories — one or two per Maildir folder, a short list — come back to
+    the driver so that only they are read.
+    """
+    alt = "|".join(subdirs)
+    top = F.regexp_extract("path", rf"^(.*?/(?:{alt}))/", 1)
+    listing = _read(spark, root).select(top.alias("d")).filter(F.col("d") != "").distinct()
+    return sorted(r["d"] for r in listing.collect())
+
+
+def scan_mail(spark: SparkSession, paths, subdirs: tuple[str, ...] | None = None,
+              any_depth: bool = False) -> DataFrame:
     """One row per message file: ``path, modificationTime, length, content, root, subdir, basename``.
 
-    ``subdirs=("cur", "new")`` reads only those Maildir sub-directories (S2).
-    A missing root is a warning and contributes no rows; a root listed twice
-    is read twice (``unionByName`` keeps duplicates).
+    ``subdirs=("cur", "new")`` reads only those Maildir sub-directories (S2),
+    directly below each root or, with ``any_depth``, wherever they occur below
+    it. A missing root is a warning and contributes no rows; a root listed
+    twice is read twice (``unionByName`` keeps duplicates).
     """
     frames = []
     for root in split_paths(paths):
-        targets = [f"{root.rstrip('/')}/{s}" for s in subdirs] if subdirs else [root]
+        if subdirs and any_depth and _exists(spark, root):
+            targets = maildir_dirs(spark, root, subdirs)
+        else:
+            targets = [f"{root.rstrip('/')}/{s}" for s in subdirs] if subdirs else [root]
         for t in targets:
             if not _exists(spark, t):
                 log.warning("Path not found: %s", t)
@@ -88,12 +107,13 @@ def load_corpus(good: DataFrame, bad: DataFrame) -> DataFrame:
     return good.withColumn("label", F.lit(0)).unionByName(bad.withColumn("label", F.lit(1)), allowMissingColumns=True)
 
 
-def scan_corpus(spark: SparkSession, good_paths, bad_paths, subdirs=None) -> DataFrame:
+def scan_corpus(spark: SparkSession, good_paths, bad_paths, subdirs=None, any_depth: bool = False) -> DataFrame:
     """S1 + S3 for two path lists, with ``class`` = good/bad and the folder order ``ord``."""
     def side(paths, cls):
         frames = []
         for i, p in enumerate(split_paths(paths)):
-            frames.append(scan_mail(spark, p, subdirs).withColumn("folder", F.lit(p)).withColumn("ord", F.lit(i)))
+            frames.append(scan_mail(spark, p, subdirs, any_depth).withColumn("folder", F.lit(p))
+                          .withColumn("ord", F.lit(i)))
         df = frames[0]
         for f in frames[1:]:
             df = df.unionByName(f)

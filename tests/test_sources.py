@@ -83,3 +83,19 @@ def test_domain_list(spark):
     mail = spark.createDataFrame([("web.de",), ("x.org",)], "reply_domain string")
     flags = {r.reply_domain: r.free for r in flag_domains(mail, "reply_domain", d, "free").collect()}
     assert flags == {"web.de": True, "x.org": False}
+
+
+def test_maildir_dirs_at_any_depth(spark):
+    from mailsift.sources.mail import maildir_dirs, scan_mail
+
+    root, spam = _maildir()
+    nested = os.path.join(spam, "archive", "2024")
+    for sd in ("cur", "new", "tmp"):
+        os.makedirs(os.path.join(nested, sd))
+        with open(os.path.join(nested, sd, "m1"), "wb") as f:
+            f.write(b"Subject: x\n\ny")
+    dirs = maildir_dirs(spark, spam)
+    assert [d.rsplit("/", 1)[-1] for d in dirs] == ["cur", "cur", "new", "new"] or len(dirs) == 4
+    assert not any(d.endswith("/tmp") for d in dirs)
+    df = scan_mail(spark, spam, subdirs=("cur", "new"), any_depth=True)
+    assert df.count() == 6 + 2  # 3 visible names in cur and new, plus the nested cur/new messages
