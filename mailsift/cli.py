@@ -23,7 +23,7 @@ from .constants import DEFAULT_EMBEDDING_DIM, DEFAULT_THRESHOLD
 from .functions.scoring import check_threshold
 from .functions.vectors import parse_metadata, resolve_dims
 from .operators.model import classify, contract, load_model, save_model, score
-from .operators.parse import parse_counts, parse_mail
+from .operators.parse import parse_mail
 from .operators.route import tag_headers, write_maildir_files
 from .plans.score import filter_mail
 from .plans.train import Trained, features
@@ -41,15 +41,24 @@ def _session(master: str | None) -> SparkSession:
 
 
 def ingest(spark: SparkSession, good, bad, output: str, maildir: bool = False) -> dict:
-    """S1-S3 → P1-P6 → K1: parse the two folder lists and write JSON lines."""
+    """S1-S3 → P1-P6 → K1: parse the two folder lists and write JSON lines.
+
+    The per-class totals (P6) are observed while the write runs, so the mail
+    is scanned and parsed once and nothing is cached."""
+    from pyspark.sql import Observation
+
     corpus = scan_corpus(spark, good, bad, subdirs=("cur", "new") if maildir else None, any_depth=maildir)
-    parsed = parse_mail(corpus.select("path", "class", "label", "content")).persist()
-    try:
-        counts = {r["class"]: (r.files, r.processed, r.errors) for r in parse_counts(parsed).collect()}
-        write_training(parsed.filter(F.col("parse_error").isNull()), output)
-    finally:
-        parsed.unpersist()
-    return counts
+    parsed = parse_mail(corpus.select("path", "class", "label", "content"))
+    ok, cls = F.col("parse_error").isNull(), F.col("class")
+    obs = Observation("ingest")
+    observed = parsed.observe(
+        obs,
+        *[F.count_if(cls == c).alias(f"{c}_files") for c in ("good", "bad")],
+        *[F.count_if((cls == c) & ok).alias(f"{c}_processed") for c in ("good", "bad")],
+        *[F.count_if((cls == c) & ~ok).alias(f"{c}_errors") for c in ("good", "bad")])
+    write_training(observed.filter(ok), output)
+    m = obs.get
+    return {c: (m[f"{c}_files"], m[f"{c}_processed"], m[f"{c}_errors"]) for c in ("good", "bad")}
 
 
 def train_from_jsonl(spark: SparkSession, data: str, model_dir: str,
