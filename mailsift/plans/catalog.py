@@ -610,7 +610,8 @@ def q_stream_score(spark: SparkSession, sf: str) -> DataFrame:
     over the events parquet drop, written by an idempotent ``foreachBatch``
     sink to the shared folder and read back (equal to the batch result)."""
     schema = table(spark, sf, "events").schema
-    src = stream_table(spark, sf, schema, "parquet", glob="events.parquet", max_files_per_trigger=1)
+    # the glob matches events.parquet whether it is one file or a directory of parts
+    src = stream_table(spark, f"{sf.rstrip('/')}/events.parquet*", schema, "parquet", max_files_per_trigger=1)
     out = _tagged_events(spark, sf, events=src)
     base = scratch_path(spark, "stream-score")
     q = run_to_table(out, f"{base}/out", f"{base}/checkpoint")
