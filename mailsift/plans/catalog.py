@@ -611,7 +611,7 @@ def q_stream_score(spark: SparkSession, sf: str) -> DataFrame:
     sink to the shared folder and read back (equal to the batch result)."""
     schema = table(spark, sf, "events").schema
     # the glob matches events.parquet whether it is one file or a directory of parts
-    src = stream_table(spark, f"{sf.rstrip('/')}/events.parquet*", schema, "parquet", max_files_per_trigger=1)
+    src = stream_table(spark, f"{sf.rstrip('/')}/events.parquet*", schema, "parquet", max_files_per_trigger=64)
     out = _tagged_events(spark, sf, events=src)
     base = scratch_path(spark, "stream-score")
     q = run_to_table(out, f"{base}/out", f"{base}/checkpoint")
