@@ -117,3 +117,28 @@ def test_deliver_partitions_by_folder(spark, tmp_path):
            .withColumnRenamed("count", "n").collect()}
     assert got == {"spam": 1, "ham": 1}
     assert spark.read.parquet(str(tmp_path / "rejects")).count() == 1
+
+
+def test_threshold_sweep_and_histogram_against_brute_force(spark):
+    import random
+
+    from mailsift.operators.measure import score_histogram, threshold_sweep
+
+    rnd = random.Random(17)
+    rows = [(f"{rnd.randint(0, 10000) / 10000:.4f}", rnd.random() < 0.3) for _ in range(3000)]
+    rows += [("1.0000", True), ("0.0000", False), ("0.5000", True)]
+    df = spark.createDataFrame(rows, "score_text string, pos boolean")
+    sweep = {r.threshold: r for r in threshold_sweep(spark, df, F.col("pos")).collect()}
+    for k in range(21):
+        t = k / 20
+        tp = sum(1 for s, p in rows if p and float(s) >= t)
+        fp = sum(1 for s, p in rows if not p and float(s) >= t)
+        r = sweep[round(t, 4)]
+        assert (r.tp, r.fp) == (tp, fp), t
+        assert r.fn == sum(p for _, p in rows) - tp and r.tn == sum(not p for _, p in rows) - fp
+    hist = {r.bin: r.n for r in score_histogram(df).collect()}
+    want = {}
+    for s, _ in rows:
+        b = min(int(round(float(s) * 10000)) // 500, 19)
+        want[b] = want.get(b, 0) + 1
+    assert hist == want
