@@ -27,18 +27,57 @@ _PUNCT_CLASS = "[" + re.escape(URL_TRAILING_PUNCT).replace("\\ ", " ") + "]"
 _TRAIL_PUNCT = _PUNCT_CLASS + r"*\z"
 _TRAIL_PUNCT_PLUS = _PUNCT_CLASS + r"+\z"
 _NETLOC = r"(?i)^https?://([^/?#]*)"
-# A netloc the URL parser rejects (bracket trouble) while the fallback
-# pattern cannot match either because the host part is empty.
-_NETLOC_REFUSED = r"^:.*[\[\]]"
+
+
+def _ipv6_pattern() -> str:
+    """Textual IPv6 addresses as the standard library accepts them: eight 1-4
+    digit hex groups, one '::' standing for at least one group, an optional
+    dotted IPv4 tail worth two groups (no leading zeros), an optional '%zone'."""
+    h = "[0-9a-fA-F]{1,4}"
+    octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    v4 = octet + r"(?:\." + octet + "){3}"
+
+    def groups(n: int) -> str:
+        return "" if n == 0 else h + "(?::" + h + "){%d}" % (n - 1) if n > 1 else h
+
+    forms = []
+    for tail, width in (("", 8), (v4, 6)):
+        sep = ":" if tail else ""
+        forms.append(groups(width) + sep + tail)  # no compression
+        for left in range(width):
+            for right in range(width - left):
+                if left + right > width - 1:
+                    continue
+                rhs = groups(right) + (sep if right and tail else "") + tail
+                forms.append(groups(left) + "::" + rhs)
+    return "^(?:" + "|".join(forms) + ")(?:%[^%]+)?$"
+
+
+IPV6_PATTERN = _ipv6_pattern()
+IPVFUTURE_PATTERN = r"^v[a-fA-F0-9]+\..+$"
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _parser_refuses(netloc: Column) -> Column:
+    """The stdlib URL parser raises for this netloc: a lone bracket, or a
+    bracketed host that is neither IPv6 nor IPvFuture (IPv4 included)."""
+    has_l, has_r = netloc.contains("["), netloc.contains("]")
+    bracketed = F.regexp_extract(netloc, r"^[^\[]*\[([^\]]*)", 1)
+    valid = F.when(bracketed.startswith("v"), bracketed.rlike(IPVFUTURE_PATTERN)).otherwise(
+        bracketed.rlike(IPV6_PATTERN))
+    return (has_l != has_r) | (has_l & ~valid)
+
+
 def _domain_from(base: Column, netloc: Column) -> Column:
+    """Host up to the first ':' without a leading 'www.'; the URL itself when the
+    netloc is empty, or when it starts with ':' (so the fallback host pattern
+    finds nothing) and the parser refuses it."""
     host = F.regexp_replace(F.regexp_extract(netloc, r"^[^:]*", 0), r"(?i)^www\.", "")
-    return F.when((netloc == "") | netloc.rlike(_NETLOC_REFUSED), base).otherwise(host)
+    refused = netloc.startswith(":") & _parser_refuses(netloc)
+    return F.when((netloc == "") | refused, base).otherwise(host)
 
 
 def _domain_of(base: Column) -> Column:

@@ -18,6 +18,7 @@ from ..constants import (
     URL_PATTERN,
     WS_CLASS,
 )
+from ..functions.text import IPV6_PATTERN, IPVFUTURE_PATTERN
 
 
 def lit(s: str) -> str:
@@ -46,7 +47,12 @@ def _domain_of(b: str) -> str:
     """SQL for the domain of a URL with scheme held in expression ``b``."""
     n = f"regexp_extract({b}, {lit(r'(?i)^https?://([^/?#]*)')}, 1)"
     host = f"regexp_replace(regexp_extract({n}, '^[^:]*', 0), {lit(r'(?i)^www\.')}, '')"
-    return f"(CASE WHEN {n} = '' OR regexp_matches({n}, {lit(r'^:.*[\[\]]')}) THEN {b} ELSE {host} END)"
+    inner = f"regexp_extract({n}, {lit(r'^[^\[]*\[([^\]]*)')}, 1)"
+    valid = (f"(CASE WHEN starts_with({inner}, 'v') THEN regexp_matches({inner}, {lit(IPVFUTURE_PATTERN)}) "
+             f"ELSE regexp_matches({inner}, {lit(IPV6_PATTERN)}) END)")
+    has_l, has_r = f"contains({n}, '[')", f"contains({n}, ']')"
+    refused = f"(starts_with({n}, ':') AND (({has_l}) <> ({has_r}) OR (({has_l}) AND NOT {valid})))"
+    return f"(CASE WHEN {n} = '' OR {refused} THEN {b} ELSE {host} END)"
 
 
 def url_domain(e: str) -> str:
@@ -54,27 +60,27 @@ def url_domain(e: str) -> str:
 
 
 def _reduced_list(t: str, vocab: str | None) -> str:
-    base = f"regexp_replace(u, {lit(_PUNCT + '+' + chr(92) + 'z')}, '')"
-    punct = f"regexp_extract(u, {lit(_PUNCT + '*' + chr(92) + 'z')}, 0)"
-    pairs = f"list_transform(regexp_extract_all({t}, {URL}, 0), lambda u: struct_pack(b := {base}, p := {punct}))"
-    dom = _domain_of("s.b")
+    base = f"regexp_replace(lam_u, {lit(_PUNCT + '+' + chr(92) + 'z')}, '')"
+    punct = f"regexp_extract(lam_u, {lit(_PUNCT + '*' + chr(92) + 'z')}, 0)"
+    pairs = f"list_transform(regexp_extract_all({t}, {URL}, 0), lambda lam_u: struct_pack(b := {base}, p := {punct}))"
+    dom = _domain_of("lam_s.b")
     if vocab is not None:
         dom = f"(CASE WHEN list_contains({vocab}, {dom}) THEN '[DOM_' || {dom} || ']' ELSE {dom} END)"
-    return f"list_transform({pairs}, lambda s: {dom} || s.p)"
+    return f"list_transform({pairs}, lambda lam_s: {dom} || lam_s.p)"
 
 
 def strip_urls(t: str, vocab: str | None = None) -> str:
     red = _reduced_list(t, vocab)
     joined = (
         f"array_to_string(list_transform(list_zip(string_split_regex({t}, {URL}), {red}), "
-        f"lambda z: z[1] || coalesce(z[2], '')), '')"
+        f"lambda lam_z: lam_z[1] || coalesce(lam_z[2], '')), '')"
     )
     return f"(CASE WHEN {t} IS NULL THEN NULL ELSE {joined} END)"
 
 
 def url_domains(t: str) -> str:
-    base = f"regexp_replace(u, {lit(_PUNCT + '+' + chr(92) + 'z')}, '')"
-    return f"list_transform(list_transform(regexp_extract_all({t}, {URL}, 0), lambda u: {base}), lambda b: {_domain_of('b')})"
+    base = f"regexp_replace(lam_u, {lit(_PUNCT + '+' + chr(92) + 'z')}, '')"
+    return f"list_transform(list_transform(regexp_extract_all({t}, {URL}, 0), lambda lam_u: {base}), lambda lam_b: {_domain_of('lam_b')})"
 
 
 def html_text_flat(h: str) -> str:
@@ -120,10 +126,10 @@ def spf_feature(x: str, rs: str, ar: str) -> str:
     v1 = f"(CASE WHEN {xs} IN {in_list(SPF_STATUS_WORDS)} THEN {xs} ELSE 'none' END)"
     first = lit("^" + WS + "*([a-zA-Z]+)")
     auth = lit(r"(?i)(?:^|[^\pL\pN_])spf" + WS + "*=" + WS + "*([a-zA-Z]+)")
-    rsw = (f"list_filter(list_transform(coalesce({rs}, []::VARCHAR[]), lambda h: lower(regexp_extract(h, {first}, 1))), "
-           f"lambda w: w IN {in_list(SPF_RESULT_WORDS)})[1]")
-    arw = (f"list_filter(list_transform(coalesce({ar}, []::VARCHAR[]), lambda h: lower(regexp_extract(h, {auth}, 1))), "
-           f"lambda w: w IN {in_list(SPF_RESULT_WORDS)})[1]")
+    rsw = (f"list_filter(list_transform(coalesce({rs}, []::VARCHAR[]), lambda lam_h: lower(regexp_extract(lam_h, {first}, 1))), "
+           f"lambda lam_w: lam_w IN {in_list(SPF_RESULT_WORDS)})[1]")
+    arw = (f"list_filter(list_transform(coalesce({ar}, []::VARCHAR[]), lambda lam_h: lower(regexp_extract(lam_h, {auth}, 1))), "
+           f"lambda lam_w: lam_w IN {in_list(SPF_RESULT_WORDS)})[1]")
     v2 = f"(CASE WHEN {v1} = 'none' THEN coalesce({rsw}, 'none') ELSE {v1} END)"
     v3 = f"(CASE WHEN {v2} = 'none' THEN coalesce({arw}, 'none') ELSE {v2} END)"
     return f"(CASE WHEN {v3} = 'pass' THEN 1.0 WHEN {v3} IN ('fail', 'softfail') THEN -1.0 ELSE 0.0 END)::DOUBLE"
