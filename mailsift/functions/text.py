@@ -57,18 +57,33 @@ IPV6_PATTERN = _ipv6_pattern()
 IPVFUTURE_PATTERN = r"^v[a-fA-F0-9]+\..+$"
 
 
+def _nfkc_delimiters() -> str:
+    """Non-ASCII characters whose NFKC form holds a URL delimiter (full-width
+    '／', '℀' = "a/c", ...). The parser refuses a netloc containing one. Derived
+    from the Unicode data of this Python; all of them lie in the BMP."""
+    import unicodedata
+
+    return "".join(chr(c) for c in range(0x80, 0x10000) if not 0xD800 <= c <= 0xDFFF
+                   and any(d in unicodedata.normalize("NFKC", chr(c)) for d in "/?#@:"))
+
+
+NFKC_DELIMITERS = _nfkc_delimiters()
+NFKC_DELIMITER_CLASS = "[" + NFKC_DELIMITERS + "]"
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def _parser_refuses(netloc: Column) -> Column:
-    """The stdlib URL parser raises for this netloc: a lone bracket, or a
-    bracketed host that is neither IPv6 nor IPvFuture (IPv4 included)."""
+    """The stdlib URL parser raises for this netloc: a lone bracket, a
+    bracketed host that is neither IPv6 nor IPvFuture (IPv4 included), or a
+    character that NFKC normalisation turns into a delimiter."""
     has_l, has_r = netloc.contains("["), netloc.contains("]")
     bracketed = F.regexp_extract(netloc, r"^[^\[]*\[([^\]]*)", 1)
     valid = F.when(bracketed.startswith("v"), bracketed.rlike(IPVFUTURE_PATTERN)).otherwise(
         bracketed.rlike(IPV6_PATTERN))
-    return (has_l != has_r) | (has_l & ~valid)
+    return (has_l != has_r) | (has_l & ~valid) | netloc.rlike(NFKC_DELIMITER_CLASS)
 
 
 def _domain_from(base: Column, netloc: Column) -> Column:

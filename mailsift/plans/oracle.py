@@ -18,7 +18,7 @@ from ..constants import (
     URL_PATTERN,
     WS_CLASS,
 )
-from ..functions.text import IPV6_PATTERN, IPVFUTURE_PATTERN
+from ..functions.text import IPV6_PATTERN, IPVFUTURE_PATTERN, NFKC_DELIMITER_CLASS
 
 
 def lit(s: str) -> str:
@@ -51,7 +51,8 @@ def _domain_of(b: str) -> str:
     valid = (f"(CASE WHEN starts_with({inner}, 'v') THEN regexp_matches({inner}, {lit(IPVFUTURE_PATTERN)}) "
              f"ELSE regexp_matches({inner}, {lit(IPV6_PATTERN)}) END)")
     has_l, has_r = f"contains({n}, '[')", f"contains({n}, ']')"
-    refused = f"(starts_with({n}, ':') AND (({has_l}) <> ({has_r}) OR (({has_l}) AND NOT {valid})))"
+    nfkc = f"regexp_matches({n}, {lit(NFKC_DELIMITER_CLASS)})"
+    refused = f"(starts_with({n}, ':') AND (({has_l}) <> ({has_r}) OR (({has_l}) AND NOT {valid}) OR {nfkc}))"
     return f"(CASE WHEN {n} = '' OR {refused} THEN {b} ELSE {host} END)"
 
 

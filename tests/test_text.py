@@ -66,10 +66,7 @@ def _reduce(text):
 
 PIECES = ["http://", "https://", "HTTP://", "www.", "WWW.", "a", "b.c", "xy", ".", ",", "!", "?", ";", "*", "-",
           ":", "/", "#", "@", "[", "]", " ", " ", " ", "\x1c", "\n", "é", "(", ")", "<", ">", '"', "'",
-          "x:80", "\\", "$1", "=", "&", "::1", "[::]", "v1.x", "%z", "1.2.3.4", "ffff"]
-# still outside the native rule: netlocs that NFKC normalisation makes invalid
-# (full-width and letterlike forms); none of the pieces above produce them
-_SKIP = re.compile(r"[＀-￯℀-⅏﹐-﹯]")
+          "x:80", "\\", "$1", "=", "&", "::1", "[::]", "v1.x", "%z", "1.2.3.4", "ffff", "＃", "：", "℀", "﹫", "ｗ"]
 
 
 def test_strip_urls_differential(spark):
@@ -77,8 +74,7 @@ def test_strip_urls_differential(spark):
     texts = []
     while len(texts) < 6000:
         t = "".join(rnd.choice(PIECES) for _ in range(rnd.randint(1, 14)))
-        if not _SKIP.search(t):
-            texts.append(t)
+        texts.append(t)
     got = one_col(spark, texts, strip_urls)
     bad = [(t, g, _reduce(t)) for t, g in zip(texts, got) if g != _reduce(t)]
     assert not bad[:5], bad[:5]
@@ -115,7 +111,6 @@ def test_sql_statement_of_the_rule_agrees_on_random_texts(spark):
 
     rnd = random.Random(23)
     texts = ["".join(rnd.choice(PIECES) for _ in range(rnd.randint(1, 14))) for _ in range(1500)]
-    texts = [t for t in texts if not _SKIP.search(t)]
     con = duckdb.connect()
     con.execute("CREATE TABLE t (i INTEGER, s VARCHAR)")
     con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(texts)))
