@@ -108,9 +108,10 @@ LR_C = 1.0
 POOL_EPS = 1e-9
 
 # --- fixed values: verdict output formats --------------------------------------
-STATUS_HEADER_FMT = "X-Spam-Status: %s, score=%s, threshold=%.4f\n"
+# (each %s receives text: numbers are printed beforehand with four decimals)
+STATUS_HEADER_FMT = "X-Spam-Status: %s, score=%s, threshold=%s\n"
 SCORE_HEADER_FMT = "X-Spam-Score: %s\n"
-ERROR_STATUS_FMT = 'X-Spam-Status: Error, score=0.0000, threshold=%.4f, error="%s"\n'
+ERROR_STATUS_FMT = 'X-Spam-Status: Error, score=0.0000, threshold=%s, error="%s"\n'
 ERROR_SCORE_HEADER = "X-Spam-Score: 0.0000\n"
 SPAM_FOLDER = "spam"
 HAM_FOLDER = "ham"

@@ -20,13 +20,45 @@ def check_threshold(threshold: float = DEFAULT_THRESHOLD) -> float:
     return t
 
 
-def format_score(score: Column | str) -> Column:
-    """X11: score text with four decimals.
+_SPLIT = 134217729.0  # 2**27 + 1: splits a double into two halves whose products are exact
+
+
+def fixed(x: Column | str, digits: int = 4) -> Column:
+    """``"%.<digits>f"`` exactly as C and Python print it.
 
-    Note: Spark rounds the shortest decimal form half-up, C/Python round the
-    exact binary value; they differ only on hand-made ties such as 0.00015.
+    C and Python round the exact binary value, ties to even; Spark's
+    ``format_string`` rounds the shortest decimal form half up (0.00015 →
+    "0.0002" instead of "0.0001", 0.03125 → "0.0313" instead of "0.0312"). Here
+    ``|x|·10^digits`` is formed exactly as the sum ``p + err`` of two doubles
+    (Dekker's product), the remainder is compared with one half exactly, and the
+    digits are printed from the rounded integer.
     """
-    return F.format_string("%.4f", _col(score))
+    v = _col(x).cast("double")
+    scale = float(10 ** digits)
+    a = F.abs(v)
+    p = a * F.lit(scale)
+    c = F.lit(_SPLIT) * a
+    hi = c - (c - a)
+    lo = a - hi
+    err = (hi * F.lit(scale) - p) + lo * F.lit(scale)
+    fl = F.floor(p)
+    k = F.when((p == fl) & (err < 0), fl - 1).otherwise(fl)
+    d = (p - k - F.lit(0.5)) + err  # its sign is exact
+    n = F.when(d > 0, k + 1).when(d < 0, k).otherwise(F.when(F.pmod(k, F.lit(2)) == 0, k).otherwise(k + 1))
+    sign = F.when(v.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))  # -0.0 included
+    unit = 10 ** digits
+    body = F.format_string("%s%d.%0" + str(digits) + "d", sign, F.floor(n / unit).cast("long"),
+                           F.pmod(n, F.lit(unit)).cast("long")) if digits else F.format_string("%s%d", sign, n)
+    return (F.when(v.isNull(), F.lit(None).cast("string"))
+            .when(F.isnan(v), F.lit("nan"))
+            .when(v == float("inf"), F.lit("inf"))
+            .when(v == float("-inf"), F.lit("-inf"))
+            .otherwise(body))
+
+
+def format_score(score: Column | str) -> Column:
+    """X11: score text with four decimals, rounded like the reference's printf."""
+    return fixed(score, 4)
 
 
 def score_text(score: Column | str, failed: Column | None = None) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..constants import MAX_TOKENS, WS_CLASS
 from ..functions import headers as H
 from ..functions import text as X
-from ..functions.scoring import format_score, score_text
+from ..functions.scoring import fixed, format_score, score_text
 from ..functions.vectors import assemble, parse_metadata, resolve_dims
 from ..operators.corpus import (domain_vocab, inputs, keep_last, manifest, manifest_diff, mark_domains, new_only,
                                 top_domains)
@@ -272,7 +272,7 @@ _EVENT_ARRAYS_SQL = """
 
 
 def _vec_text(c):
-    return F.array_join(F.transform(c, lambda x: F.format_string("%.4f", x)), ",")
+    return F.array_join(F.transform(c, lambda x: fixed(x, 4)), ",")
 
 
 def _vec_text_sql(e: str) -> str:
@@ -301,7 +301,7 @@ def q_fit_width(spark: SparkSession, sf: str) -> DataFrame:
 
 def _event_json(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
-    v = F.format_string("%.2f", "value")
+    v = fixed("value", 2)
     u = F.col("user_id").cast("string")
     j = (F.when(F.col("event_type") == "view", F.col("props"))
          .when(F.col("event_type") == "click", F.concat(F.lit("["), v, F.lit(", "), u, F.lit("]")))

@@ -142,3 +142,19 @@ def test_threshold_sweep_and_histogram_against_brute_force(spark):
         b = min(int(round(float(s) * 10000)) // 500, 19)
         want[b] = want.get(b, 0) + 1
     assert hist == want
+
+
+def test_fixed_prints_like_python_and_c(spark):
+    """Four-decimal score text rounds the exact binary value, ties to even."""
+    import random
+
+    from mailsift.functions.scoring import fixed
+
+    rnd = random.Random(31)
+    vals = [k / 32 for k in range(33)] + [0.00015, 0.33335, 0.49996, 0.99995, -0.00001, -0.0, 0.0, 1.0]
+    vals += [round(rnd.random(), 5) for _ in range(3000)] + [rnd.random() for _ in range(3000)]
+    got = one_col(spark, vals, lambda c: fixed(c, 4), "x double")
+    assert got == [f"{v:.4f}" for v in vals]
+    got2 = one_col(spark, vals, lambda c: fixed(c * 100, 2), "x double")
+    assert got2 == [f"{v * 100:.2f}" for v in vals]
+    assert one_col(spark, [float("nan"), float("inf"), None], lambda c: fixed(c, 4), "x double") == ["nan", "inf", None]
