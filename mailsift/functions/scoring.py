@@ -23,6 +23,16 @@ def check_threshold(threshold: float = DEFAULT_THRESHOLD) -> float:
 _SPLIT = 134217729.0  # 2**27 + 1: splits a double into two halves whose products are exact
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` as a lambda variable.
+
+    Catalyst inlines column definitions into every place that uses them (and
+    into pushed-down filters), so an expression used many times would be copied
+    many times; binding it through a one-element ``transform`` keeps one copy.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fixed(x: Column | str, digits: int = 4) -> Column:
     """``"%.<digits>f"`` exactly as C and Python print it.
 
@@ -30,30 +40,39 @@ def fixed(x: Column | str, digits: int = 4) -> Column:
     ``format_string`` rounds the shortest decimal form half up (0.00015 →
     "0.0002" instead of "0.0001", 0.03125 → "0.0313" instead of "0.0312"). Here
     ``|x|·10^digits`` is formed exactly as the sum ``p + err`` of two doubles
-    (Dekker's product), the remainder is compared with one half exactly, and the
-    digits are printed from the rounded integer.
+    (Dekker's product), the remainder is compared with one half exactly (the
+    sign of a rounded sum is exact), and the digits are printed from the rounded
+    integer.
     """
-    v = _col(x).cast("double")
-    scale = float(10 ** digits)
-    a = F.abs(v)
-    p = a * F.lit(scale)
-    c = F.lit(_SPLIT) * a
-    hi = c - (c - a)
-    lo = a - hi
-    err = (hi * F.lit(scale) - p) + lo * F.lit(scale)
-    fl = F.floor(p)
-    k = F.when((p == fl) & (err < 0), fl - 1).otherwise(fl)
-    d = (p - k - F.lit(0.5)) + err  # its sign is exact
-    n = F.when(d > 0, k + 1).when(d < 0, k).otherwise(F.when(F.pmod(k, F.lit(2)) == 0, k).otherwise(k + 1))
-    sign = F.when(v.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))  # -0.0 included
-    unit = 10 ** digits
-    body = F.format_string("%s%d.%0" + str(digits) + "d", sign, F.floor(n / unit).cast("long"),
-                           F.pmod(n, F.lit(unit)).cast("long")) if digits else F.format_string("%s%d", sign, n)
-    return (F.when(v.isNull(), F.lit(None).cast("string"))
-            .when(F.isnan(v), F.lit("nan"))
-            .when(v == float("inf"), F.lit("inf"))
-            .when(v == float("-inf"), F.lit("-inf"))
-            .otherwise(body))
+    scale, unit = float(10 ** digits), 10 ** digits
+
+    def exact(v):
+        a = F.abs(v)
+        c = F.lit(_SPLIT) * a
+        hi = c - (c - a)
+        lo = a - hi
+        p = a * F.lit(scale)
+        return F.struct(p.alias("p"), ((hi * F.lit(scale) - p) + lo * F.lit(scale)).alias("err"))
+
+    def rounded(pe):
+        fl = F.floor(pe["p"])
+        k = fl - F.when((pe["p"] == fl) & (pe["err"] < 0), 1).otherwise(0)
+        return let(k, lambda k: k + F.when(((pe["p"] - k - F.lit(0.5)) + pe["err"]) > 0, 1)
+                   .when(((pe["p"] - k - F.lit(0.5)) + pe["err"]) < 0, 0).otherwise(F.pmod(k, F.lit(2))))
+
+    def text(v):
+        sign = F.when(v.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))  # -0.0 included
+        n = let(exact(v), rounded)
+        body = let(n, lambda n: F.format_string("%s%d.%0" + str(digits) + "d", sign, F.floor(n / unit).cast("long"),
+                                                F.pmod(n, F.lit(unit)).cast("long"))) if digits else \
+            F.format_string("%s%d", sign, n)
+        return (F.when(v.isNull(), F.lit(None).cast("string"))
+                .when(F.isnan(v), F.lit("nan"))
+                .when(v == float("inf"), F.lit("inf"))
+                .when(v == float("-inf"), F.lit("-inf"))
+                .otherwise(body))
+
+    return let(_col(x).cast("double"), text)
 
 
 def format_score(score: Column | str) -> Column:
@@ -77,24 +96,34 @@ def parse_score(text: Column | str) -> Column:
     return F.when(ok, t.try_cast("double"))
 
 
-def verdict_columns(text: Column | str, threshold: float = DEFAULT_THRESHOLD) -> dict[str, Column]:
-    """Decide on the re-parsed four-decimal text.
-
-    Returns ``score`` (double or null), ``status`` (Yes/No/Error), ``folder``
-    (spam/ham/null) and ``error`` (null, ``empty response`` or
-    ``invalid score: <text>``).
-    """
+def verdict(text: Column | str, threshold: float = DEFAULT_THRESHOLD) -> Column:
+    """Decide on the re-parsed four-decimal text, as one struct column
+    ``score`` (double or null), ``status`` (Yes/No/Error), ``folder``
+    (spam/ham/null), ``error`` (null, ``empty response`` or ``invalid score: <text>``).
+    The text is bound once, so filters on the result stay small."""
     t = check_threshold(threshold)
-    raw = _col(text)
-    trimmed = F.regexp_replace(raw, r"[\r\n \t]+\z", "")
-    s = parse_score(raw)
-    empty = raw.isNull() | (raw == "")
-    invalid = ~empty & (s.isNull() | (s < 0.0) | (s > 1.0))
-    error = (
-        F.when(empty, F.lit("empty response"))
-        .when(invalid, F.concat(F.lit("invalid score: "), trimmed))
-    )
-    status = F.when(error.isNotNull(), F.lit("Error")).when(s >= F.lit(t), F.lit("Yes")).otherwise(F.lit("No"))
-    folder = F.when(error.isNotNull(), F.lit(None).cast("string")).when(
-        s >= F.lit(t), F.lit(SPAM_FOLDER)).otherwise(F.lit(HAM_FOLDER))
-    return {"score": F.when(error.isNull(), s), "status": status, "folder": folder, "error": error}
+
+    def decide(raw):
+        trimmed = F.regexp_replace(raw, r"[\r\n \t]+\z", "")
+        empty = raw.isNull() | (raw == "")
+
+        def with_score(s):
+            error = (F.when(empty, F.lit("empty response"))
+                     .when(s.isNull() | (s < 0.0) | (s > 1.0), F.concat(F.lit("invalid score: "), trimmed)))
+            return let(error, lambda e: F.struct(
+                F.when(e.isNull(), s).alias("score"),
+                F.when(e.isNotNull(), F.lit("Error")).when(s >= F.lit(t), F.lit("Yes")).otherwise(F.lit("No"))
+                .alias("status"),
+                F.when(e.isNotNull(), F.lit(None).cast("string")).when(s >= F.lit(t), F.lit(SPAM_FOLDER))
+                .otherwise(F.lit(HAM_FOLDER)).alias("folder"),
+                e.alias("error")))
+
+        return let(parse_score(raw), with_score)
+
+    return let(_col(text).cast("string"), decide)
+
+
+def verdict_columns(text: Column | str, threshold: float = DEFAULT_THRESHOLD) -> dict[str, Column]:
+    """X12 as separate columns (each is a field of ``verdict``)."""
+    v = verdict(text, threshold)
+    return {k: v[k] for k in ("score", "status", "folder", "error")}
