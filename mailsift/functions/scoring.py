@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_THRESHOLD, FALLBACK_SCORE_TEXT, HAM_FOLDER, SPAM_FOLDER
+from .bind import let
 
 
 def _col(c: Column | str) -> Column:
@@ -23,16 +24,6 @@ def check_threshold(threshold: float = DEFAULT_THRESHOLD) -> float:
 _SPLIT = 134217729.0  # 2**27 + 1: splits a double into two halves whose products are exact
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body`` as a lambda variable.
-
-    Catalyst inlines column definitions into every place that uses them (and
-    into pushed-down filters), so an expression used many times would be copied
-    many times; binding it through a one-element ``transform`` keeps one copy.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def fixed(x: Column | str, digits: int = 4) -> Column:
     """``"%.<digits>f"`` exactly as C and Python print it.
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.jsonvals import json_type, py_float, py_int, py_str
+from ..functions.bind import let
 from ..functions.text import py_strip
 
 TRAINING_FIELDS = ("subject", "body", "metadata_features", "label")
@@ -60,19 +61,28 @@ def _metadata(v: Column) -> tuple[Column, Column]:
     return numbers, ok
 
 
-def parse_training_lines(lines: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
-    """S5 on a DataFrame of JSON lines → (rows, rejects)."""
-    parsed = (lines.filter(py_strip(F.col(value_col)) != "")
-              .select(F.col(value_col).alias("line"), F.try_parse_json(F.col(value_col)).alias("__v")))
-    v = F.col("__v")
+def _record(v: Column) -> Column:
     numbers, meta_ok = _metadata(v)
     label = _label(v)
     reason = (F.when(v.isNull(), F.lit("malformed JSON"))
               .when(~_type(v).startswith("OBJECT"), F.lit("not an object"))
               .when(label.isNull(), F.lit("bad label"))
               .when(~meta_ok, F.lit("bad metadata")))
-    d = parsed.select("line", _text_field(v, "subject").alias("subject"), _text_field(v, "body").alias("body"),
-                      label.alias("label"), numbers.alias("metadata_features"), reason.alias("reject_reason"))
+    return F.struct(_text_field(v, "subject").alias("subject"), _text_field(v, "body").alias("body"),
+                    label.alias("label"), numbers.alias("metadata_features"), reason.alias("reject_reason"))
+
+
+def parse_training_lines(lines: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
+    """S5 on a DataFrame of JSON lines → (rows, rejects).
+
+    Each line is parsed once: the parsed VARIANT is bound inside one record
+    struct, and the struct comes out of a generator (``inline``) so that the
+    filters splitting rows from rejects cannot be pushed below it (which would
+    copy the JSON parse into the filter condition once per use)."""
+    rec = let(F.try_parse_json(F.col(value_col)), _record)
+    d = (lines.filter(py_strip(F.col(value_col)) != "")
+         .select(F.inline(F.array(F.struct(F.col(value_col).alias("line"), rec.alias("rec")))))
+         .select("line", "rec.*"))
     good = d.filter(F.col("reject_reason").isNull()).drop("reject_reason", "line")
     bad = d.filter(F.col("reject_reason").isNotNull()).select("line", "reject_reason")
     return good, bad
