@@ -154,3 +154,16 @@ def test_keep_last_against_brute_force(spark):
     key_of = {r[5]: (-r[2], r[3], r[4]) for r in rows}
     assert got.keys() == want.keys()
     assert all(key_of[got[k]] == key_of[want[k]] for k in want)
+
+
+def test_deliver_maildir_routes_by_verdict(spark, tmp_path):
+    import os
+
+    from mailsift.operators.route import deliver_maildir, with_verdict
+
+    df = spark.createDataFrame([("a", "0.9000", b"m1"), ("b", "0.1000", b"m2"), ("c", "oops", b"m3")],
+                               "path string, score_text string, content binary")
+    deliver_maildir(with_verdict(df, "score_text", 0.5), str(tmp_path))
+    assert sorted(os.listdir(tmp_path)) == ["ham", "spam"]
+    assert [open(tmp_path / "spam" / "new" / f, "rb").read() for f in os.listdir(tmp_path / "spam" / "new")] == [b"m1"]
+    assert len(os.listdir(tmp_path / "ham" / "new")) == 1 and not os.listdir(tmp_path / "ham" / "tmp")
