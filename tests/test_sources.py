@@ -99,3 +99,18 @@ def test_maildir_dirs_at_any_depth(spark):
     assert not any(d.endswith("/tmp") for d in dirs)
     df = scan_mail(spark, spam, subdirs=("cur", "new"), any_depth=True)
     assert df.count() == 6 + 2  # 3 visible names in cur and new, plus the nested cur/new messages
+
+
+def test_compacted_corpus_round_trip(spark, tmp_path):
+    from mailsift.sources.mail import compact_mail, read_compacted, scan_corpus
+
+    _, spam = _maildir()
+    corpus = scan_corpus(spark, f"{spam}/cur", f"{spam}/new")
+    compact_mail(corpus, str(tmp_path / "mail"))
+    back = read_compacted(spark, str(tmp_path / "mail"))
+    assert {"class=bad", "class=good", "_SUCCESS"} <= set(os.listdir(tmp_path / "mail"))
+    assert back.count() == corpus.count() == 6
+    only_bad = back.filter(F.col("class") == "bad")
+    assert only_bad.count() == 3
+    assert "PartitionFilters" in only_bad._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.content for r in back.collect()) == sorted(r.content for r in corpus.collect())
