@@ -40,14 +40,21 @@ def _session(master: str | None) -> SparkSession:
     return b.getOrCreate()
 
 
-def ingest(spark: SparkSession, good, bad, output: str, maildir: bool = False) -> dict:
+def ingest(spark: SparkSession, good, bad, output: str, maildir: bool = False, compact_to: str | None = None) -> dict:
     """S1-S3 → P1-P6 → K1: parse the two folder lists and write JSON lines.
 
     The per-class totals (P6) are observed while the write runs, so the mail
-    is scanned and parsed once and nothing is cached."""
+    is scanned and parsed once and nothing is cached. With ``compact_to`` the
+    raw messages are first copied into Parquet (partitioned by class) and
+    parsed from there, so later runs need not list the small files again."""
     from pyspark.sql import Observation
 
+    from .sources.mail import compact_mail, read_compacted
+
     corpus = scan_corpus(spark, good, bad, subdirs=("cur", "new") if maildir else None, any_depth=maildir)
+    if compact_to:
+        compact_mail(corpus.select("path", "length", "modificationTime", "class", "label", "content"), compact_to)
+        corpus = read_compacted(spark, compact_to)
     parsed = parse_mail(corpus.select("path", "class", "label", "content"))
     ok, cls = F.col("parse_error").isNull(), F.col("class")
     obs = Observation("ingest")
@@ -127,6 +134,7 @@ def main(argv=None) -> int:
     a.add_argument("-b", "--bad", nargs="+", required=True)
     a.add_argument("-o", "--output", required=True)
     a.add_argument("--maildir", action="store_true", help="read only cur/ and new/ directories, at any depth")
+    a.add_argument("--compact-to", default=None, help="also keep the raw messages as Parquet here")
     t = sub.add_parser("train")
     t.add_argument("--data", required=True)
     t.add_argument("--model-dir", required=True)
@@ -145,7 +153,7 @@ def main(argv=None) -> int:
     args = p.parse_args(argv)
     spark = _session(args.master)
     if args.cmd == "ingest":
-        print(json.dumps(ingest(spark, args.good, args.bad, args.output, args.maildir)))
+        print(json.dumps(ingest(spark, args.good, args.bad, args.output, args.maildir, args.compact_to)))
     elif args.cmd == "train":
         print(json.dumps(train_from_jsonl(spark, args.data, args.model_dir, args.embedding_dim)))
     elif args.cmd == "filter":

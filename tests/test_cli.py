@@ -21,9 +21,11 @@ def test_ingest_train_filter_classify(spark, tmp_path):
     write_maildir_files(mail.withColumn("path", F.col("doc_id").cast("string")), base, "box", "path", "content",
                         subdir="cur", info="2,S")
 
-    counts = ingest(spark, [f"{base}/Inbox"], [f"{base}/Junk"], str(tmp_path / "train.jsonl"), maildir=True)
+    counts = ingest(spark, [f"{base}/Inbox"], [f"{base}/Junk"], str(tmp_path / "train.jsonl"), maildir=True,
+                    compact_to=str(tmp_path / "raw"))
     n_good, n_bad = mail.filter("label = 0").count(), mail.filter("label = 1").count()
     assert counts == {"good": (n_good, n_good, 0), "bad": (n_bad, n_bad, 0)}
+    assert spark.read.parquet(str(tmp_path / "raw")).count() == n_good + n_bad
 
     info = train_from_jsonl(spark, str(tmp_path / "train.jsonl"), str(tmp_path / "model"), embedding_dim=64)
     assert info["samples"] == n_good + n_bad and info["metadata_dim"] == 1 and info["total_features"] == 65
