@@ -51,7 +51,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame:
+def _read(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One ``binaryFile`` scan over one or several directories (a single scan node)."""
     return (spark.read.format("binaryFile").schema(BINARY_SCHEMA).options(**FS_OPTIONS)
             .option("recursiveFileLookup", "true").load(path))
 
@@ -85,11 +86,15 @@ def scan_mail(spark: SparkSession, paths, subdirs: tuple[str, ...] | None = None
             targets = maildir_dirs(spark, root, subdirs)
         else:
             targets = [f"{root.rstrip('/')}/{s}" for s in subdirs] if subdirs else [root]
+        present = []
         for t in targets:
-            if not _exists(spark, t):
+            if _exists(spark, t):
+                present.append(t)
+            else:
                 log.warning("Path not found: %s", t)
-                continue
-            frames.append(_read(spark, t).withColumn("root", F.lit(root)))
+        if present:
+            # the directories of one root do not overlap: one scan reads them all
+            frames.append(_read(spark, present).withColumn("root", F.lit(root)))
     if not frames:
         empty = T.StructType(BINARY_SCHEMA.fields + [T.StructField("root", T.StringType())])
         return (spark.createDataFrame([], empty).withColumn("basename", F.lit(None).cast("string"))
