@@ -69,3 +69,14 @@ def test_stream_equals_batch(spark):
     stream = sorted(map(tuple, E.queries()["stream_score"](spark, SF001).select(
         "event_id", "score_text", "status", "folder", "error", "tagged").collect()))
     assert batch == stream
+
+
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_plans_have_no_pair_joins_or_row_udfs(spark, name):
+    """No query pairs every row with every row, and none runs a row-at-a-time Python UDF."""
+    df = E.queries()[name](spark, SF001)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [op for op in FORBIDDEN if op in plan], name
