@@ -22,7 +22,7 @@ from ..functions.vectors import assemble, parse_metadata, resolve_dims
 from ..operators.corpus import (domain_vocab, inputs, keep_last, manifest, manifest_diff, mark_domains, new_only,
                                 top_domains)
 from ..operators.embed import limit_tokens
-from ..operators.features import class_weights, join_embeddings, mean_pool_long, metadata_width, standardise_metadata
+from ..operators.features import class_weights, join_embeddings, mean_pool, metadata_width, standardise_metadata
 from ..operators.html import html_to_text
 from ..operators.measure import score_histogram, status_counts, threshold_sweep
 from ..operators.model import accuracy, classify, contract, load_model, predicted_class, save_model, score, train
@@ -342,8 +342,9 @@ def q_mean_pool(spark: SparkSession, sf: str) -> DataFrame:
     """A3 with mask = vec_id mod 3 ≠ 0 (the mask plays the attention mask)."""
     e = table(spark, sf, "embeddings")
     mask = F.when(F.pmod("vec_id", F.lit(3)) != 0, 1.0).otherwise(0.0)
-    p = mean_pool_long(e, "label", "embedding", mask)
-    return p.select("label", "dim", F.round("pooled", 6).alias("pooled"))
+    p = mean_pool(e, "label", "embedding", mask)
+    return p.select("label", F.posexplode("embedding").alias("dim", "pooled")).select(
+        "label", "dim", F.round("pooled", 6).alias("pooled"))
 
 
 @register("class_weights", """
