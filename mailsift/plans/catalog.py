@@ -57,6 +57,7 @@ def register(name: str, sql: str | None = None):
 SELECT page_id, url, {O.url_domain('url')} AS domain FROM pages
 """)
 def q_url_domain(spark: SparkSession, sf: str) -> DataFrame:
+    """X3 over every page URL."""
     return table(spark, sf, "pages").select("page_id", "url", X.url_domain("url").alias("domain"))
 
 
@@ -70,6 +71,7 @@ _DOC_URL_SQL = """
 SELECT doc_id, {O.strip_urls("text || ' see ' || url || '. '")} AS text_out FROM {_DOC_URL_SQL} t
 """)
 def q_strip_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """X2 over every document text with one page URL appended (documents hold no URLs themselves)."""
     d = with_page_urls(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "pages"))
     return d.select("doc_id", X.strip_urls(mail_body(F.col("text"), F.col("url"))).alias("text_out"))
 
@@ -78,11 +80,13 @@ def q_strip_urls(spark: SparkSession, sf: str) -> DataFrame:
 SELECT page_id, {O.html_text_flat('html')} AS text FROM pages
 """)
 def q_html_text_flat(spark: SparkSession, sf: str) -> DataFrame:
+    """X1b (all native) over every page."""
     return table(spark, sf, "pages").select("page_id", X.html_to_text_flat("html").alias("text"))
 
 
 @register("html_text", ORACLE["html_text_flat"])
 def q_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    """X1 (tree form, Arrow-batched pandas UDF) over every page; its oracle is the flat SQL, equal on these pages."""
     return table(spark, sf, "pages").select("page_id", html_to_text("html").alias("text"))
 
 
@@ -146,6 +150,7 @@ SELECT t.doc_id, l.toxic::INTEGER AS label,
 FROM {_DOC_URL_SQL} t LEFT JOIN labels l ON l.doc_id = t.doc_id
 """)
 def q_parse_mail(spark: SparkSession, sf: str) -> DataFrame:
+    """P1-P5 over raw mail built from every document; subject, body and mismatch are known by construction."""
     raw = synthetic_mail(table(spark, sf, "documents"), table(spark, sf, "pages"), table(spark, sf, "labels"))
     p = parse_mail(raw)
     return p.select("doc_id", "label", "subject", "body", "mismatch", "parse_error")
@@ -193,6 +198,7 @@ SELECT class, basename, folder, ord, subdir, lang, path, length, mtime FROM (
   FROM {_CORPUS_SQL} c) WHERE rn = 1
 """)
 def q_keep_last(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest folder wins per (class, name); names clash because n_chars is the name."""
     return keep_last(_corpus(spark, sf))
 
 
@@ -203,6 +209,7 @@ SELECT class, basename, length, mtime FROM (
 ORDER BY CASE class WHEN 'good' THEN 0 WHEN 'bad' THEN 1 ELSE 2 END, class, basename
 """)
 def q_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """K6/O1 over the flattened corpus (whole-second mtimes, good before bad, names sorted)."""
     return manifest(keep_last(_corpus(spark, sf)), mtime="mtime")
 
 
@@ -284,6 +291,7 @@ SELECT CAST(coalesce(max(len(list_filter(metadata_features, lambda x: x IS NOT N
 FROM {_EVENT_ARRAYS_SQL} a
 """)
 def q_metadata_width(spark: SparkSession, sf: str) -> DataFrame:
+    """A1 over metadata arrays of every event (nulls dropped before measuring)."""
     return metadata_width(_event_arrays(spark, sf))
 
 
@@ -295,6 +303,7 @@ SELECT event_id, CAST(w.m AS INTEGER) AS width,
 FROM a, w
 """)
 def q_fit_width(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event's metadata padded or cut to the width of A1 (a scalar subquery, no driver round trip)."""
     s = standardise_metadata(_event_arrays(spark, sf), "metadata_features", out="vec")
     return s.select("event_id", F.size("vec").alias("width"), _vec_text(F.col("vec")).alias("vec_text"))
 
@@ -326,6 +335,7 @@ SELECT event_id, {_vec_text_sql(
 FROM n
 """)
 def q_parse_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """X8 over JSON metadata texts derived from every event (lists, objects, strings, nulls)."""
     j = _event_json(spark, sf)
     return j.select("event_id", _vec_text(parse_metadata("metadata_json", 3)).alias("vec_text"))
 
@@ -352,6 +362,7 @@ SELECT label, n_c, round(sum(n_c) OVER () / (count(*) OVER () * n_c), 9) AS weig
   SELECT toxic AS label, count(*) AS n_c FROM labels GROUP BY toxic)
 """)
 def q_class_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """A2: balanced weights n / (k * n_c) from the toxic labels."""
     w = class_weights(table(spark, sf, "labels").withColumnRenamed("toxic", "label"))
     return w.select("label", "n_c", F.round("weight", 9).alias("weight"))
 
@@ -433,6 +444,7 @@ FROM {_VERDICT_SQL} v
 
 @register("tag_headers", _TAG_SQL)
 def q_tag_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdict headers in front of every event's bytes."""
     return _tagged_events(spark, sf)
 
 
@@ -440,6 +452,7 @@ def q_tag_headers(spark: SparkSession, sf: str) -> DataFrame:
 SELECT status, folder, count(*) AS n FROM {_VERDICT_SQL} v GROUP BY status, folder
 """)
 def q_route_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages per status and folder."""
     return status_counts(with_verdict(_event_scores(table(spark, sf, "events")), "score_text", 0.5))
 
 
@@ -452,6 +465,7 @@ SELECT bin, count(*) AS n, round(bin / 20.0, 4) AS lo, round((bin + 1) / 20.0, 4
 GROUP BY bin
 """)
 def q_score_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """A5: scores per 0.05 bin, decided on the four-decimal text."""
     return score_histogram(_event_scores(table(spark, sf, "events")), "score_text", 20)
 
 
@@ -549,6 +563,7 @@ GROUP BY domain ORDER BY n DESC, domain LIMIT 200
 
 @register("top_domains", _TOP_SQL)
 def q_top_domains(spark: SparkSession, sf: str) -> DataFrame:
+    """The 200 most frequent URL domains of the corpus (a top-k report)."""
     return top_domains(_doc_texts(spark, sf), "text", 200)
 
 
@@ -557,6 +572,7 @@ WITH v AS (SELECT list(domain) AS vocab FROM ({_TOP_SQL}))
 SELECT doc_id, {O.strip_urls("text || ' see ' || url || '. '", "vocab")} AS marked FROM {_DOC_URL_SQL} t, v
 """)
 def q_mark_domains(spark: SparkSession, sf: str) -> DataFrame:
+    """URLs of vocabulary domains become [DOM_<domain>] tokens, others their domain."""
     texts = _doc_texts(spark, sf)
     vocab = domain_vocab(texts, "text", 200)
     return mark_domains(texts, "text", vocab).select("doc_id", "marked")
@@ -707,6 +723,7 @@ SELECT class, string_agg(folder, ',' ORDER BY ord) AS folders FROM (
   SELECT DISTINCT class, ord, folder FROM {_CORPUS_SQL} c) GROUP BY class
 """)
 def q_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """K7: the folders that fed each class, in list order."""
     return inputs(_corpus(spark, sf))
 
 
