@@ -636,7 +636,7 @@ def q_stream_score(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").drop("batch_id")
 
 
-# ------------------------------------------------------------------ files: Maildir delivery, scan, stream, JSONL
+# ------------------------------------------------------------------ files
 
 def _labelled_mail(spark: SparkSession, sf: str) -> DataFrame:
     mail = synthetic_mail(table(spark, sf, "documents"), table(spark, sf, "pages"), table(spark, sf, "labels"))

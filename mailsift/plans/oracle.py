@@ -81,7 +81,8 @@ def strip_urls(t: str, vocab: str | None = None) -> str:
 
 def url_domains(t: str) -> str:
     base = f"regexp_replace(lam_u, {lit(_PUNCT + '+' + chr(92) + 'z')}, '')"
-    return f"list_transform(list_transform(regexp_extract_all({t}, {URL}, 0), lambda lam_u: {base}), lambda lam_b: {_domain_of('lam_b')})"
+    bases = f"list_transform(regexp_extract_all({t}, {URL}, 0), lambda lam_u: {base})"
+    return f"list_transform({bases}, lambda lam_b: {_domain_of('lam_b')})"
 
 
 def html_text_flat(h: str) -> str:
