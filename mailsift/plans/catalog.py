@@ -694,13 +694,11 @@ def q_stream_mail(spark: SparkSession, sf: str) -> DataFrame:
     colon-safe options, bounded files per trigger), parsed by the batch parse
     job and written by an idempotent foreachBatch sink."""
     base = _write_maildirs(spark, sf)
-    frames = []
-    for cls in ("good", "bad"):
-        s = stream_mail(spark, f"{base}/{cls}/new")
-        frames.append(s.withColumn("class", F.lit(cls)).withColumn("label", F.lit(1 if cls == "bad" else 0)))
-    src = frames[0].unionByName(frames[1])
-    parsed = parse_mail(src.select("class", "label", "content")).select("class", "label", "subject", "body",
-                                                                         "mismatch")
+    # one file source over both folders (a brace glob); the class comes from the path
+    src = stream_mail(spark, f"{base}/{{good,bad}}/new")
+    cls = F.regexp_extract("path", r"/(good|bad)/new/[^/]*$", 1)
+    src = src.select(cls.alias("class"), F.when(cls == "bad", 1).otherwise(0).alias("label"), "content")
+    parsed = parse_mail(src).select("class", "label", "subject", "body", "mismatch")
     out = scratch_path(spark, "stream-mail")
     run_to_table(parsed, f"{out}/table", f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/table").drop("batch_id")

@@ -24,6 +24,9 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
         # BINARY mail content can be large per row: keep Arrow batches small.
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
         .config("spark.driver.memory", "8g")
+        # a file-stream micro-batch lists its new files as paths: pack them into a
+        # few listing tasks instead of one task per file
+        .config("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * shuffle_partitions))
     )
     for k, v in (extra or {}).items():
         b = b.config(k, v)
