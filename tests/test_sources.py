@@ -114,3 +114,17 @@ def test_compacted_corpus_round_trip(spark, tmp_path):
     assert only_bad.count() == 3
     assert "PartitionFilters" in only_bad._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.content for r in back.collect()) == sorted(r.content for r in corpus.collect())
+
+
+def test_any_depth_scan_over_many_folders(spark, tmp_path):
+    """More than 32 Maildir directories: one scan lists them (Spark's parallel listing path)."""
+    from mailsift.sources.mail import maildir_dirs, scan_mail
+
+    root = tmp_path / "mail"
+    for i in range(40):
+        for sd in ("cur", "new", "tmp"):
+            d = root / f"box{i:02d}" / sd
+            d.mkdir(parents=True)
+            (d / f"m{i}.x:2,S").write_bytes(b"Subject: s\n\nb")
+    assert len(maildir_dirs(spark, str(root))) == 80
+    assert scan_mail(spark, str(root), subdirs=("cur", "new"), any_depth=True).count() == 80
