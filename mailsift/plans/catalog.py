@@ -152,7 +152,8 @@ FROM {_DOC_URL_SQL} t LEFT JOIN labels l ON l.doc_id = t.doc_id
 def q_parse_mail(spark: SparkSession, sf: str) -> DataFrame:
     """P1-P5 over raw mail built from every document; subject, body and mismatch are known by construction."""
     raw = synthetic_mail(table(spark, sf, "documents"), table(spark, sf, "pages"), table(spark, sf, "labels"))
-    p = parse_mail(raw)
+    # only what the result needs goes through the Python step (nothing is pruned through it)
+    p = parse_mail(raw.select("doc_id", "label", "content"))
     return p.select("doc_id", "label", "subject", "body", "mismatch", "parse_error")
 
 
@@ -249,7 +250,7 @@ def q_corpus_counts(spark: SparkSession, sf: str) -> DataFrame:
     lab = table(spark, sf, "labels")
     good = mail.join(lab.filter(F.col("quality") == 1).select("doc_id"), "doc_id", "left_semi")
     bad = mail.join(lab.filter(F.col("toxic") == 1).select("doc_id"), "doc_id", "left_semi")
-    parsed = parse_mail(load_corpus(good, bad))
+    parsed = parse_mail(load_corpus(good, bad).select("label", "content"))
     return parse_counts(parsed, "label")
 
 
@@ -734,7 +735,7 @@ FROM {_DOC_URL_SQL} t
 def q_header_features(spark: SparkSession, sf: str) -> DataFrame:
     """X15 (+X14) from parsed mail: attachments, links, SPF/DKIM/DMARC verdicts."""
     raw = synthetic_mail(table(spark, sf, "documents"), table(spark, sf, "pages"))
-    p = parse_mail(raw)
+    p = parse_mail(raw.select("doc_id", "content"))
     return p.select(
         "doc_id", "attachment_count", X.links_count("body_raw").cast("int").alias("links_count"),
         H.spf_feature("x_spf_status", "received_spf", "authentication_results").alias("spf"),
