@@ -609,7 +609,7 @@ def _parsed_corpus(spark: SparkSession, sf: str) -> DataFrame:
     table instead of re-parsing, and the lineage to the Python step is cut."""
     raw = synthetic_mail(table(spark, sf, "documents"), table(spark, sf, "pages"), table(spark, sf, "labels"))
     path = scratch_path(spark, "parsed")
-    parse_mail(raw).write.mode("overwrite").parquet(path)
+    parse_mail(raw.select("doc_id", "label", "content")).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
