@@ -82,7 +82,7 @@ def train_from_jsonl(spark: SparkSession, data: str, model_dir: str,
     feats = features(rows.withColumn("parse_error", F.lit(None).cast("string")), m, embedding_dim)
     model = train(feats.select("features", "label"), "features", "label", class_counts=counts)
     acc = accuracy(score(feats, model), "score", "label").first()["accuracy"]
-    c = contract(model, m, embedding_dim)
+    c = contract(model, m, embedding_dim, f"hashing-{embedding_dim}")
     save_model(spark, model, model_dir, c)
     return {"samples": sum(counts.values()), "rejected": n_bad, "accuracy": acc, **c}
 
