@@ -793,7 +793,7 @@ def q_model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
         "vec_id", F.col("embedding").cast("array<double>").alias("features"), F.pmod("label", F.lit(2)).alias("label"))
     model = train(e, "features", "label")
     path = scratch_path(spark, "model")
-    save_model(spark, model, path, contract(model, 0, model.numFeatures))  # all inputs are embedding
+    save_model(spark, model, path, contract(model, 0, model.numFeatures, "precomputed"))  # all inputs are embedding
     loaded, c = load_model(spark, path)
     emb, meta = resolve_dims(loaded.numFeatures, c)
     return score(e, loaded).select("vec_id", "label", F.round("score", 6).alias("score"),
