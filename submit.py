@@ -2,6 +2,7 @@
 
     spark-submit --master yarn --conf spark.checkpoint.dir=hdfs:///shared/ckpt \
         --conf spark.sql.execution.arrow.maxRecordsPerBatch=256 \
+        --conf spark.sql.sources.parallelPartitionDiscovery.parallelism=4000 \
         submit.py ingest -g hdfs:///mail/good -b hdfs:///mail/bad -o hdfs:///mail/training.jsonl
 
 The package travels to the executors by value inside the task closures, so no
