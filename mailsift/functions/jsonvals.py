@@ -53,6 +53,23 @@ def py_int(x: Column) -> Column:
             .when(t == "STRING", from_text))
 
 
+def _py_float_repr(v: Column) -> Column:
+    """``repr(float)`` for a double: plain digits between 1e-4 and 1e16, else
+    ``<mantissa>e<sign><2+ digits>`` (digits from Java's shortest form)."""
+    a = F.abs(v)
+    plain = F.regexp_replace(v.cast("decimal(38,18)").cast("string"), r"0+$", "")
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    java = v.cast("string")  # e.g. 1.5E-5
+    mant = F.regexp_replace(F.regexp_extract(java, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
+    exp = F.regexp_extract(java, r"E(-?[0-9]+)$", 1).cast("int")
+    sci = F.concat(mant, F.lit("e"), F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")),
+                   F.lpad(F.abs(exp).cast("string"), 2, "0"))
+    return (F.when(v == 0, F.when(java.startswith("-"), F.lit("-0.0")).otherwise(F.lit("0.0")))
+            .when((a >= 1e-4) & (a < 1e16), plain)
+            .when(java.contains("E"), sci)
+            .otherwise(java))
+
+
 def py_str(x: Column, missing: str = "") -> Column:
     """``str(value)`` with a default for a missing key: JSON null → "None", booleans → True/False."""
     t = json_type(x)
@@ -60,6 +77,9 @@ def py_str(x: Column, missing: str = "") -> Column:
             .when(t == "VOID", F.lit("None"))
             .when(t == "STRING", F.try_variant_get(x, "$", "string"))
             .when(t == "BOOLEAN", F.when(F.try_variant_get(x, "$", "boolean"), F.lit("True")).otherwise(F.lit("False")))
-            .when(t.isin(*INTEGRAL), F.try_variant_get(x, "$", "string"))
-            .when(is_number(t), F.try_variant_get(x, "$", "double").cast("string"))
+            # integers: integral types, or a scale-0 decimal too long for a long (a JSON float
+            # such as 3.0 also becomes a short scale-0 decimal, and prints as 3.0)
+            .when(t.isin(*INTEGRAL) | t.rlike(r"^DECIMAL\((19|[2-9][0-9]),0\)$"),
+                  F.try_variant_get(x, "$", "string"))
+            .when(is_number(t), _py_float_repr(F.try_variant_get(x, "$", "double")))
             .otherwise(F.to_json(x)))

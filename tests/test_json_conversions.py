@@ -57,3 +57,18 @@ def test_training_labels_match_python(spark):
     got = sorted(r.label for r in good.collect())
     want = sorted(v for v in (py_label(line) for line in lines) if v is not None)
     assert got == want
+
+
+def test_text_fields_print_json_values_like_python(spark):
+    """``str(item.get("subject", ""))`` for non-string JSON values."""
+    from pyspark.sql import functions as F
+
+    from mailsift.functions.jsonvals import py_str
+
+    values = ["1.5", "1.50", "0.1", "-0.0001", "0.00001", "1e5", "1e16", "1.5e16", "12345.678", "100", "0.0",
+              "2.5e-7", "123456789.125", "1e-4", "9999999999999998.0", "7", "12345678901234567890", "3.0", "1E+2",
+              "true", "false", "null", '"text"']
+    df = spark.createDataFrame([(i, '{"subject": %s}' % v) for i, v in enumerate(values)], "i int, j string")
+    got = [r[0] for r in df.orderBy("i").select(
+        py_str(F.try_variant_get(F.try_parse_json("j"), "$.subject", "variant"))).collect()]
+    assert got == [str(json.loads(v)) for v in values]
