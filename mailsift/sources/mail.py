@@ -58,17 +58,26 @@ def _read(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def maildir_dirs(spark: SparkSession, root: str, subdirs: tuple[str, ...] = MAILDIR_SUBDIRS) -> list[str]:
-    """The ``cur``/``new`` directories at any depth below ``root``.
-
-    A first, metadata-only listing (``content`` is never selected, so no file
-    is opened) finds the topmost such directory of every file; the distinct
-    directories — one or two per Maildir folder, a short list — come back to
-    the driver so that only they are read.
+    """The ``cur``/``new`` directories at any depth below ``root`` (hidden folders
+    included, ``tmp`` never), found by walking directories only: the walk never
+    lists the inside of a ``cur``/``new``/``tmp`` directory, so no message file
+    is listed or opened here. The result — one or two directories per Maildir
+    folder — is a short list; Spark then reads just those directories.
     """
-    alt = "|".join(subdirs)
-    top = F.regexp_extract("path", rf"^(.*?/(?:{alt}))/", 1)
-    listing = _read(spark, root).select(top.alias("d")).filter(F.col("d") != "").distinct()
-    return sorted(r["d"] for r in listing.collect())
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, pending = [], [top]
+    while pending:
+        for status in fs.listStatus(pending.pop()):
+            if not status.isDirectory():
+                continue
+            name = status.getPath().getName()
+            if name in subdirs:
+                found.append(status.getPath().toString())
+            elif name != "tmp":
+                pending.append(status.getPath())
+    return sorted(found)
 
 
 def scan_mail(spark: SparkSession, paths, subdirs: tuple[str, ...] | None = None,
