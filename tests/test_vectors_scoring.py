@@ -158,3 +158,23 @@ def test_fixed_prints_like_python_and_c(spark):
     got2 = one_col(spark, vals, lambda c: fixed(c * 100, 2), "x double")
     assert got2 == [f"{v * 100:.2f}" for v in vals]
     assert one_col(spark, [float("nan"), float("inf"), None], lambda c: fixed(c, 4), "x double") == ["nan", "inf", None]
+
+
+def test_fit_width_property(spark):
+    """X7 against its plain statement on generated arrays (nulls dropped, padded or cut)."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    cases = []
+
+    @settings(max_examples=200, derandomize=True)
+    @given(st.lists(st.one_of(st.none(), st.floats(allow_nan=False, allow_infinity=False, width=32)), max_size=6),
+           st.integers(min_value=0, max_value=5))
+    def collect(arr, m):
+        cases.append((arr, m))
+
+    collect()
+    df = spark.createDataFrame([(i, a, m) for i, (a, m) in enumerate(cases)], "i int, a array<double>, m int")
+    got = [r[0] for r in df.orderBy("i").select(fit_width("a", F.col("m"))).collect()]
+    want = [([x for x in a if x is not None] + [0.0] * m)[:m] for a, m in cases]
+    assert got == want
