@@ -116,3 +116,25 @@ def test_sql_statement_of_the_rule_agrees_on_random_texts(spark):
     con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(texts)))
     sql = dict(con.execute(f"SELECT i, {O.strip_urls('s')} FROM t").fetchall())
     assert [sql[i] for i in range(len(texts))] == one_col(spark, texts, strip_urls)
+
+
+def test_mark_domains_differential(spark):
+    """Vocabulary domains become [DOM_<domain>], others their domain (plain statement vs native)."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(29)
+    texts = ["".join(rnd.choice(PIECES) for _ in range(rnd.randint(1, 12))) for _ in range(1500)]
+    vocab = ["a", "b.c", "xy", "www", "https"]
+
+    def mark(text):
+        def sub(m):
+            u = m.group(0)
+            base = u.rstrip(".,!?;*-")
+            d = _host(base)
+            return (f"[DOM_{d}]" if d in vocab else d) + u[len(base):]
+
+        return _URL.sub(sub, text)
+
+    got = one_col(spark, texts, lambda c: strip_urls(c, F.array(*[F.lit(v) for v in vocab])))
+    bad = [(t, g, mark(t)) for t, g in zip(texts, got) if g != mark(t)]
+    assert not bad[:5], bad[:5]
