@@ -4,7 +4,8 @@
 Maildir names with colons (``1717.M1P2.host:2,S``) readable on local file
 systems, where the checksum file system would otherwise build an invalid
 ``.name:2,S.crc`` path. Hidden names (``.x``, and ``_x`` — a Spark listing
-rule) are skipped below the given roots; a root itself may be hidden.
+rule) are skipped below the given roots; a root itself may be hidden, and the
+any-depth Maildir discovery also reads ``cur``/``new`` of hidden sub-folders.
 """
 
 from __future__ import annotations
