@@ -26,7 +26,7 @@ from .operators.model import classify, contract, load_model, save_model, score
 from .operators.parse import parse_mail
 from .operators.route import tag_headers, write_maildir_files
 from .plans.score import filter_mail
-from .plans.train import Trained, features
+from .plans.train import Trained, encoder_of, features
 from .sources.mail import scan_corpus, scan_mail, split_paths
 from .sources.training import read_training, write_training
 
@@ -90,7 +90,7 @@ def train_from_jsonl(spark: SparkSession, data: str, model_dir: str,
 def _trained(spark: SparkSession, model_dir: str) -> Trained:
     model, c = load_model(spark, model_dir)
     emb, meta = resolve_dims(model.numFeatures, c)  # X10
-    return Trained(model, meta, emb, c or {})
+    return Trained(model, meta, emb, c or {}, encoder_of(c) or "hashing")
 
 
 def run_filter(spark: SparkSession, model_dir: str, inputs, output: str, mode: str = "deliver",

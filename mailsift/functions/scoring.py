@@ -17,7 +17,7 @@ def check_threshold(threshold: float = DEFAULT_THRESHOLD) -> float:
     """X11: a threshold outside [0, 1] is refused before any job runs."""
     t = float(threshold)
     if not (0.0 <= t <= 1.0):
-        raise ValueError(f"Invalid threshold parameter: {threshold}. Must be a float between 0.0 and 1.0.")
+        raise ValueError(f"threshold {threshold} is not within 0 to 1")
     return t
 
 

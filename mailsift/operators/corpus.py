@@ -102,7 +102,5 @@ def domain_vocab(df: DataFrame, text_col: str, k: int = MAX_VOCAB) -> list[str]:
 
 def mark_domains(df: DataFrame, text_col: str, vocab: list[str], out: str = "marked") -> DataFrame:
     """URL → ``[DOM_<domain>]`` for vocabulary domains, → domain otherwise."""
-    if len(vocab) > 10 * MAX_VOCAB:
-        raise ValueError("domain vocabulary too large to ship as a literal")
-    v = F.array(*[F.lit(d) for d in vocab]) if vocab else F.array().cast("array<string>")
+    v = F.lit(list(vocab)) if vocab else F.array().cast("array<string>")
     return df.withColumn(out, strip_urls(text_col, v))

@@ -1,10 +1,10 @@
 """A5: shadow-mode statistics over scored mail.
 
-Scores are decided on their four-decimal text, so a score is an integer
-``s`` in 0..10000 (units of 1e-4). Histogram bins and threshold grids are
-built on that integer, which makes every count exact and lets the sweep
-be one grouped count plus a running sum over at most ``bins + 1`` rows —
-no join of every message with every threshold.
+Scores are decided on their text, read as an exact decimal, so histogram bins
+and threshold grids of any fineness are exact, and the sweep is one grouped
+count plus a running sum over at most ``steps + 1`` rows — no join of every
+message with every threshold. The texts counted are those that the verdict
+accepts (``parse_score``).
 """
 
 from __future__ import annotations
@@ -12,12 +12,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scoring import parse_score
 
-def score_units(text_col: str = "score_text") -> Column:
-    """Four-decimal score text → integer 0..10000 (null when not a valid score)."""
-    t = F.col(text_col)
-    ok = t.rlike(r"^(0\.[0-9]{4}|1\.0000)\z")
-    return F.when(ok, F.regexp_replace(t, r"\.", "").try_cast("int"))
+
+def score_decimal(text_col: str = "score_text") -> Column:
+    """Score text → exact decimal in [0, 1] (null when the verdict refuses it)."""
+    s = parse_score(text_col)
+    plain = F.trim(F.translate(F.col(text_col), "\n\r\t\x0b\f", "     "))
+    return F.when((s >= 0) & (s <= 1), plain.try_cast("decimal(38,18)"))
+
+
+def _bin(text_col: str, bins: int) -> Column:
+    """``floor(score * bins)``, exactly."""
+    if not 1 <= bins <= 10000:
+        raise ValueError(f"between 1 and 10000 bins or steps, not {bins}")
+    return F.floor(score_decimal(text_col) * F.lit(bins)).cast("int")
 
 
 def status_counts(df: DataFrame) -> DataFrame:
@@ -27,10 +36,9 @@ def status_counts(df: DataFrame) -> DataFrame:
 
 def score_histogram(df: DataFrame, text_col: str = "score_text", bins: int = 20) -> DataFrame:
     """Counts per bin ``floor(score * bins)`` (a score of exactly 1 joins the last bin)."""
-    width = 10000 // bins
-    u = score_units(text_col)
+    u = _bin(text_col, bins)
     # least() skips nulls, so invalid texts must stay null explicitly
-    b = F.when(u.isNotNull(), F.least(F.floor(u / width), F.lit(bins - 1))).cast("int")
+    b = F.when(u.isNotNull(), F.least(u, F.lit(bins - 1))).cast("int")
     return (df.select(b.alias("bin")).filter(F.col("bin").isNotNull())
             .groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
             .withColumn("lo", F.round(F.col("bin") / F.lit(bins), 4))
@@ -41,12 +49,11 @@ def threshold_sweep(spark: SparkSession, df: DataFrame, truth: Column, text_col:
                     steps: int = 20) -> DataFrame:
     """Confusion counts, precision and recall at thresholds k/steps, k = 0..steps.
 
-    A message is called spam at threshold k/steps iff its score units
-    ``s >= k * 10000/steps``, i.e. iff ``floor(s / (10000/steps)) >= k``. One
-    grouped count per (bin, truth), then a running sum from the top bin.
+    A message is called spam at threshold k/steps iff its score ``s >= k/steps``,
+    i.e. iff ``floor(s * steps) >= k``. One grouped count per (bin, truth), then a
+    running sum from the top bin.
     """
-    width = 10000 // steps
-    scored = df.select(F.floor(score_units(text_col) / width).cast("int").alias("bin"),
+    scored = df.select(_bin(text_col, steps).alias("bin"),
                        truth.cast("boolean").alias("pos")).filter(F.col("bin").isNotNull())
     per_bin = scored.groupBy("bin").agg(
         F.count_if(F.col("pos")).alias("p"), F.count_if(~F.col("pos")).alias("q"))

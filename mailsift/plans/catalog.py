@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.feature import RegexTokenizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +20,7 @@ from ..functions.scoring import fixed, format_score, score_text
 from ..functions.vectors import assemble, parse_metadata, resolve_dims
 from ..operators.corpus import (domain_vocab, inputs, keep_last, manifest, manifest_diff, mark_domains, new_only,
                                 top_domains)
-from ..operators.embed import limit_tokens
+from ..operators.embed import limit_tokens, tokenizer
 from ..operators.features import class_weights, join_embeddings, mean_pool, metadata_width, standardise_metadata
 from ..operators.html import html_to_text
 from ..operators.measure import score_histogram, status_counts, threshold_sweep
@@ -29,7 +28,8 @@ from ..operators.model import accuracy, classify, contract, load_model, predicte
 from ..operators.parse import parse_counts, parse_mail
 from ..operators.route import deliver, route_tagged, tag_headers, with_verdict, write_maildir_files
 from ..session import scratch_path, table
-from ..sources.mail import load_corpus, scan_corpus
+from ..sources.domains import domain_list
+from ..sources.mail import escape_glob, load_corpus, scan_corpus
 from ..sources.synthetic import MISMATCH_KEYS, SENDER_PAIRS, mail_body, synthetic_mail, with_page_urls
 from ..sources.training import read_training, write_training
 from ..streaming.score import run_to_table, stream_mail, stream_table
@@ -92,7 +92,7 @@ def q_html_text(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ headers
 
-# A display name taken from the start of each document ("Name" <addr>) for the
+# A display name made of each document's text ("Name" <addr>) for the
 # senders whose address is bare in SENDER_PAIRS; quotes, brackets, backslashes
 # and whitespace runs become single spaces.
 _NAME_CHARS = "[" + WS_CLASS + r'"<>\\]+'
@@ -104,7 +104,7 @@ def _pairs_sql(idx: int) -> str:
     for i, p in enumerate(SENDER_PAIRS):
         v = "NULL" if p[idx] is None else O.lit(p[idx])
         if idx == 0 and i in _NAMED:
-            name = f"trim(regexp_replace(substring(text, 1, 20), {O.lit(_NAME_CHARS)}, ' ', 'g'))"
+            name = f"trim(regexp_replace(text, {O.lit(_NAME_CHARS)}, ' ', 'g'))"
             v = f"('\"' || {name} || '\" <' || {v} || '>')"
         arms.append(f"WHEN {i} THEN {v}")
     return f"(CASE doc_id % {len(SENDER_PAIRS)} {' '.join(arms)} END)"
@@ -121,7 +121,7 @@ def q_reply_to_mismatch(spark: SparkSession, sf: str) -> DataFrame:
     """X4 + X5 + J1 over sender headers built per document: fixed address pairs
     (doc_id mod 6), display names from the document's own text."""
     k = F.pmod(F.col("doc_id"), F.lit(len(SENDER_PAIRS)))
-    name = F.trim(F.regexp_replace(F.substring("text", 1, 20), _NAME_CHARS, " "))
+    name = F.trim(F.regexp_replace("text", _NAME_CHARS, " "))
 
     def pick(idx):
         e = None
@@ -142,7 +142,7 @@ def q_reply_to_mismatch(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("parse_mail", f"""
 SELECT t.doc_id, l.toxic::INTEGER AS label,
-       left({O.collapse_ws('t.text')}, 40) AS subject,
+       {O.collapse_ws('t.text')} AS subject,
        {O.strip_urls(O.py_strip("t.text || ' see ' || t.url || '. '"))} AS body,
        (CASE WHEN t.doc_id % {len(SENDER_PAIRS)} IN ({", ".join(map(str, MISMATCH_KEYS))}) THEN 1.0 ELSE 0.0 END)::DOUBLE
          AS mismatch,
@@ -237,16 +237,20 @@ def q_manifest_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("corpus_counts", """
-SELECT label, count(*) AS files, count(*) AS processed, CAST(0 AS BIGINT) AS errors FROM (
-  SELECT 0 AS label FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1
+SELECT label, count(*) AS files, count(*) FILTER (WHERE NOT lost) AS processed, count(*) FILTER (WHERE lost) AS errors FROM (
+  SELECT 0 AS label, d.n_chars % 10 = 7 AS lost FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1
   UNION ALL
-  SELECT 1 AS label FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic = 1)
+  SELECT 1 AS label, d.n_chars % 10 = 7 AS lost FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic = 1)
 GROUP BY label
 """)
 def q_corpus_counts(spark: SparkSession, sf: str) -> DataFrame:
     """S3 + P6: good list = quality documents, bad list = toxic ones (a document
-    on both lists is parsed twice), parse, count per class."""
-    mail = synthetic_mail(table(spark, sf, "documents"), table(spark, sf, "pages")).drop("label")
+    on both lists is parsed twice), parse, count per class. Messages of some
+    lengths have lost their content and count as errors."""
+    docs = table(spark, sf, "documents")
+    lost = docs.where(F.pmod("n_chars", F.lit(10)) == 7).select("doc_id", F.lit(True).alias("lost"))
+    mail = synthetic_mail(docs, table(spark, sf, "pages")).drop("label").join(lost, "doc_id", "left").withColumn(
+        "content", F.when(F.col("lost").isNull(), F.col("content")))
     lab = table(spark, sf, "labels")
     good = mail.join(lab.filter(F.col("quality") == 1).select("doc_id"), "doc_id", "left_semi")
     bad = mail.join(lab.filter(F.col("toxic") == 1).select("doc_id"), "doc_id", "left_semi")
@@ -374,21 +378,24 @@ def _coef(i):
 
 
 @register("assemble_score", """
-WITH f AS (SELECT e.vec_id, list_concat(CAST(e.embedding AS DOUBLE[]), [d.n_chars / 10000.0]) AS features
-           FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
- s AS (SELECT vec_id, 1.0 / (1.0 + exp(-(list_sum(list_transform(features,
+WITH f AS (SELECT d.doc_id, CASE WHEN e.vec_id IS NOT NULL
+                  THEN list_concat(CAST(e.embedding AS DOUBLE[]), [d.n_chars / 10000.0]) END AS features
+           FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id),
+ s AS (SELECT doc_id, 1.0 / (1.0 + exp(-(list_sum(list_transform(features,
           lambda x, i: x * (((i - 1) % 7) - 3) / 10.0)) + 0.1))) AS score FROM f)
-SELECT vec_id, round(score, 6) AS score, printf('%.4f', score) AS score_text FROM s
+SELECT doc_id, round(score, 6) AS score, CASE WHEN score IS NULL THEN '0.5000' ELSE printf('%.4f', score) END AS score_text,
+       score IS NULL AS by_fallback FROM s
 """)
 def q_assemble_score(spark: SparkSession, sf: str) -> DataFrame:
-    """J2 + X9 + E3 with fixed coefficients: embedding ‖ [n_chars/10⁴] of the record with the same id."""
+    """J2 + X9 + E3 + E5 with fixed coefficients: embedding ‖ [n_chars/10⁴] of every record; one without an
+    embedding gets the fallback score."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     d = table(spark, sf, "documents").select("doc_id", F.array(F.col("n_chars") / 10000.0).alias("metadata"))
-    f = join_embeddings(d, e, "doc_id").select(F.col("doc_id").alias("vec_id"),
-                                                assemble("embedding", "metadata").alias("features"))
+    f = join_embeddings(d, e, "doc_id").select("doc_id", assemble("embedding", "metadata").alias("features"))
     dot = F.aggregate(F.transform("features", lambda x, i: x * _coef(i)), F.lit(0.0), lambda a, v: a + v)
     s = F.lit(1.0) / (F.lit(1.0) + F.exp(-(dot + F.lit(0.1))))
-    return f.select("vec_id", F.round(s, 6).alias("score"), format_score(s).alias("score_text"))
+    return f.select("doc_id", F.round(s, 6).alias("score"), score_text(s).alias("score_text"),
+                    s.isNull().alias("by_fallback"))
 
 
 # ------------------------------------------------------------------ verdicts, tagging, routing
@@ -460,33 +467,33 @@ def q_route_counts(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------ shadow-mode statistics (A5)
 
 @register("score_histogram", f"""
-SELECT bin, count(*) AS n, round(bin / 20.0, 4) AS lo, round((bin + 1) / 20.0, 4) AS hi FROM (
-  SELECT least(CAST(floor(CAST(replace(score_text, '.', '') AS INTEGER) / 500) AS INTEGER), 19) AS bin
+SELECT bin, count(*) AS n, round(bin / 30.0, 4) AS lo, round((bin + 1) / 30.0, 4) AS hi FROM (
+  SELECT CAST(least(CAST(replace(score_text, '.', '') AS INTEGER) * 30 // 10000, 29) AS INTEGER) AS bin
   FROM {_VERDICT_SQL} v WHERE error IS NULL)
 GROUP BY bin
 """)
 def q_score_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    """A5: scores per 0.05 bin, decided on the four-decimal text."""
-    return score_histogram(_event_scores(table(spark, sf, "events")), "score_text", 20)
+    """A5: scores per bin of a thirtieth, decided on the four-decimal text."""
+    return score_histogram(_event_scores(table(spark, sf, "events")), "score_text", 30)
 
 
 @register("threshold_sweep", f"""
-WITH s AS (SELECT CAST(floor(CAST(replace(score_text, '.', '') AS INTEGER) / 500) AS INTEGER) AS bin,
+WITH s AS (SELECT CAST(replace(score_text, '.', '') AS INTEGER) * 300 // 10000 AS bin,
                   event_type = 'purchase' AS pos
            FROM {_VERDICT_SQL} v WHERE error IS NULL),
- g AS (SELECT range AS k FROM range(0, 21)),
+ g AS (SELECT range AS k FROM range(0, 301)),
  c AS (SELECT k, (SELECT count(*) FROM s WHERE bin >= k AND pos) AS tp,
               (SELECT count(*) FROM s WHERE bin >= k AND NOT pos) AS fp,
               (SELECT count(*) FROM s WHERE pos) AS p_all, (SELECT count(*) FROM s WHERE NOT pos) AS n_all FROM g)
-SELECT round(k / 20.0, 4) AS threshold, tp, fp, p_all - tp AS fn, n_all - fp AS tn,
+SELECT round(k / 300.0, 4) AS threshold, tp, fp, p_all - tp AS fn, n_all - fp AS tn,
        CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) END AS precision,
        CASE WHEN p_all > 0 THEN round(tp / p_all, 6) END AS recall
 FROM c
 """)
 def q_threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """Precision/recall at thresholds 0, 0.05, …, 1 with purchase events as the positive class."""
+    """Precision/recall at thresholds k/300 with purchase events as the positive class."""
     v = with_verdict(_event_scores(table(spark, sf, "events")), "score_text", 0.5).filter(F.col("error").isNull())
-    return threshold_sweep(spark, v, F.col("event_type") == "purchase", "score_text", 20)
+    return threshold_sweep(spark, v, F.col("event_type") == "purchase", "score_text", 300)
 
 
 # ------------------------------------------------------------------ SPF (X14) and auth flags
@@ -526,7 +533,7 @@ def _spf_sql_pick(idx):
 
 
 _SNIPPET_WS = "[" + WS_CLASS + "]+"
-_SNIPPET_SQL = f"regexp_replace(substring(text, 1, 30), {O.lit(_SNIPPET_WS)}, ' ', 'g')"
+_SNIPPET_SQL = f"regexp_replace(text, {O.lit(_SNIPPET_WS)}, ' ', 'g')"
 
 
 @register("spf_feature", f"""
@@ -540,7 +547,7 @@ def q_spf_feature(spark: SparkSession, sf: str) -> DataFrame:
     """X14 over header sets chosen by doc_id mod 8; every Received-SPF and
     Authentication-Results line carries a comment taken from the document."""
     k = F.pmod(F.col("doc_id"), F.lit(len(SPF_CASES)))
-    snippet = F.regexp_replace(F.substring("text", 1, 30), _SNIPPET_WS, " ")
+    snippet = F.regexp_replace("text", _SNIPPET_WS, " ")
     d = table(spark, sf, "documents").select(
         "doc_id", _spf_pick(k, 0).alias("x_spf"),
         F.transform(_spf_pick(k, 1), lambda h: F.concat(h, F.lit(" ("), snippet, F.lit(")"))).alias("rs"),
@@ -603,12 +610,13 @@ def q_train_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return accuracy(score(e, model, "features", "score"), "score", "label")
 
 
-def _parsed_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """Synthetic mail parsed once and written as a Parquet table in the shared
+def _parsed_corpus(spark: SparkSession, sf: str, labelled: bool = False) -> DataFrame:
+    """Synthetic mail (``labelled``: only what has a label, chosen before the parse) parsed once and written as a Parquet table in the shared
     folder (``spark.checkpoint.dir``): training and scoring read the parsed
     table instead of re-parsing, and the lineage to the Python step is cut."""
     raw = synthetic_mail(table(spark, sf, "documents"), table(spark, sf, "pages"), table(spark, sf, "labels"))
     path = scratch_path(spark, "parsed")
+    raw = raw.where(F.col("label").isNotNull()) if labelled else raw
     parse_mail(raw.select("doc_id", "label", "content")).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -616,9 +624,9 @@ def _parsed_corpus(spark: SparkSession, sf: str) -> DataFrame:
 @register("train_text")
 def q_train_text(spark: SparkSession, sf: str) -> DataFrame:
     """E1 (hashing encoder) + E2 + E3 on parsed mail labelled by ``labels.toxic`` (rows-only)."""
-    parsed = _parsed_corpus(spark, sf)
+    parsed = _parsed_corpus(spark, sf, labelled=True)
     trained, _ = build_model(parsed, "label")
-    s = score_parsed(parsed.filter(F.col("label").isNotNull()), trained)
+    s = score_parsed(parsed, trained)
     return s.select("doc_id", "label", F.round("score", 6).alias("score"), "score_text", "status")
 
 
@@ -641,24 +649,24 @@ def q_stream_score(spark: SparkSession, sf: str) -> DataFrame:
 
 def _labelled_mail(spark: SparkSession, sf: str) -> DataFrame:
     mail = synthetic_mail(table(spark, sf, "documents"), table(spark, sf, "pages"), table(spark, sf, "labels"))
-    return mail.filter(F.col("label").isNotNull()).withColumn(
+    return mail.withColumn("label", F.coalesce("label", F.lit(0))).withColumn(
         "class", F.when(F.col("label") == 1, F.lit("bad")).otherwise(F.lit("good")))
 
 
 _LABELLED_EXPECTED_SQL = f"""
-SELECT CASE WHEN l.toxic = 1 THEN 'bad' ELSE 'good' END AS class, l.toxic::INTEGER AS label,
-       left({O.collapse_ws('t.text')}, 40) AS subject,
+SELECT CASE WHEN l.toxic = 1 THEN 'bad' ELSE 'good' END AS class, coalesce(l.toxic, 0)::INTEGER AS label,
+       {O.collapse_ws('t.text')} AS subject,
        {O.strip_urls(O.py_strip("t.text || ' see ' || t.url || '. '"))} AS body,
        (CASE WHEN t.doc_id % {len(SENDER_PAIRS)} IN ({", ".join(map(str, MISMATCH_KEYS))}) THEN 1.0 ELSE 0.0 END)::DOUBLE
          AS mismatch
-FROM {_DOC_URL_SQL} t JOIN labels l ON l.doc_id = t.doc_id
+FROM {_DOC_URL_SQL} t LEFT JOIN labels l ON l.doc_id = t.doc_id
 """
 
 
 def _write_maildirs(spark: SparkSession, sf: str) -> str:
-    """Deliver every labelled message as a file into ``<base>/<class>/new``; the
-    names carry a Maildir flags part (``:2,S``) so the colon handling is exercised."""
-    base = scratch_path(spark, "maildir")
+    """Deliver every message as a file into ``<base>/[Mail]/<class>/new`` (bad: toxic, good: the rest); the
+    names carry a Maildir flags part (``:2,S``) so the colon handling is exercised, and the folder a pattern's signs."""
+    base = scratch_path(spark, "maildir") + "/[Mail]"
     mail = _labelled_mail(spark, sf).withColumn("path", F.col("doc_id").cast("string"))
     write_maildir_files(mail, base, "class", "path", "content", info="2,S")
     return base
@@ -677,7 +685,8 @@ def q_maildir_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("maildir_manifest", """
 SELECT class, count(*) AS files FROM (
-  SELECT CASE WHEN l.toxic = 1 THEN 'bad' ELSE 'good' END AS class FROM documents d JOIN labels l ON l.doc_id = d.doc_id)
+  SELECT CASE WHEN l.toxic = 1 THEN 'bad' ELSE 'good' END AS class
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
 GROUP BY class
 """)
 def q_maildir_manifest(spark: SparkSession, sf: str) -> DataFrame:
@@ -696,7 +705,7 @@ def q_stream_mail(spark: SparkSession, sf: str) -> DataFrame:
     job and written by an idempotent foreachBatch sink."""
     base = _write_maildirs(spark, sf)
     # one file source over both folders (a brace glob); the class comes from the path
-    src = stream_mail(spark, f"{base}/{{good,bad}}/new")
+    src = stream_mail(spark, f"{escape_glob(base)}/{{good,bad}}/new")
     cls = F.regexp_extract("path", r"/(good|bad)/new/[^/]*$", 1)
     src = src.select(cls.alias("class"), F.when(cls == "bad", 1).otherwise(0).alias("label"), "content")
     parsed = parse_mail(src).select("class", "label", "subject", "body", "mismatch")
@@ -763,10 +772,7 @@ def q_deliver_counts(spark: SparkSession, sf: str) -> DataFrame:
     v = with_verdict(_event_scores(table(spark, sf, "events")), "score_text", 0.5)
     base = scratch_path(spark, "deliver")
     deliver(v.select("event_id", "content", "score_text", "folder", "error"), base)
-    ok = spark.read.parquet(f"{base}/delivered").groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
-    rej = spark.read.parquet(f"{base}/rejects").agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("rejects").alias("folder"), "n").filter(F.col("n") > 0)
-    return ok.unionByName(rej)
+    return spark.read.parquet(f"{base}/delivered").groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("manifest_new", f"""
@@ -803,20 +809,19 @@ def q_model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------ token limit (X13) and other classifiers
 
 @register("token_limit", r"""
-WITH t AS (SELECT conv_id, turn,
-                  list_filter(regexp_split_to_array(lower(text), '\W+'), lambda x: x <> '') AS tokens
-           FROM conversations)
-SELECT conv_id, turn, CAST(len(tokens) AS INTEGER) AS n_tokens,
+WITH t AS (SELECT doc_id,
+                  list_filter(regexp_split_to_array(lower(text), '[^\pL\pM\p{Nd}\p{Nl}\p{Pc}]+'), lambda x: x <> '') AS tokens
+           FROM documents)
+SELECT doc_id, CAST(len(tokens) AS INTEGER) AS n_tokens,
        CAST(least(len(tokens), 512) AS INTEGER) AS n_kept,
        array_to_string(tokens[1:512], ' ') AS kept
 FROM t
 """)
 def q_token_limit(spark: SparkSession, sf: str) -> DataFrame:
-    """The encoder's tokens of every conversation turn, cut to 512."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    tok = RegexTokenizer(inputCol="text", outputCol="tokens", pattern=r"\W+", toLowercase=True).transform(c)
+    """The encoder's tokens of every document, cut to 512."""
+    tok = tokenizer("text", "tokens").transform(table(spark, sf, "documents").select("doc_id", "text"))
     kept = limit_tokens("tokens", MAX_TOKENS)
-    return tok.select("conv_id", "turn", F.size("tokens").alias("n_tokens"), F.size(kept).alias("n_kept"),
+    return tok.select("doc_id", F.size("tokens").alias("n_tokens"), F.size(kept).alias("n_kept"),
                       F.array_join(kept, " ").alias("kept"))
 
 
@@ -828,7 +833,7 @@ def q_train_kinds(spark: SparkSession, sf: str) -> DataFrame:
         F.col("embedding").cast("array<double>").alias("features"), F.pmod("label", F.lit(2)).alias("label"))
     out = None
     for kind in ("logistic", "svm", "gbt"):
-        m = train(e, "features", "label", kind=kind, max_iter=100 if kind == "svm" else 1000)
+        m = train(e, "features", "label", kind=kind)
         pred = predicted_class(e, m, "features").select(
             F.lit(kind).alias("kind"), (F.col("predicted") == F.col("label")).cast("double").alias("hit"))
         acc = pred.groupBy("kind").agg(F.avg("hit").alias("accuracy"))
@@ -836,6 +841,179 @@ def q_train_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+# ------------------------------------------------------------------ mail of all shapes
+
+_CRLF = "\n"
+
+
+def _plain(body, charset: str = "utf-8"):
+    return F.concat(F.lit(f"Content-Type: text/plain; charset={charset}\nContent-Transfer-Encoding: 8bit\n\n"), body)
+
+
+def _html(body):
+    return F.concat(F.lit("Content-Type: text/html; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), body)
+
+
+def _parts(kind: str, boundary: str, *parts):
+    sep = F.lit(f"\n--{boundary}\n")
+    joined = [x for p in parts for x in (sep, p)]
+    return F.concat(F.lit(f'Content-Type: multipart/{kind}; boundary="{boundary}"\n'), *joined,
+                    F.lit(f"\n--{boundary}--\n"))
+
+
+_HTML_ESCAPED = ("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")
+#: one byte of each charset beyond ASCII, and what it means
+_ODD_BYTES = (("ibm850", "82", "é"), ("iso-8859-14", "D0", "Ŵ"))
+
+
+def _mime_mail(docs: DataFrame) -> DataFrame:
+    """A message of one of seven shapes around every document's whole text, by doc_id mod 7."""
+    text, no = F.col("text"), F.col("doc_id").cast("string")
+    escaped = text
+    for a, b in _HTML_ESCAPED:
+        escaped = F.replace(escaped, F.lit(a), F.lit(b))
+    ascii_ = F.regexp_replace(text, "[^\\x00-\\x7f]", "?")
+    only_html = _html(F.lit("<p>html form</p>"))
+    tail = _plain(F.concat(F.lit("tail "), no))
+    named = F.lit('Content-Type: text/plain\nContent-Disposition: inline; filename="n.txt"\n\nnot for the body')
+    utf8 = lambda c: F.encode(c, "UTF-8")
+    shapes = [
+        utf8(_parts("alternative", "=_a", _plain(text), only_html)),
+        utf8(_parts("mixed", "=_m", _parts("alternative", "=_a", only_html, _plain(text)), tail)),
+        utf8(_html(F.concat(F.lit("<html><body><div>"), escaped, F.lit("</div></body></html>")))),
+        utf8(_parts("mixed", "=_m", _plain(text), named)),
+        *(F.concat(utf8(_plain(ascii_, charset)), F.unhex(F.lit(byte))) for charset, byte, _ in _ODD_BYTES),
+        utf8(_plain(text)),
+    ]
+    head = F.concat(
+        F.lit("Subject: =?iso-8859-1?Q?caf=E9_"), no, F.lit("?=\n"),
+        F.lit("Received-SPF: "), F.when(F.col("doc_id") % 2 == 0, "pass (ok)").otherwise("fail (no)"), F.lit("\n"),
+        F.lit("Authentication-Results: mx.example; dkim="), F.when(F.col("doc_id") % 3 == 0, "pass").otherwise("fail"),
+        F.lit("; dmarc="), F.when(F.col("doc_id") % 5 == 0, "pass").otherwise("none"), F.lit("\nMIME-Version: 1.0\n"))
+    k = F.pmod(F.col("doc_id"), F.lit(len(shapes)))
+    shape = F.coalesce(*(F.when(k == i, s) for i, s in enumerate(shapes)))
+    return docs.select("doc_id", F.concat(utf8(head), shape).alias("content"))
+
+
+_ASCII_SQL = "regexp_replace(text, '[^\\x00-\\x7f]', '?', 'g')"
+_FLAT_SQL = "replace(replace(text, '\\n', chr(10)), chr(13), '')"
+for _a, _b in ((" +", "' '"), ("\\n +", "chr(10)"), ("\\n+", "chr(10) || chr(10)")):
+    _FLAT_SQL = f"regexp_replace({_FLAT_SQL}, '{_a}', {_b}, 'g')"
+
+
+@register("parse_mime", f"""
+SELECT doc_id, 'café ' || doc_id AS subject,
+       {O.strip_urls(O.py_strip(f"""(CASE doc_id % 7
+           WHEN 1 THEN text || chr(10) || 'tail ' || doc_id
+           WHEN 2 THEN {_FLAT_SQL}
+           WHEN 4 THEN {_ASCII_SQL} || 'é'
+           WHEN 5 THEN {_ASCII_SQL} || 'Ŵ'
+           ELSE text END)"""))} AS body,
+       CAST(CASE WHEN doc_id % 7 = 3 THEN 1 ELSE 0 END AS INTEGER) AS attachment_count,
+       CAST(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END AS DOUBLE) AS spf,
+       CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS dkim_pass,
+       CAST(CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS dmarc_pass
+FROM documents
+""")
+def q_parse_mime(spark: SparkSession, sf: str) -> DataFrame:
+    """P2-P4, X14, X15 over alternative, nested, html-only, named-attachment and odd-charset mail of every document."""
+    p = parse_mail(_mime_mail(table(spark, sf, "documents")))
+    return p.select("doc_id", "subject", "body", "attachment_count",
+                    H.spf_feature("x_spf_status", "received_spf", "authentication_results").alias("spf"),
+                    H.auth_pass("authentication_results", "dkim").alias("dkim_pass"),
+                    H.auth_pass("authentication_results", "dmarc").alias("dmarc_pass"))
+
+
+@register("parse_robust", f"""
+SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN chr(65533) || ' ' || doc_id WHEN 3 THEN NULL
+         ELSE {O.strip_urls(O.py_strip(f"CASE doc_id % 4 WHEN 0 THEN text || chr(10) || chr(65533) || chr(65533) || ' ' || doc_id "
+                                       f"ELSE {_ASCII_SQL} || 'ÿ' END"))} END AS body,
+       CASE WHEN doc_id % 4 <> 3 THEN doc_id % 4 = 2 END AS tagged_spam, doc_id % 4 = 3 AS failed
+FROM documents
+""")
+def q_parse_robust(spark: SparkSession, sf: str) -> DataFrame:
+    """P1/P3/X1/K4b where mail is damaged: halves of surrogate pairs as HTML references and in UTF-7, a raw Latin-1 byte
+    in a tagged message, and no content at all. No message ends the job."""
+    text, no = F.col("text"), F.col("doc_id").cast("string")
+    ascii_ = F.regexp_replace(text, "[^\\x00-\\x7f]", "?")
+    utf8 = lambda c: F.encode(c, "UTF-8")
+    shapes = [
+        utf8(_parts("mixed", "=_m", _plain(text), _html(F.concat(F.lit("<b>&#55357;&#56832; "), no, F.lit("</b>"))))),
+        utf8(_plain(F.concat(F.lit("+2D0- "), no), "utf-7")),
+        F.concat(utf8(F.lit("X-Spam-Status: Yes, score=0.9\n")), utf8(_plain(ascii_, "iso-8859-1")), F.unhex(F.lit("FF"))),
+        F.lit(None).cast("binary"),
+    ]
+    k = F.pmod(F.col("doc_id"), F.lit(len(shapes)))
+    raw = table(spark, sf, "documents").select("doc_id", F.coalesce(*(F.when(k == i, s) for i, s in enumerate(shapes))).alias("content"))
+    p = parse_mail(route_tagged(raw))
+    return p.select("doc_id", "body", "tagged_spam", F.col("parse_error").isNotNull().alias("failed"))
+
+
+# ------------------------------------------------------------------ rules around the model
+
+@register("combined_text", """
+SELECT doc_id, 'Subject: ' || coalesce(source, '') || chr(10) || coalesce(text, '') AS combined FROM documents
+""")
+def q_combined_text(spark: SparkSession, sf: str) -> DataFrame:
+    """X6 with the source as subject and the text as body of every document."""
+    return table(spark, sf, "documents").select("doc_id", X.combined_text("source", "text").alias("combined"))
+
+
+_FIXED_SCORE_SQL = """
+(SELECT vec_id, label, 1.0 / (1.0 + exp(-(list_sum(list_transform(CAST(embedding AS DOUBLE[]),
+          lambda x, i: x * (((i - 1) % 7) - 3) / 10.0)) + 0.1))) AS s FROM embeddings)
+"""
+
+
+def _fixed_scores(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.model import logistic_score
+
+    e = table(spark, sf, "embeddings")
+    width = len(e.select("embedding").first()[0])
+    w = [((i % 7) - 3) / 10.0 for i in range(width)]
+    return e.select("vec_id", "label", logistic_score(F.col("embedding").cast("array<double>"), w, 0.1).alias("s"))
+
+
+@register("classify_fixed", f"""
+SELECT vec_id, CASE WHEN s > 0.5 THEN 'SPAM' ELSE 'HAM' END AS prediction, printf('%.2f', s * 100) || '%' AS spam_probability,
+       printf('%.2f', (1 - s) * 100) || '%' AS ham_probability FROM {_FIXED_SCORE_SQL}
+""")
+def q_classify_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """E3 + E4 on fixed coefficients over every embedding."""
+    return classify(_fixed_scores(spark, sf), "s").select("vec_id", "prediction", "spam_probability", "ham_probability")
+
+
+@register("accuracy_fixed", f"""
+SELECT avg(CASE WHEN (s > 0.5) = (label % 2 = 1) THEN 1.0 ELSE 0.0 END) AS accuracy FROM {_FIXED_SCORE_SQL}
+""")
+def q_accuracy_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """A4 on fixed coefficients over every embedding, label mod 2 as the class."""
+    return accuracy(_fixed_scores(spark, sf).withColumn("label", F.col("label") % 2), "s", "label")
+
+
+# the list: every source that is a free-mail provider, with directives, comments and a whitelist
+_LIST_SQL = "(SELECT DISTINCT source || '.example' AS domain FROM documents WHERE regexp_matches(source, '[02468]$') AND source <> 'src4')"
+
+
+@register("domain_list_mismatch", f"""
+SELECT d.doc_id, CAST(CASE WHEN f.domain IS NULL AND r.domain IS NOT NULL THEN 1.0 ELSE 0.0 END AS DOUBLE) AS mismatch
+FROM (SELECT doc_id, source || '.example' AS fd, 'src' || (doc_id % 20) || '.example' AS rd FROM documents) d
+LEFT JOIN {_LIST_SQL} f ON f.domain = d.fd LEFT JOIN {_LIST_SQL} r ON r.domain = d.rd
+""")
+def q_domain_list_mismatch(spark: SparkSession, sf: str) -> DataFrame:
+    """S6 + J1 + X5 with a supplied list: From in the document's source, Reply-To by doc_id mod 20."""
+    docs = table(spark, sf, "documents")
+    host = F.concat("source", F.lit(".example"))
+    lines = docs.where(F.col("source").rlike("[02468]$")).select(
+        F.concat(F.lit("freemail_domains "), host, F.lit(" # free")).alias("value")).distinct()
+    lines = lines.unionByName(lines.select(F.lit("freemail_whitelist src4.example").alias("value"))).unionByName(
+        lines.select(F.lit("util_rb_tld example").alias("value")))
+    listed = domain_list(lines)
+    d = docs.select("doc_id", host.alias("fd"), F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string"), F.lit(".example")).alias("rd"))
+    d = H.flag_domains(H.flag_domains(d, "fd", listed, "from_free"), "rd", listed, "reply_free")
+    return d.select("doc_id", H.reply_to_mismatch("fd", "rd", F.col("from_free"), F.col("reply_free")).alias("mismatch"))
+
+
 # ------------------------------------------------------------------ the filter as a stream (T1 + T2 with a trained model)
 
 @register("stream_filter")
@@ -847,7 +1025,7 @@ def q_stream_filter(spark: SparkSession, sf: str) -> DataFrame:
     tests compare it with the batch filter on the same model)."""
     from .score import filter_files_stream
 
-    trained, _ = build_model(_parsed_corpus(spark, sf), "label")
+    trained, _ = build_model(_parsed_corpus(spark, sf, labelled=True), "label")
     base = _write_maildirs(spark, sf)
     target = scratch_path(spark, "stream-filter")
     filter_files_stream(spark, trained, [f"{base}/good/new", f"{base}/bad/new"], target).awaitTermination()

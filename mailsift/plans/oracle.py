@@ -15,8 +15,6 @@ from ..constants import (
     HTML_LEGACY_NAMES,
     SPF_RESULT_WORDS,
     SPF_STATUS_WORDS,
-    URL_PATTERN,
-    WS_CLASS,
 )
 from ..functions.text import IPV6_PATTERN, IPVFUTURE_PATTERN, NFKC_DELIMITER_CLASS
 
@@ -30,8 +28,11 @@ def in_list(values) -> str:
     return "(" + ", ".join(lit(v) for v in values) + ")"
 
 
-WS = "[" + WS_CLASS + "]"
-URL = lit(URL_PATTERN)
+# white space and links, stated here for themselves
+_SPACE = (r"\x09\x0a\x0b\x0c\x0d\x1c\x1d\x1e\x1f\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}"
+          r"\x{205f}\x{3000}")
+WS = f"[{_SPACE}]"
+URL = lit(r"[hH][tT][tT][pP][sS]?://[^\"'()<>" + _SPACE + "]+")
 _PUNCT = r"[.,!?;*\-]"
 
 
@@ -109,6 +110,9 @@ def html_text_flat(h: str) -> str:
 
 
 def email_domain(h: str) -> str:
+    # quoted names and comments go, then everything from the first comma on
+    bare = f"regexp_replace({h}, {lit(chr(92) * 2 + '.')}, '', 'g')"
+    h = f"split_part(regexp_replace({bare}, {lit('"[^"]*"|[(][^()]*[)]')}, '', 'g'), ',', 1)"
     addr = f"(CASE WHEN regexp_matches({h}, '<[^<>]*>') THEN regexp_extract({h}, '<([^<>]*)>', 1) ELSE {py_strip(h)} END)"
     dom = f"lower({py_strip(f'split_part({addr}, chr(64), -1)')})"
     return f"(CASE WHEN {h} IS NULL THEN '' WHEN contains({addr}, chr(64)) THEN {dom} ELSE '' END)"

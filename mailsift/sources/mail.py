@@ -11,8 +11,10 @@ any-depth Maildir discovery also reads ``cur``/``new`` of hidden sub-folders.
 from __future__ import annotations
 
 import logging
+import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,8 +54,35 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
-def _read(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One ``binaryFile`` scan over one or several directories (a single scan node)."""
+def escape_glob(path: str) -> str:
+    """A path for a reader that takes patterns: ``[Gmail]`` then means itself."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def one_pattern(paths: list[str]) -> str:
+    """A pattern for the given directories: their common parent and a brace list of the rest.
+
+    Inside the list a pattern's own signs can't be escaped and stand as ``?``, which may match more:
+    ``under_any`` then keeps what was asked for.
+    """
+    split = [p.rstrip("/").split("/") for p in dict.fromkeys(paths)]
+    if len(split) == 1:
+        return escape_glob("/".join(split[0]))
+    n = 0
+    while all(len(s) > n + 1 for s in split) and len({s[n] for s in split}) == 1:
+        n += 1
+    rest = ",".join(re.sub(r"[\[\]{}*?\\,]", "?", "/".join(s[n:])) for s in split)
+    return escape_glob("/".join(split[0][:n])) + "/{" + rest + "}"
+
+
+def under_any(paths: list[str], path_col: str = "path") -> Column:
+    """Whether a file lies in one of the given directories, at any depth."""
+    return reduce(lambda a, b: a | b, (F.col(path_col).contains(p.rstrip("/") + "/") for p in dict.fromkeys(paths)))
+
+
+def _read(spark: SparkSession, path: list[str]) -> DataFrame:
+    """One ``binaryFile`` scan over several directories (a single scan node)."""
+    path = [escape_glob(p) for p in path]
     return (spark.read.format("binaryFile").schema(BINARY_SCHEMA).options(**FS_OPTIONS)
             .option("recursiveFileLookup", "true").load(path))
 
@@ -129,10 +158,10 @@ def scan_corpus(spark: SparkSession, good_paths, bad_paths, subdirs=None, any_de
         for i, p in enumerate(split_paths(paths)):
             frames.append(scan_mail(spark, p, subdirs, any_depth).withColumn("folder", F.lit(p))
                           .withColumn("ord", F.lit(i)))
-        df = frames[0]
-        for f in frames[1:]:
-            df = df.unionByName(f)
-        return df.withColumn("class", F.lit(cls))
+        if not frames:  # an empty list is a class without mail
+            frames = [scan_mail(spark, []).withColumn("folder", F.lit(None).cast("string"))
+                      .withColumn("ord", F.lit(None).cast("int"))]
+        return reduce(DataFrame.unionByName, frames).withColumn("class", F.lit(cls))
 
     return load_corpus(side(good_paths, "good"), side(bad_paths, "bad"))
 

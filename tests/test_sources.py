@@ -85,6 +85,51 @@ def test_domain_list(spark):
     assert flags == {"web.de": True, "x.org": False}
 
 
+def test_domain_list_directives(spark):
+    from mailsift.sources.domains import domain_list
+
+    lines = spark.createDataFrame([("freemail_domains a.example b.example",), ("freemail_whitelist B.example c.example",),
+                                   ("util_rb_tld com",), ("d.example e.example # x",)], "value string")
+    assert sorted(r.domain for r in domain_list(lines).collect()) == ["a.example", "d.example", "e.example"]
+
+
+def test_pattern_signs_in_folder_names(spark, tmp_path):
+    from mailsift.sources.mail import one_pattern, scan_corpus, scan_mail, under_any
+    from mailsift.streaming.score import run_to_table, stream_mail
+
+    for name in ("[Gmail]", "a{b,c}", "q?*", "[Spam] x"):
+        (tmp_path / name / "new").mkdir(parents=True)
+        (tmp_path / name / "new" / "m1").write_bytes(b"Subject: x\n\nbody")
+    roots = [str(tmp_path / n) for n in ("[Gmail]", "q?*")]
+    assert scan_mail(spark, roots, subdirs=("cur", "new")).count() == 2
+    assert scan_mail(spark, [str(tmp_path / "[Gmail]")], subdirs=("new",), any_depth=True).count() == 1
+    assert scan_corpus(spark, "", roots[0]).groupBy("class").count().collect() == [("bad", 1)]
+    boxes = [str(tmp_path / n / "new") for n in ("[Gmail]", "[Spam] x")]
+    (tmp_path / "xSpamx x" / "new").mkdir(parents=True)
+    (tmp_path / "xSpamx x" / "new" / "m2").write_bytes(b"not asked for")
+    src = stream_mail(spark, one_pattern(boxes)).where(under_any(boxes)).select("path")
+    run_to_table(src, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_old_files_are_streamed(spark, tmp_path):
+    import os
+    import time
+
+    from mailsift.streaming.score import run_to_table, stream_mail
+
+    box = tmp_path / "new"
+    box.mkdir()
+    (box / "m1").write_bytes(b"x")
+    run = lambda: run_to_table(stream_mail(spark, str(box)).select("path"), str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
+    run()
+    (box / "m2").write_bytes(b"y")
+    old = time.time() - 90 * 86400
+    os.utime(box / "m2", (old, old))
+    run()
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 2
+
+
 def test_maildir_dirs_at_any_depth(spark):
     from mailsift.sources.mail import maildir_dirs, scan_mail
 

@@ -115,8 +115,8 @@ def test_deliver_partitions_by_folder(spark, tmp_path):
     deliver(with_verdict(df, "score_text", 0.5), str(tmp_path))
     got = {r.folder: r.n for r in spark.read.parquet(str(tmp_path / "delivered")).groupBy("folder").count()
            .withColumnRenamed("count", "n").collect()}
-    assert got == {"spam": 1, "ham": 1}
-    assert spark.read.parquet(str(tmp_path / "rejects")).count() == 1
+    assert got == {"spam": 1, "ham": 1, "rejects": 1}
+    assert spark.read.parquet(str(tmp_path / "delivered/folder=rejects")).count() == 1
 
 
 def test_threshold_sweep_and_histogram_against_brute_force(spark):
