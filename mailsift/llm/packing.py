@@ -12,7 +12,9 @@ within their length, look up their place in it.
 from __future__ import annotations
 
 import hashlib
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +32,7 @@ LENGTH, END_ID = 2048, 1
 #: Lengths are rounded up to this many tokens for the program, so it has LENGTH / UNIT rows.
 UNIT = 8
 #: Pieces of one length are ranked in groups of about this many.
-RANK_ROWS = 20_000
+RANK_ROWS = 2_000
 #: A column must pay at least this much to enter the program.
 LEAST_GAIN = 1e-7
 
@@ -38,6 +40,13 @@ LEAST_GAIN = 1e-7
 # --- ids -----------------------------------------------------------------------------------------------------------
 
 
+def little(numbers: array) -> array:
+    """Numbers in little-endian order on any machine."""
+    if sys.byteorder != "little":
+        numbers.byteswap()
+    return numbers
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
@@ -49,7 +58,7 @@ class Encoder:
             self.chunks = whole
         else:
             encode = ranks.encode_ordinary
-            value = lambda c: np.array(encode(c), "<u4").tobytes()
+            value = lambda c: little(array("I", encode(c))).tobytes()
             special = special_strings(content)
             # without special strings the faster encoding has the same ids for any white space
             self.chunks = Chunks(value, lambda t: whole(t) if any(s in t for s in special) else [value(t)], special, 150_000)
