@@ -55,7 +55,7 @@ def borders(cells: list[Cell], shards: int) -> tuple[list[int], list[tuple[int,
         total += c.size
         ends.append(total)
     at, inside = [], []
-    for k in range(1, shards):
+    for k in range(1, shards if cells else 1):
         goal = total * k / shards
         i = max(1, min(len(cells), bisect_left(ends, goal)))
         at.append(i if ends[i] - goal <= goal - ends[i - 1] else i - 1)
