@@ -80,4 +80,25 @@ QUERIES = {f.__name__: f for f in (
     op7_token_counts, op8_secret_scan, op9_histogram_shards, op10_cutting_stock)}
 
 #: DuckDB SQL by query, where SQL can express it; the rest is held against brute force in tests/llm.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_jaccard_join": r"""
+WITH RECURSIVE texts AS (
+  SELECT coalesce(text, '') AS t, min(doc_id) AS id, count(*) AS copies FROM documents GROUP BY 1),
+words AS (
+  SELECT id, list_filter(regexp_split_to_array(t, '[\x09-\x0d\x20]+'), lambda x: x <> '') AS w FROM texts),
+shingles AS (
+  SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
+sizes AS (SELECT id, count(*) AS n FROM shingles GROUP BY id),
+shared AS (
+  SELECT a.id AS a, b.id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT id AS x, id AS y FROM texts UNION SELECT r.x, e.b FROM reached r JOIN edges e ON e.a = r.y),
+classes AS (SELECT x AS id, min(y) AS class_id FROM reached GROUP BY x),
+degrees AS (SELECT a AS id, count(*) AS n FROM edges GROUP BY a)
+SELECT d.doc_id, k.class_id, coalesce(g.n, 0) AS n_links, t.copies
+FROM documents d JOIN texts t ON t.t = coalesce(d.text, '') JOIN classes k ON k.id = t.id LEFT JOIN degrees g ON g.id = t.id
+""",
+}
