@@ -14,12 +14,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import slices, text_udf
+from mailsift.llm.common import text_udf
+from mailsift.session import scratch_path
 
 #: Blocks in which a text is compressed, in bytes; the dictionary then helps all along a long text.
 BLOCK_BYTES = 4096
@@ -32,7 +32,7 @@ LEVEL = 3
 BINS, RATIO_BINS = 1024, 35
 PLAIN_RATIO = 0.35
 #: Share of labelled rows, by hash of the id, whose blocks train dictionaries; the rest fit the curve.
-DICTIONARY_SHARE = 50
+DICTIONARY_SHARE = 35
 CUT = 0.3
 RESULT = "score double, predicted int, difference double, ratio double"
 
@@ -80,18 +80,19 @@ def differences(good: bytes, bad: bytes):
     return work
 
 
-def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi in slices(batch.column("text")):
-            part = batch.slice(lo, hi - lo)
-            rows = [(q, k, n, piece) for k, q, t in zip(*(part.column(c).to_pylist() for c in ("id", "quality", "text")),
-                                                        strict=True)
-                    for n, piece in enumerate(blocks(t.encode("utf-8", "replace")))]
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True),
-                                                         (pa.int32(), pa.string(), pa.int32(), pa.binary()), strict=True)],
-                    ["quality", "id", "n", "block"])
+def sample_blocks(rows: DataFrame, most: int = SAMPLE_BLOCKS) -> list[bytes]:
+    """The ``most`` blocks of the texts of ``rows`` (id, text) with the smallest hash of (id, block number).
+
+    First only hashes are compared, then just the chosen blocks are cut out of their texts.
+    """
+    numbers = F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length("text") / BLOCK_BYTES).cast("int") - 1, F.lit(0)))
+    hashed = F.transform(numbers, lambda n: F.struct(F.xxhash64("id", n).alias("h"), n.alias("n")))
+    least = rows.select(F.explode(hashed).alias("b")).select("b.h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    if least is None:
+        return []
+    chosen = rows.select("id", "text", F.explode(F.filter(hashed, lambda b: b["h"] <= least)).alias("b"))
+    block = F.substring(F.encode("text", "UTF-8"), F.col("b.n") * BLOCK_BYTES + 1, F.lit(BLOCK_BYTES))
+    return [bytes(r.block) for r in chosen.select("b.h", "id", "b.n", block.alias("block")).orderBy("h", "id", "n").limit(most).collect()]
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
@@ -142,10 +143,10 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", quali
     rows = labelled.where(F.col(text).isNotNull() & F.col(quality).isin(0, 1)).select(
         F.col(id_col).cast("string").alias("id"), F.col(quality).cast("int").alias("quality"), F.col(text).alias("text"))
     half = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit("half")), F.lit(100)) < DICTIONARY_SHARE
-    cut = rows.where(half).mapInArrow(_block_rows, "quality int, id string, n int, block binary")
-    order = (F.xxhash64("id", "n", "block"), F.col("id"), F.col("n"))
-    made = [_dictionary([r.block for r in cut.where(F.col("quality") == q).orderBy(*order).limit(SAMPLE_BLOCKS).collect()])
-            for q in (1, 0)]
+    at = scratch_path(labelled.sparkSession, "labelled")
+    rows.write.parquet(at)  # the labelled texts are gathered once and read four times
+    rows = labelled.sparkSession.read.parquet(at)
+    made = [_dictionary(sample_blocks(rows.where(half & (F.col("quality") == q)))) for q in (1, 0)]
     feature = text_udf(lambda: differences(*made), "x double, ratio double", "text")
     bins = F.floor((F.col("f.x") + 1) * (BINS / 2)) * (RATIO_BINS + 1) + F.floor(F.col("f.ratio") / PLAIN_RATIO * RATIO_BINS)
     counts = rows.where(~half).select("quality", feature.alias("f")).groupBy(
