@@ -32,7 +32,8 @@ def arrow_type(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def text_udf(make: Callable[[], Callable], schema: str, text: Column | str, repeatable: bool = True) -> Column:
+def text_udf(make: Callable[[], Callable], schema: str, text: Column | str, repeatable: bool = True,
+             limit: int = SLICE_BYTES) -> Column:
     """A struct column computed from a text column by batches.
 
     ``make()`` runs once per task and returns ``work(list[str | None]) -> list of columns`` in the
@@ -47,7 +48,7 @@ def text_udf(make: Callable[[], Callable], schema: str, text: Column | str, repe
         work = make()
         for batch in batches:
             parts = []
-            for lo, hi in slices(batch):
+            for lo, hi in slices(batch, limit):
                 columns = work(batch.slice(lo, hi - lo).to_pylist())
                 parts.append(pa.StructArray.from_arrays(
                     [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names))

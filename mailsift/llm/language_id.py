@@ -23,6 +23,8 @@ BUCKET_BITS = 16
 SMOOTHING = 0.5
 SCALE = 1 << 12
 UNKNOWN = "und"
+#: Bytes of text whose n-grams are held at a time: each takes some 50 bytes and 4 more for a language.
+GRAM_BYTES = 1 << 20
 RESULT = "lang_pred string, score double"
 
 
@@ -77,7 +79,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts.clear()
 
     for batch in batches:
-        for lo, hi in slices(batch.column("text")):
+        for lo, hi in slices(batch.column("text"), GRAM_BYTES):
             langs = np.array(batch.column("lang").slice(lo, hi - lo).to_pylist(), object)
             texts = batch.column("text").slice(lo, hi - lo).to_pylist()
             for lang in dict.fromkeys(langs):
@@ -137,4 +139,4 @@ def predict(spark: SparkSession, model: LanguageModel, text: Column | str = "tex
     language that sorts first. The broadcast matrix has 4 bytes x 65,536 buckets for each language.
     """
     shared = spark.sparkContext.broadcast(model)
-    return text_udf(lambda: scorer(shared.value), RESULT, text, repeatable)
+    return text_udf(lambda: scorer(shared.value), RESULT, text, repeatable, GRAM_BYTES)
