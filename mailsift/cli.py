@@ -102,7 +102,7 @@ def run_filter(spark: SparkSession, model_dir: str, inputs, output: str, mode: s
         from .plans.score import filter_files_stream
 
         filter_files_stream(spark, trained, split_paths(inputs), output, threshold,
-                            available_now=False).awaitTermination()
+                            available_now=False, mode=mode).awaitTermination()
         return
     decided = filter_mail(scan_mail(spark, inputs).select("path", "content"), trained, threshold, tag=False)
     if mode == "tag":

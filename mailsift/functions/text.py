@@ -1,7 +1,7 @@
-"""Native (JVM, codegen) text expressions: URL reduction, URL domain, flat HTML to text.
+"""Native text expressions: URL reduction, URL domain, flat HTML to text.
 
-All functions take and return ``Column``s and contain no Python UDF, so they
-run inside whole-stage codegen on the executors.
+All functions take and return ``Column``s and contain no Python UDF, so they run
+in the JVM; those with lambdas are interpreted, outside whole-stage codegen.
 """
 
 from __future__ import annotations

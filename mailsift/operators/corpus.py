@@ -4,11 +4,12 @@ manifest diff (J3), top domains (A6/O2) and domain marking (X16).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip_urls, url_domains
+from ..sources.mail import split_paths
 
 MAX_VOCAB = 200
 
@@ -54,6 +55,12 @@ def manifest_lines(man: DataFrame) -> DataFrame:
     return man.select(F.format_string("%s/%s %d %d", "class", "basename", "length", "mtime").alias("value"))
 
 
+def listed_inputs(spark: SparkSession, good, bad) -> DataFrame:
+    """K7 from the lists themselves: ``class, folders`` as given, also folders without any mail."""
+    return spark.createDataFrame([(c, ",".join(split_paths(paths))) for c, paths in (("good", good), ("bad", bad))],
+                                 "class string, folders string")
+
+
 def inputs(df: DataFrame, class_col: str = "class", folder: str = "folder", ord_col: str = "ord") -> DataFrame:
     """K7: which folders fed each class, in list order (one short list per class)."""
     f = df.select(class_col, ord_col, folder).distinct()

@@ -35,6 +35,11 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, so that a local folder is a shared one."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder named by ``spark.checkpoint.dir``.
 
@@ -51,6 +56,8 @@ def shared_dir(spark: SparkSession) -> str:
         return d.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mailsift-ckpt-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")

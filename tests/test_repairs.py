@@ -101,3 +101,33 @@ def test_models_of_every_kind_reload(spark, tmp_path, kind):
     loaded, _ = load_model(spark, str(tmp_path))
     want = [r.predicted for r in predicted_class(df, model).collect()]
     assert [r.predicted for r in predicted_class(df, loaded).collect()] == want
+
+
+def test_delivery_of_a_stream_to_maildir(spark, tmp_path):
+    from mailsift.plans.score import filter_files_stream
+    from mailsift.plans.train import build_model
+
+    mail = spark.createDataFrame(
+        [(i, i % 2, f"Subject: {'buy now' if i % 2 else 'minutes'}\n\nbody {i}".encode()) for i in range(12)],
+        "doc_id int, label int, content binary")
+    trained, _ = build_model(parse_mail(mail), embedding_dim=16)
+    box = tmp_path / "in"
+    box.mkdir()
+    for i in range(4):
+        (box / f"m{i}").write_bytes(f"Subject: {'buy now' if i % 2 else 'minutes'}\n\nnew {i}".encode())
+    filter_files_stream(spark, trained, [str(box)], str(tmp_path / "out"), mode="deliver").awaitTermination()
+    found = [p for p in (tmp_path / "out").glob("*/new/*") if not p.name.endswith(".crc")]
+    assert len(found) == 4 and {p.parent.parent.name for p in found} == {"spam", "ham"}
+
+
+def test_inputs_as_listed(spark):
+    from mailsift.operators.corpus import listed_inputs
+
+    rows = {r["class"]: r.folders for r in listed_inputs(spark, " a, b ,,", ["c"]).collect()}
+    assert rows == {"good": "a,b", "bad": "c"}
+
+
+def test_delivery_base_is_qualified(spark, tmp_path):
+    from mailsift.operators.route import qualified
+
+    assert qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
