@@ -24,7 +24,7 @@ from mailsift.llm.common import Memo, held, text_udf
 from mailsift.llm.pretokens import PIECES, Chunks, splitter
 
 #: Bounds of the lazily made table and of the known pairs.
-MOST_STATES, MOST_PAIRS = 120_000, 200_000
+MOST_STATES, MOST_PAIRS, MOST_SHAPES = 200_000, 300_000, 100_000
 RESULT = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -81,6 +81,7 @@ class Transducer:
         self.apart: dict[tuple[int, int], bool] = {}
         self.made: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int]] = {}
+        self.shapes: dict[int, tuple] = {}
         self._fresh()
 
     def _fresh(self) -> None:
@@ -152,25 +153,37 @@ class Transducer:
         self.apart[left, right] = stays
         return stays
 
+    def _shape(self, node: int, byte: int) -> tuple:
+        """What a move does whatever the last tokens are: the next place, the tokens that may end here and whose
+        left neighbours stand where among the last tokens, and which of those stay (-1: the new one)."""
+        place = {k: i for i, k in enumerate(self._of(node)[1])}
+        to = self._goto(node, byte)
+        ends, live = self._of(to)
+        if len(self.shapes) >= MOST_SHAPES:
+            self.shapes.clear()
+        shape = self.shapes[node << 8 | byte] = (
+            to, tuple([(t, place[n - 1]) for t, n in ends]), tuple([place[k - 1] if k else -1 for k in live]))
+        return shape
+
     def _step(self, state: int, byte: int) -> tuple[int, int]:
         """The next state and the last token of the prefix that ends with this byte."""
         node, lasts = self.states[state]
-        before = dict(zip(self._of(node)[1], lasts, strict=True))
-        node = self._goto(node, byte)
-        ends, live = self._of(node)
-        for token, length in ends:
-            if self._stays(before[length - 1], token):
+        to, ends, kept = self.shapes.get(node << 8 | byte) or self._shape(node, byte)
+        apart = self.apart
+        for token, i in ends:
+            pair = (lasts[i], token)
+            stays = apart.get(pair)
+            if self._stays(*pair) if stays is None else stays:
                 break
         else:
             raise ValueError(f"no token ends with byte {byte}")
-        before[-1] = token
-        key = (node, tuple([before[k - 1] for k in live]))
-        to = self.ids.get(key)
-        if to is None:
-            to = self.ids[key] = len(self.states)
+        key = (to, tuple([token if i < 0 else lasts[i] for i in kept]))
+        found = self.ids.get(key)
+        if found is None:
+            found = self.ids[key] = len(self.states)
             self.states.append(key)
             self.steps.append({})
-        return to, token
+        return found, token
 
     def _run(self, data: bytes, state: int, lasts: list[int]) -> int:
         steps = self.steps

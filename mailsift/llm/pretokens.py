@@ -17,7 +17,7 @@ from mailsift.llm.common import Memo
 
 #: A space that is neither the first nor the last of its run of white space, or that ends the text after another.
 INNER_SPACE = re.compile(r"\s (?:\s|\Z)")
-CHUNKS, PIECES = 60_000, 180_000
+CHUNKS, PIECES = 100_000, 250_000
 
 
 class Chunks:
