@@ -29,7 +29,9 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; a fifth of the documents, by crc32 of the id, is held out of training."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(crc32_text("doc_id") % 5 == 0, F.lit(False))
-    labelled = docs.where(~held_out).select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id")
+    # labels grow with the documents: the same join at every size
+    labelled = docs.where(~held_out).select("doc_id", "text").join(
+        labels.select("doc_id", "quality").hint("merge"), "doc_id")
     model = quality_classifier.train(labelled)
     return docs.select("doc_id", held_out.alias("held_out"), quality_classifier.score(spark, model).alias("s")).select(
         "doc_id", "held_out", "s.score", "s.predicted")
