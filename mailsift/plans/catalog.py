@@ -663,10 +663,10 @@ FROM {_DOC_URL_SQL} t LEFT JOIN labels l ON l.doc_id = t.doc_id
 """
 
 
-def _write_maildirs(spark: SparkSession, sf: str) -> str:
-    """Deliver every message as a file into ``<base>/[Mail]/<class>/new`` (bad: toxic, good: the rest); the
-    names carry a Maildir flags part (``:2,S``) so the colon handling is exercised, and the folder a pattern's signs."""
-    base = scratch_path(spark, "maildir") + "/[Mail]"
+def _write_maildirs(spark: SparkSession, sf: str, folder: str = "mail") -> str:
+    """Deliver every message as a file into ``<base>/<folder>/<class>/new`` (bad: toxic, good: the rest); the
+    names carry a Maildir flags part (``:2,S``) so the colon handling is exercised."""
+    base = f"{scratch_path(spark, 'maildir')}/{folder}"
     mail = _labelled_mail(spark, sf).withColumn("path", F.col("doc_id").cast("string"))
     write_maildir_files(mail, base, "class", "path", "content", info="2,S")
     return base
@@ -676,8 +676,8 @@ def _write_maildirs(spark: SparkSession, sf: str) -> str:
 def q_maildir_scan(spark: SparkSession, sf: str) -> DataFrame:
     """K5 → S2/S1 → S3 → P1: messages written as Maildir files (names with
     colons), scanned from cur/ and new/ of the good and bad folders, labelled
-    by list and parsed."""
-    base = _write_maildirs(spark, sf)
+    by list and parsed. The folder's name holds a pattern's signs."""
+    base = _write_maildirs(spark, sf, "[Mail]")
     corpus = scan_corpus(spark, f"{base}/good", f"{base}/bad", subdirs=("cur", "new"))
     p = parse_mail(corpus.select("class", "label", "content"))
     return p.select("class", "label", "subject", "body", "mismatch")
