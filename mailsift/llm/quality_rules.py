@@ -31,7 +31,9 @@ MIN_CHARS_JUDGED, MIN_WORDS_JUDGED = 200, 40
 #: Largest Jensen-Shannon distances (base 2, 0 to 1) to the nearest language.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.385
 #: A task flushes its word counts at so many distinct words.
-MOST_WORDS = 200_000
+MOST_WORDS = 50_000
+#: Bytes of text looked at at a time, and words whose place among the common ones a task remembers.
+TEXT_BYTES, MEMO_WORDS = 1 << 20, 30_000
 
 CLASSES = ("lower", "upper", "letter", "digit", "space", "point", "symbol", "other")
 RESULT = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
@@ -119,7 +121,7 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     for batch in batches:
         texts = batch.column("text")
-        for lo, hi in slices(texts):
+        for lo, hi in slices(texts, TEXT_BYTES):
             for lang, text in zip(batch.column("lang").slice(lo, hi - lo).to_pylist(),
                                   texts.slice(lo, hi - lo).to_pylist(), strict=True):
                 chars[lang] = chars.get(lang, 0) + char_counts(text)
@@ -173,7 +175,7 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def judge(refs: References):
     """A function from texts to the columns of ``RESULT``."""
     code = {w: i + 1 for i, w in enumerate(sorted({w for ws in refs.words for w in ws}))}
-    memo = Memo(lambda w: code.get(plain_word(w), 0))
+    memo = Memo(lambda w: code.get(plain_word(w), 0), MEMO_WORDS)
     places = [np.array([code[w] for w in ws], np.int64) for ws in refs.words]
 
     def work(texts):
@@ -216,7 +218,7 @@ def quality(refs: References, text: Column | str = "text", repeatable: bool = Tr
     (an empty table, no languages) only the base rules decide and the distances are null. Equal texts get
     equal results, however often they occur.
     """
-    return text_udf(lambda: judge(refs), RESULT, text, repeatable)
+    return text_udf(lambda: judge(refs), RESULT, text, repeatable, TEXT_BYTES)
 
 
 def quality_rules(docs: DataFrame, refs: References | None = None, id_col: str = "doc_id", text: str = "text",
