@@ -31,7 +31,7 @@ MIN_CHARS_JUDGED, MIN_WORDS_JUDGED = 200, 40
 #: Largest Jensen-Shannon distances (base 2, 0 to 1) to the nearest language.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.385
 #: A task flushes its word counts at so many distinct words.
-MOST_WORDS = 50_000
+MOST_WORDS = 100_000
 #: Bytes of text looked at at a time, and words whose place among the common ones a task remembers.
 TEXT_BYTES, MEMO_WORDS = 1 << 20, 30_000
 
@@ -130,6 +130,7 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 yield rows()
     if chars:
         yield rows()
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def learn_references(docs: DataFrame, lang: str = "lang", text: str = "text", top: int = TOP_WORDS) -> References:
