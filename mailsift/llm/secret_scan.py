@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and random strings told by their tokens.
 
 A byte-pair vocabulary has long tokens for what people write and short ones for what they don't: a string that
-needs many tokens for its length is random. Candidates are long unbroken runs with letters and digits; digests of
-known lengths, UUIDs and names made of words are left out before the ratio decides.
+needs many tokens for its length is random. Candidates are long unbroken runs with letters; digests of known lengths,
+UUIDs and names made of words are left out, of all others the ratio decides.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Hex digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512), whole.
 DIGEST = re.compile(r"(?i)(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z")
 UUID = re.compile(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z")
-#: Names: words, each in one case or capitalised, with short numbers, joined by separators or humps.
-NAME = re.compile(r"[/_=+-]*(?:(?:[A-Z]?[a-z]{3,}|[A-Z]{3,}|[0-9]{1,4}|[a-z]{1,2}(?![a-z]))[/_=+-]*)+\Z")
+#: Parts of a run: letters in one case or capitalised, and numbers.
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+#: A part is a word from so many letters, with so many letters a token; letters of fewer are a short part.
+WORD_LETTERS = 3
 RESULT = "n_assign bigint, n_access bigint, n_hex bigint, n_token bigint, base_spans string, spans string"
 MASK = "[SECRET]"
 
@@ -48,16 +50,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def named(run: str, n_tokens) -> bool:
+    """Whether a run is a name made of words: they hold most of its letters and digits, and short parts are no more than
+    words. Linear in the run."""
+    parts = PARTS.findall(run)
+    letters = [p.lower() for p in parts if p.isalpha()]
+    words = [p for p in letters if len(p) >= WORD_LETTERS
+             and len(p) >= WORD_LETTERS * min(n_tokens(p), n_tokens(" " + p))]
+    return 2 * sum(map(len, words)) > sum(map(len, parts)) and sum(len(p) < WORD_LETTERS for p in letters) <= len(words)
+
+
 def random_spans(text: str, n_tokens, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of kind ``token``: runs that the vocabulary needs many tokens for, clear of the known spans."""
     out = []
     for m in RUN.finditer(text):
         s, e = m.span()
         run = m[0]
-        if (not any(map(str.isdigit, run)) or not any(map(str.isalpha, run)) or DIGEST.match(run) or UUID.match(run)
-                or any(a < e and s < b for a, _, b in known) or len(set(run)) < 8 or NAME.match(run)):
+        if (not any(map(str.isalpha, run)) or DIGEST.match(run) or UUID.match(run)
+                or any(a < e and s < b for a, _, b in known) or len(set(run)) < 8):
             continue
-        if len(run) < MAX_RATIO * n_tokens(run):
+        if len(run) < MAX_RATIO * n_tokens(run) and not named(run, n_tokens):
             out.append((s, 3, e))
     return out
 

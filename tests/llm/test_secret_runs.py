@@ -1,0 +1,34 @@
+"""Random strings of every alphabet are found, names made of words are not, and no run takes long."""
+
+import random
+import string
+import time
+
+import pytest
+
+from mailsift.llm import secret_scan
+
+ALPHABETS = {"base36": string.ascii_lowercase + string.digits, "lower": string.ascii_lowercase,
+             "letters": string.ascii_letters, "base62": string.ascii_letters + string.digits}
+
+
+@pytest.fixture(scope="module")
+def scan():
+    work = secret_scan.scanner(*secret_scan._vocabulary(None, None))
+    return lambda *texts: work(list(texts))[5]
+
+
+@pytest.mark.parametrize("kind", ALPHABETS)
+def test_random_strings_of_every_alphabet(scan, kind):
+    draw = random.Random(kind)
+    keys = ["".join(draw.choices(ALPHABETS[kind], k=32)) for _ in range(300)]
+    found = scan(*[f"the key {k} is set" for k in keys])
+    assert sum(f == "token:8:40" for f in found) >= 297
+    assert scan("use key-3ax6xnjp29jd6fds4gc373sgvjxteol0 here") == ("token:4:40",)
+
+
+def test_names_of_words_stay(scan):
+    names = ["some_long_identifier_name_2024", "https/example/path/to/resource/index", "TransportSecurityConfigurationTest2",
+             "com/articles/2024/12/03/introduction-to-distributed-systems-2", "test_pdb_issue_on_the_line_65052",
+             "internationalization-of-the-documentation", "2024-01-15/2024-02-20/0815"]
+    assert scan(*names) == ("",) * len(names)
