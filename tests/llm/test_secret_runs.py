@@ -32,3 +32,11 @@ def test_names_of_words_stay(scan):
              "com/articles/2024/12/03/introduction-to-distributed-systems-2", "test_pdb_issue_on_the_line_65052",
              "internationalization-of-the-documentation", "2024-01-15/2024-02-20/0815"]
     assert scan(*names) == ("",) * len(names)
+
+
+def test_long_slugs_take_no_time(scan):
+    slug = "com/articles/" + "introduction-to-distributed-systems-" * 100 + "2-Ab"
+    t = time.monotonic()
+    assert scan(f"see {slug} there") == ("",)
+    scan("see " + "ab1" * 3000 + "-A there", "see " + "abcdefghij" * 2000 + "B2")
+    assert time.monotonic() - t < 5
