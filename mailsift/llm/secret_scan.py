@@ -61,16 +61,17 @@ def named(run: str, n_tokens) -> bool:
 
 
 def random_spans(text: str, n_tokens, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of kind ``token``: runs that the vocabulary needs many tokens for, clear of the known spans."""
-    out = []
-    for m in RUN.finditer(text):
-        s, e = m.span()
-        run = m[0]
-        if (not any(map(str.isalpha, run)) or DIGEST.match(run) or UUID.match(run)
-                or any(a < e and s < b for a, _, b in known) or len(set(run)) < 8):
-            continue
-        if len(run) < MAX_RATIO * n_tokens(run) and not named(run, n_tokens):
-            out.append((s, 3, e))
+    """Spans of kind ``token``: runs that the vocabulary needs many tokens for, each as far as it lies between the known
+    spans."""
+    out, at = [], 0
+    for a, _, b in [*known, (len(text), 3, len(text))]:
+        for m in RUN.finditer(text, at, max(at, a)):
+            run = m[0]
+            if not any(map(str.isalpha, run)) or DIGEST.match(run) or UUID.match(run) or len(set(run)) < 8:
+                continue
+            if len(run) < MAX_RATIO * n_tokens(run) and not named(run, n_tokens):
+                out.append((m.start(), 3, m.end()))
+        at = max(at, b)
     return out
 
 
