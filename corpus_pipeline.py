@@ -25,11 +25,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach; ``und`` and uncertain ones go."""
+    """Documents in a language that the labelled ones teach; ``und``, uncertain ones and those that don't fit go."""
     model = language_id.train(docs)
-    found = language_id.predict(spark, model, "text", repeatable=False)
+    fits = language_id.learn_fits(spark, model, docs)
+    found = language_id.judge(spark, model, fits, "text", repeatable=False)
     return docs.withColumn("__found", found).where(
         (F.col("__found.lang_pred") != language_id.UNKNOWN) & (F.col("__found.score") >= LEAST_LANGUAGE_SCORE)
+        & (F.col("__found.margin") >= 0)
     ).select(*docs.columns)
 
 

@@ -4,6 +4,10 @@ Training counts hashed 1-, 2- and 3-grams of lower-cased letters per language ma
 the driver turns languages x buckets counts into one log-probability matrix, which is broadcast. Scoring gathers
 the rows of that matrix for the n-grams of a whole batch of texts at once and adds them up per text. The matrix
 holds whole numbers (log-probabilities times ``SCALE``), so a sum does not depend on the order of its parts.
+
+The posterior only compares the learned languages: it is near 1 for any longer text. Whether a text is in one of them
+at all is told by its fit, the mean log-probability of the n-grams that begin with its letters, against what the
+labelled documents of the language have.
 """
 
 from __future__ import annotations
@@ -26,6 +30,12 @@ UNKNOWN = "und"
 #: Bytes of text whose n-grams are held at a time: each takes some 50 bytes and 4 more for a language.
 GRAM_BYTES = 1 << 20
 RESULT = "lang_pred string, score double"
+#: A text fits a language if its mean lies above the median of the labelled documents less so many standard deviations
+#: of a letter, and so many more over the root of its letters, as the mean of a short text varies.
+SPREAD, SHORT_SPREAD = 1.5, 3.0
+#: The least standard deviation, and steps to a unit in which means and deviations are counted.
+LEAST_DEVIATION, STEPS = 0.5, 64
+JUDGED = RESULT + ", margin double"
 
 
 @dataclass(frozen=True)
@@ -46,17 +56,22 @@ def _letters() -> np.ndarray:
     return table
 
 
+def _codes(texts: list[str], orders=ORDERS) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the lower-cased texts set end to end, all but letters as spaces, and each text's start."""
+    pad = " " * max(orders)
+    table = held(("letters",), _letters)
+    lowered = [t.lower() + pad for t in texts]
+    starts = np.cumsum([0, *map(len, lowered)])
+    return table[np.frombuffer("".join(lowered).encode("utf-32-le", "replace"), np.uint32)], starts
+
+
 def grams(texts: list[str], orders=ORDERS, bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams (one row per order) of the texts set end to end, and each text's start.
 
     Runs of other characters than letters count as single spaces would, character by character; pads keep an
     n-gram from reaching into the next text.
     """
-    pad = " " * max(orders)
-    table = held(("letters",), _letters)
-    lowered = [t.lower() + pad for t in texts]
-    starts = np.cumsum([0, *map(len, lowered)])
-    code = table[np.frombuffer("".join(lowered).encode("utf-32-le", "replace"), np.uint32)]
+    code, starts = _codes(texts, orders)
     out, key = [], np.zeros(len(code), np.uint32)
     for n in range(1, max(orders) + 1):
         key = key * np.uint32(0x01000193) + (np.roll(code, 1 - n) + np.uint32(0x9E37 * n))
@@ -110,14 +125,79 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> LanguageMo
     return LanguageModel(langs, np.ascontiguousarray(weights.T), prior)
 
 
-def scorer(model: LanguageModel):
-    """A function from texts to (languages, scores)."""
+def fit(model: LanguageModel, texts: list[str], langs: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Letters of each text, and the mean and standard deviation of their n-grams' log-probability in its language."""
+    code, starts = _codes(texts)
+    letters = code != 32
+    own = np.repeat(langs, np.diff(starts))
+    x = np.zeros(len(code), np.int64)
+    for row in buckets:
+        x += model.weights[row, own]
+    x[~letters] = 0
+    n, total, squares = (np.add.reduceat(v, starts[:-1], dtype=np.int64) for v in (letters, x, x * x))
+    some, unit = np.maximum(n, 1), len(buckets) * SCALE
+    mean = total / some
+    return n, mean / unit, np.sqrt(np.maximum(squares / some - mean * mean, 0)) / unit
+
+
+def _fits(model: LanguageModel):
+    """A function from labelled batches to (lang, mean, deviation, n): documents by fit, in steps."""
+    at = {x: i for i, x in enumerate(model.langs)}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: dict[tuple, int] = {}
+            for lo, hi in slices(batch.column("text"), GRAM_BYTES):
+                langs = batch.column("lang").slice(lo, hi - lo).to_pylist()
+                texts = batch.column("text").slice(lo, hi - lo).to_pylist()
+                n, mean, deviation = fit(model, texts, np.array([at[x] for x in langs]), grams(texts)[0])
+                steps = np.rint(np.stack([mean, deviation]) * STEPS).astype(np.int64)
+                for i in np.flatnonzero(n):
+                    key = (langs[i], *steps[:, i].tolist())
+                    counts[key] = counts.get(key, 0) + 1
+            columns = list(zip(*counts)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in [*columns[1:], counts.values()])],
+                ["lang", "mean", "deviation", "n"])
+
+    return work
+
+
+def _median(values: np.ndarray, n: np.ndarray) -> float:
+    order = np.argsort(values, kind="stable")
+    return values[order][np.searchsorted(np.cumsum(n[order]), n.sum() / 2)] / STEPS
+
+
+def learn_fits(spark: SparkSession, model: LanguageModel, docs: DataFrame, lang: str = "lang",
+               text: str = "text") -> np.ndarray:
+    """Per language of ``model``: median mean and median deviation of its labelled documents' fits, over all rows that
+    taught the model. The driver gets counts by step, some thousands a language at most. No letters: nothing fits."""
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    shared = spark.sparkContext.broadcast(model)
+    counts = rows.mapInArrow(lambda batches: _fits(shared.value)(batches),
+                             "lang string, mean bigint, deviation bigint, n bigint").groupBy(
+        "lang", "mean", "deviation").agg(F.sum("n").alias("n")).toArrow()
+    langs = np.array(counts.column("lang").to_pylist(), object)
+    mean, deviation, n = (counts.column(c).to_numpy() for c in ("mean", "deviation", "n"))
+    out = np.full((len(model.langs), 2), [np.inf, LEAST_DEVIATION])
+    for i, x in enumerate(model.langs):
+        own = langs == x
+        if own.any():
+            out[i] = _median(mean[own], n[own]), max(LEAST_DEVIATION, _median(deviation[own], n[own]))
+    return out
+
+
+def scorer(model: LanguageModel, fits: np.ndarray | None = None):
+    """A function from texts to (languages, scores); with ``fits`` also how far each text's mean lies above the bound of
+    its language (below: negative; no letters: minus infinity)."""
 
     def work(texts):
-        langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        langs, scores, margins = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), -np.inf)
+        columns = [langs, scores] if fits is None else [langs, scores, margins]
         known = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
         if not known or not model.langs:
-            return [langs, scores]
+            return columns
         buckets, starts = grams([texts[i] for i in known])
         total = np.tile(model.prior, (len(known), 1))
         for row in buckets:
@@ -127,7 +207,11 @@ def scorer(model: LanguageModel):
         sure = 1 / np.exp(gap).sum(axis=1)
         for i, b, s in zip(known, best, sure, strict=True):
             langs[i], scores[i] = model.langs[b], s
-        return [langs, scores]
+        if fits is not None:
+            n, mean, _ = fit(model, [texts[i] for i in known], best, buckets)
+            middle, deviation = fits[best].T
+            margins[known] = mean - middle + deviation * (SPREAD + SHORT_SPREAD / np.sqrt(np.maximum(n, 1)))
+        return columns
 
     return work
 
@@ -140,3 +224,10 @@ def predict(spark: SparkSession, model: LanguageModel, text: Column | str = "tex
     """
     shared = spark.sparkContext.broadcast(model)
     return text_udf(lambda: scorer(shared.value), RESULT, text, repeatable, GRAM_BYTES)
+
+
+def judge(spark: SparkSession, model: LanguageModel, fits: np.ndarray, text: Column | str = "text",
+          repeatable: bool = True) -> Column:
+    """The struct ``JUDGED``: as ``predict``, and the margin by which a text fits its language (negative: it doesn't)."""
+    shared = spark.sparkContext.broadcast((model, fits))
+    return text_udf(lambda: scorer(*shared.value), JUDGED, text, repeatable, GRAM_BYTES)
