@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.llm import (bpe_transducer, fingerprints, jaccard_join, language_id, packing, quality_classifier,
-                          quality_rules, secret_scan, sharding, token_counts)
+from mailsift.llm import (bpe_transducer, collocations, conversations, fingerprints, jaccard_join, language_id, packing,
+                          piece_codec, quality_classifier, quality_rules, secret_scan, sharding, token_counts)
 from mailsift.llm.common import crc32_text
 from mailsift.session import table
 
@@ -77,9 +77,25 @@ def op10_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document with their source spans, hashed, and the hash of what their ids decode to."""
+    return table(spark, sf_dir, "documents").select("doc_id", piece_codec.round_trip(spark).alias("r")).select("doc_id", "r.*")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 phrases of two to four words by how much they keep together."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every conversation after damage, and the cheapest edits that mend it."""
+    return conversations.repair(table(spark, sf_dir, "conversations"), damage=True)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_language_id, op3_quality_classifier, op4_bpe_transducer, op5_jaccard_join, op6_order_minhash,
-    op7_token_counts, op8_secret_scan, op9_histogram_shards, op10_cutting_stock)}
+    op7_token_counts, op8_secret_scan, op9_histogram_shards, op10_cutting_stock,
+    op11_piece_codec, op12_collocations, op13_conversation_repair)}
 
 #: DuckDB SQL by query, where SQL can express it; the rest is held against brute force in tests/llm.
 ORACLE: dict[str, str] = {
