@@ -118,5 +118,37 @@ classes AS (SELECT x AS id, min(y) AS class_id FROM reached GROUP BY x),
 degrees AS (SELECT a AS id, count(*) AS n FROM edges GROUP BY a)
 SELECT d.doc_id, k.class_id, coalesce(g.n, 0) AS n_links, t.copies
 FROM documents d JOIN texts t ON t.t = coalesce(d.text, '') JOIN classes k ON k.id = t.id LEFT JOIN degrees g ON g.id = t.id
+""",
+    "op12_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+found AS (
+  SELECT lang, unnest(list_transform(range(1, len(w) + 1), lambda i: w[i])) AS p, 1 AS k FROM words
+  UNION ALL SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: concat_ws(' ', w[i], w[i + 1]))), 2 FROM words
+  UNION ALL SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2]))), 3 FROM words
+  UNION ALL SELECT lang, unnest(list_transform(range(1, len(w) - 2), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3]))), 4 FROM words),
+f AS MATERIALIZED (SELECT lang, k, p, count(*) AS f FROM found GROUP BY lang, k, p),
+sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+frequent AS MATERIALIZED (SELECT * FROM f WHERE f >= 30),
+candidates AS MATERIALIZED (SELECT *, string_split(p, ' ') AS x FROM frequent WHERE k >= 2),
+split AS (
+  SELECT lang, p, f AS a, t.cut, array_to_string(x[1:t.cut], ' ') AS head, array_to_string(x[t.cut + 1:], ' ') AS tail
+  FROM candidates JOIN (VALUES (1), (2), (3)) AS t(cut) ON t.cut < k),
+cuts AS (
+  SELECT s.lang, s.p, s.a, s.cut, h.f AS l, r.f AS r, (2000000::HUGEINT * s.a) // (h.f::HUGEINT + r.f) AS score
+  FROM split s JOIN frequent h ON h.lang = s.lang AND h.p = s.head JOIN frequent r ON r.lang = s.lang AND r.p = s.tail),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+inner_parts AS (
+  SELECT lang, array_to_string(x[i:j], ' ') AS p, max(f) AS f FROM candidates
+  JOIN (VALUES (1, 2), (2, 3), (3, 4), (1, 3), (2, 4)) AS t(i, j) ON j <= k AND j - i + 1 < k GROUP BY 1, 2),
+kept AS (
+  SELECT b.* FROM best b LEFT JOIN inner_parts i ON i.lang = b.lang AND i.p = b.p
+  WHERE coalesce(100::HUGEINT * i.f, 0) < 80::HUGEINT * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM kept)
+SELECT n.lang, n.rank, n.p AS phrase, n.a, n.l, n.r, s.n, n.score::BIGINT AS score
+FROM ranked n JOIN sizes s ON s.lang = n.lang WHERE n.rank <= 2000
 """,
 }
