@@ -6,25 +6,36 @@ among the tokens that end here whose left neighbour (the last token of the short
 from. A state is the place in the suffix automaton of the vocabulary (the longest end of the input that begins a
 token) and the last token of every prefix from which a token may still be under way. Reading a byte gives the next
 state and that prefix's last token. All prefixes still under way share an older prefix, at most the longest
-tokens back: up to there the tokens are certain and are written. States and moves are made when first met and kept, up
-to a bound; then the table starts afresh.
+tokens back: up to there the tokens are certain and are written. Moves are made when first met and kept, up to a bound; beyond it
+they are worked out from the last tokens themselves.
+
+Long texts go through piece by piece, and a long pre-token through ``feed`` and ``finish`` in blocks: what is held is the
+table, the block and the tokens still under way, whatever the text's length.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailsift.llm.common import Memo, held, text_udf
 from mailsift.llm.pretokens import PIECES, Chunks, splitter
 
-#: Bounds of the lazily made table and of the known pairs.
-MOST_STATES, MOST_PAIRS, MOST_SHAPES = 200_000, 300_000, 100_000
+#: Bounds of the lazily made table, and of the known pairs (two generations of them).
+MOST_STATES, MOST_PAIRS, MOST_SHAPES = 150_000, 400_000, 200_000
+#: Bytes of a block of a long pre-token; characters of a text that goes through piece by piece, and pieces of a block.
+BLOCK_BYTES, LONG_TEXT, BLOCK_PIECES = 4096, 1 << 20, 4096
+#: Chunks kept by a worker, in each of two generations.
+WORDS = 200_000
+#: The pattern whose pre-tokens of letters and of ASCII signs are told without it.
+WORDS_AND_SIGNS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 RESULT = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -78,13 +89,11 @@ class Transducer:
         #: per node, when needed: (token, length) of the tokens that end here; lengths from which more may come
         self.ends: dict[int, tuple[tuple[int, int], ...]] = {0: ()}
         self.live: dict[int, tuple[int, ...]] = {0: (0,)}
-        self.apart: dict[tuple[int, int], bool] = {}
-        self.made: dict[int, bool] = {}
+        #: by (left + 1) << 20 | right: whether the two stay apart
+        self.apart: dict[int, bool] = {}
+        self.apart_before: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         self.shapes: dict[int, tuple] = {}
-        self._fresh()
-
-    def _fresh(self) -> None:
         start = (0, (-1,))
         self.ids = {start: 0}
         self.states = [start]
@@ -124,82 +133,96 @@ class Transducer:
         halves that face each other over the border at some point would have merged if their merge came before
         the one just undone.
         """
-        if left < 0:
-            if right not in self.made:
-                token = self.bytes_of[right]
-                self.made[right] = merge(token, self.ranks) == [token]
-            return self.made[right]
-        known = self.apart.get((left, right))
-        if known is not None:
-            return known
-        if len(self.apart) >= MOST_PAIRS:
-            self.apart.clear()
-        a, b, before, stays = left, right, len(self.ranks) + 1, True
+        key = left + 1 << 20 | right
+        stays = self.apart.get(key)
+        if stays is None:
+            stays = self.apart_before.get(key)
+            if stays is None and left < 0:
+                stays = merge(self.bytes_of[right], self.ranks) == [self.bytes_of[right]]
+            elif stays is None:
+                stays = self._meet(left, right) and self._stays(-1, left) and self._stays(-1, right)
+            if len(self.apart) >= MOST_PAIRS:
+                self.apart_before = dict(self.apart)
+                self.apart.clear()
+            self.apart[key] = stays
+        return stays
+
+    def _meet(self, a: int, b: int) -> bool:
+        """Whether no two halves of the tokens join over the border."""
+        joined, bytes_of, halves, before = self.ranks.get, self.bytes_of, self.halves, len(self.ranks) + 1
         while True:
-            joined = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
-            if joined is not None and joined < before:
-                stays = False
-                break
-            (_, inner_a), (inner_b, _) = self._halves(a), self._halves(b)
-            whole_a, whole_b = inner_a == a, inner_b == b
-            if whole_a and whole_b:
-                break
-            # on the left border merges of equal rank happen first
-            if whole_b or (not whole_a and a > b):
+            rank = joined(bytes_of[a] + bytes_of[b])
+            if rank is not None and rank < before:
+                return False
+            inner_a, inner_b = (halves.get(a) or self._halves(a))[1], (halves.get(b) or self._halves(b))[0]
+            if inner_b == b:
+                if inner_a == a:
+                    return True
+                before, a = a, inner_a
+            elif inner_a != a and a > b:  # on the left border merges of equal rank happen first
                 before, a = a, inner_a
             else:
                 before, b = b + 1, inner_b
-        stays = stays and self._stays(-1, left) and self._stays(-1, right)
-        self.apart[left, right] = stays
-        return stays
 
     def _shape(self, node: int, byte: int) -> tuple:
-        """What a move does whatever the last tokens are: the next place, the tokens that may end here and whose
-        left neighbours stand where among the last tokens, and which of those stay (-1: the new one)."""
-        place = {k: i for i, k in enumerate(self._of(node)[1])}
+        """The next place and the tokens that may end there, whatever the last tokens are."""
         to = self._goto(node, byte)
-        ends, live = self._of(to)
         if len(self.shapes) >= MOST_SHAPES:
             self.shapes.clear()
-        shape = self.shapes[node << 8 | byte] = (
-            to, tuple([(t, place[n - 1]) for t, n in ends]), tuple([place[k - 1] if k else -1 for k in live]))
+        shape = self.shapes[node << 8 | byte] = (to, self._of(to)[0])
         return shape
 
-    def _step(self, state: int, byte: int) -> tuple[int, int]:
-        """The next state and the last token of the prefix that ends with this byte."""
-        node, lasts = self.states[state]
-        to, ends, kept = self.shapes.get(node << 8 | byte) or self._shape(node, byte)
-        apart = self.apart
-        for token, i in ends:
-            pair = (lasts[i], token)
-            stays = apart.get(pair)
-            if self._stays(*pair) if stays is None else stays:
-                break
-        else:
-            raise ValueError(f"no token ends with byte {byte}")
-        key = (to, tuple([token if i < 0 else lasts[i] for i in kept]))
-        found = self.ids.get(key)
-        if found is None:
-            found = self.ids[key] = len(self.states)
-            self.states.append(key)
-            self.steps.append({})
-        return found, token
-
-    def _run(self, data: bytes, state: int, lasts: list[int]) -> int:
-        steps = self.steps
+    def _key(self, node: int, lasts: list[int]) -> tuple[int, tuple]:
+        """The state: the place and the last tokens where a token under way may have begun."""
+        return node, tuple([lasts[-1 - k] for k in self._of(node)[1]])
+
+    def _walk(self, data: bytes, node: int, lasts: list[int]) -> int:
+        """Reads bytes without the table; adds each prefix's last token and gives the place reached."""
+        shapes, apart, at = self.shapes, self.apart, len(lasts)
         for b in data:
+            node, ends = shapes.get(node << 8 | b) or self._shape(node, b)
+            for token, n in ends:
+                left = lasts[at - n]
+                stays = apart.get(left + 1 << 20 | token)
+                if self._stays(left, token) if stays is None else stays:
+                    break
+            else:
+                raise ValueError(f"no token ends with byte {b}")
+            lasts.append(token)
+            at += 1
+        return node
+
+    def _run(self, data: bytes, node: int, lasts: list[int]) -> int:
+        """Reads bytes from a state on through the table as far as it goes, then without it.
+
+        ``lasts``: the last token of every prefix still needed, the first that of the prefix before (-1: the piece begins).
+        """
+        state, steps = self.ids.get(self._key(node, lasts)) if len(lasts) > 1 else 0 if lasts[0] < 0 else None, self.steps
+        if state is None:
+            return self._walk(data, node, lasts)
+        for at, b in enumerate(data):
             move = steps[state].get(b)
             if move is None:
-                move = steps[state][b] = self._step(state, b)
-            state, last = move
-            lasts.append(last)
-        return state
+                node = self.states[state][0]
+                if len(self.states) >= MOST_STATES:
+                    return self._walk(data[at:], node, lasts)
+                key = self._key(self._walk(data[at:at + 1], node, lasts), lasts)
+                found = self.ids.setdefault(key, len(self.states))
+                if found == len(self.states):
+                    self.states.append(key)
+                    steps.append({})
+                steps[state][b] = (found, lasts[-1])
+                state = found
+            else:
+                state, last = move
+                lasts.append(last)
+        return self.states[state][0]
 
     def _back(self, lasts: list[int], end: int) -> list[int]:
-        """The tokens of the first ``end`` bytes, from the last tokens of all prefixes."""
+        """The tokens of the first ``end`` bytes after ``lasts[0]``, from the last tokens of all prefixes."""
         out, size = [], self.bytes_of
         while end > 0:
-            token = lasts[end - 1]
+            token = lasts[end]
             out.append(token)
             end -= len(size[token])
         out.reverse()
@@ -210,37 +233,39 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if len(self.states) > MOST_STATES:
-            self._fresh()
-        lasts: list[int] = []
+        if len(piece) > BLOCK_BYTES:
+            return tuple(chain.from_iterable(self.encode_blocks(piece)))
+        lasts = [-1]
         self._run(piece, 0, lasts)
         return tuple(self._back(lasts, len(piece)))
 
+    def encode_blocks(self, piece: bytes) -> Iterator[list[int]]:
+        """The ids of one pre-token that is no token itself, as they become certain."""
+        held = None
+        for i in range(0, len(piece), BLOCK_BYTES):
+            sure, held = self.feed(piece[i:i + BLOCK_BYTES], held)
+            yield sure
+        yield self.finish(held)
+
     def feed(self, data: bytes, held: tuple | None = None) -> tuple[list[int], tuple]:
         """Reads on: the tokens that are certain by now, and what to pass to the next call.
 
-        ``held``: the state, and the last tokens of the prefixes since the last token written.
+        ``held``: the place, and the last tokens of the prefixes from the last token written on.
         """
-        node_and_lasts, lasts = held or (self.states[0], [])
-        if len(self.states) > MOST_STATES:
-            self._fresh()
-        if node_and_lasts not in self.ids:
-            self.ids[node_and_lasts] = len(self.states)
-            self.states.append(node_and_lasts)
-            self.steps.append({})
+        node, lasts = held or (0, [-1])
         lasts = list(lasts)
-        state = self._run(data, self.ids[node_and_lasts], lasts)
-        under_way = {len(lasts) - k for k in self._of(self.states[state][0])[1]}
+        node = self._run(data, node, lasts)
+        under_way = {len(lasts) - 1 - k for k in self._of(node)[1]}
         while len(under_way) > 1:  # the furthest steps back by a token until all meet
             furthest = max(under_way)
             under_way.remove(furthest)
-            under_way.add(furthest - len(self.bytes_of[lasts[furthest - 1]]))
+            under_way.add(furthest - len(self.bytes_of[lasts[furthest]]))
         sure = max(0, *under_way, 0)
-        return self._back(lasts, sure), (self.states[state], lasts[sure:])
+        return self._back(lasts, sure), (node, lasts[sure:])
 
     def finish(self, held: tuple) -> list[int]:
         """The tokens still held when the piece ends."""
-        return self._back(held[1], len(held[1]))
+        return self._back(held[1], len(held[1]) - 1)
 
 
 class Utf8Stream:
@@ -278,17 +303,45 @@ class Codec:
         ranks = read_ranks(raw)
         self.transducer = Transducer(ranks)
         self.bytes_of = self.transducer.bytes_of
-        split = splitter(pattern)
-        piece = Memo(lambda p: self.transducer.encode(p.encode("utf-8", "replace")), PIECES)
-
-        def pieced(parts):
+        self.pattern = regex.compile(pattern)
+        encode, split = self.transducer.encode, splitter(pattern)
+        self.piece = piece = Memo(lambda p: encode(p.encode("utf-8", "replace")), PIECES)
+        known = pattern == WORDS_AND_SIGNS
+
+        def chunk(c):
+            """Ids of a chunk: a space and what stands up to the next one."""
+            word = c[1:]
+            if known and c[:1] == " " and word:
+                if word.isalpha():  # one pre-token, which no other chunk's pieces hold
+                    return encode(c.encode("utf-8", "replace"))
+                stem = word.rstrip(SIGNS)
+                if stem.isalpha():  # letters, then signs: two pre-tokens
+                    return self.chunks.spaced[stem] + piece[word[len(stem):]]
+            parts = split(c)
             return piece[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable(map(piece.__getitem__, parts)))
 
-        self.chunks = Chunks(lambda c: pieced(split(c)),
-                             lambda t: list(map(piece.__getitem__, split(t))))
+        self.chunks = Chunks(chunk, lambda t: list(map(piece.__getitem__, split(t))), most=WORDS)
+
+    def blocks(self, text: str) -> Iterator[list[int]]:
+        """The text's ids, block by block; a text of ordinary length is one."""
+        if len(text) <= LONG_TEXT:
+            yield list(chain.from_iterable(self.chunks(text)))
+            return
+        values = []
+        for found in self.pattern.finditer(text):
+            size = found.end() - found.start()
+            if size <= BLOCK_BYTES:
+                values.append(self.piece[found.group()])
+            if values and (size > BLOCK_BYTES or len(values) >= BLOCK_PIECES):
+                yield list(chain.from_iterable(values))
+                values = []
+            if size > BLOCK_BYTES:
+                yield from filter(None, self.transducer.encode_blocks(found.group().encode("utf-8", "replace")))
+        if values:
+            yield list(chain.from_iterable(values))
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.chunks(text)))
+        return list(chain.from_iterable(self.blocks(text)))
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -348,13 +401,15 @@ def digests(make_codec: Callable[[], Codec]):
     def work(texts):
         n, ids_hash, text_hash = [], [], []
         for text in texts:
-            ids = c.encode(text or "")
-            n.append(len(ids))
-            ids_hash.append(hashlib.sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest())
-            h = hashlib.sha256()
-            for part in c.decode_stream(ids):
-                h.update(part.encode())
-            text_hash.append(h.hexdigest())
+            count, of_ids, of_text, stream = 0, hashlib.sha256(), hashlib.sha256(), Utf8Stream()
+            for ids in c.blocks(text or ""):
+                of_ids.update((("," if count and ids else "") + ",".join(map(digits.__getitem__, ids))).encode())
+                count += len(ids)
+                of_text.update(stream.feed(c.decode_bytes(ids)).encode())
+            of_text.update(stream.finish().encode())
+            n.append(count)
+            ids_hash.append(of_ids.hexdigest())
+            text_hash.append(of_text.hexdigest())
         return [n, ids_hash, text_hash]
 
     return work

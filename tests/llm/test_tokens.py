@@ -218,3 +218,66 @@ def test_plan_places_every_piece_and_is_tight():
         assert made.sequences <= -(-units // 32) + 1
         filler = sum((e - f) * (s + 1) * 8 for s, f, e, _, q in made.rows if q < 0)
         assert filler <= (made.gaps[-1][1] if made.gaps else 0)
+
+
+def _ranks():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        return f.read(), public_tokenizers.PATTERN
+
+
+def test_chunks_of_letters_and_signs_as_the_pattern_has_them():
+    """Words cut without the pattern: contractions, signs, digits and marks inside and behind them."""
+    import random
+
+    import tiktoken
+    from mailsift.llm import bpe_transducer as B
+
+    raw, pattern = _ranks()
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=B.read_ranks(raw), special_tokens={})
+    codec, rng = B.Codec(raw, pattern), random.Random(11)
+    parts = ["word", "don't", "it's", "s'", "'s", "x_y", "a1", "é", "日本", "²", "!!", "#$", "...", "’", "_", "Ünï", "é", "ⅷ", "\n", "end.\nNext"]
+    for _ in range(3000):
+        text = " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(1, 6)))
+        assert codec.encode(text) == library.encode_ordinary(text), text
+    assert library.decode(codec.encode("word's end")) == "word's end"
+
+
+def test_table_bound_holds_inside_one_pre_token(monkeypatch):
+    """A pre-token that has more states than the table may hold: same ids, no more states."""
+    import random
+
+    import tiktoken
+    from mailsift.llm import bpe_transducer as B
+
+    raw, pattern = _ranks()
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=B.read_ranks(raw), special_tokens={})
+    monkeypatch.setattr(B, "MOST_STATES", 500)
+    monkeypatch.setattr(B, "MOST_PAIRS", 1000)
+    codec, rng = B.Codec(raw, pattern), random.Random(2)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000))
+    assert codec.encode(text) == library.encode_ordinary(text)
+    assert len(codec.transducer.states) <= 500 and len(codec.transducer.apart) <= 1000
+
+
+def test_long_texts_go_through_in_blocks(monkeypatch):
+    """Texts and pre-tokens over the block sizes: blocks are bounded, ids and decoded bytes the library's."""
+    import hashlib
+
+    import tiktoken
+    from mailsift.llm import bpe_transducer as B
+
+    raw, pattern = _ranks()
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=B.read_ranks(raw), special_tokens={})
+    monkeypatch.setattr(B, "LONG_TEXT", 1000)
+    monkeypatch.setattr(B, "BLOCK_PIECES", 50)
+    codec = B.Codec(raw, pattern)
+    for text in ("some words, and more 12 " * 400 + "x" * 20_000 + " 日本語" * 900, "é" * 9000, "=" * 30_000, "a b\n \n" * 500 + " "):
+        blocks = list(codec.blocks(text))
+        assert max(map(len, blocks)) <= max(B.BLOCK_BYTES, 50 * B.BLOCK_BYTES // 8)
+        ids = library.encode_ordinary(text)
+        assert [i for b in blocks for i in b] == ids
+        n, ids_hash, text_hash = B.digests(lambda: codec)([text])
+        assert n == [len(ids)] and ids_hash == [hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()]
+        assert text_hash == [hashlib.sha256(text.encode()).hexdigest()]
