@@ -28,7 +28,7 @@ LONGEST, LEAST, COVERED, TOP = 4, 30, 80, 2000
 #: Bits of the table of frequent neighbours: so many a pair, at least and at most (32 MB).
 BITS_A_PAIR, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 28
 #: Text of a batch: windows are counted this many bytes at a time before they leave a task.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 20
 #: Parts that each language's candidates are ranked in first.
 PARTS = 64
 WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
@@ -52,7 +52,7 @@ def _coded(words: list[bytes], code: Memo) -> np.ndarray:
 
 def _memo() -> Memo:
     """Word hashes from 2 on: 0 is the end of a piece and 1 no word."""
-    code = Memo(lambda w: max(xxhash.xxh3_64_intdigest(w), 2), most=200_000)
+    code = Memo(lambda w: max(xxhash.xxh3_64_intdigest(w), 2), most=100_000)
     code[b"\n"], code[b""] = 0, 1
     code.old = {b"\n": 0, b"": 1}
     return code
@@ -74,6 +74,7 @@ def _by_language(batch: pa.RecordBatch, limit: int = BATCH_BYTES) -> Iterator[tu
         for lang, text in zip(batch.column("lang").slice(lo, hi - lo).to_pylist(), texts.slice(lo, hi - lo).to_pylist(), strict=True):
             by.setdefault(lang, []).append(text)
         yield from by.items()
+        pa.default_memory_pool().release_unused()
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
