@@ -8,6 +8,8 @@ work grows with the scale factor; none is capped, sampled or filtered by id.
 
 from __future__ import annotations
 
+import time
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,10 +31,11 @@ from ..operators.parse import parse_counts, parse_mail
 from ..operators.route import deliver, route_tagged, tag_headers, with_verdict, write_maildir_files
 from ..session import scratch_path, table
 from ..sources.domains import domain_list
-from ..sources.mail import escape_glob, load_corpus, scan_corpus
+from ..sources.mail import list_corpus, load_corpus, scan_corpus
 from ..sources.synthetic import MISMATCH_KEYS, SENDER_PAIRS, mail_body, synthetic_mail, with_page_urls
 from ..sources.training import read_training, write_training
-from ..streaming.score import run_to_table, stream_mail, stream_table
+from ..streaming.arrivals import stream_arrivals
+from ..streaming.score import run_to_table, stream_table
 from . import oracle as O
 from .score import score_parsed
 from .train import build_model
@@ -663,49 +666,64 @@ FROM {_DOC_URL_SQL} t LEFT JOIN labels l ON l.doc_id = t.doc_id
 """
 
 
-def _write_maildirs(spark: SparkSession, sf: str, folder: str = "mail") -> str:
-    """Deliver every message as a file into ``<base>/<folder>/<class>/new`` (bad: toxic, good: the rest); the
-    names carry a Maildir flags part (``:2,S``) so the colon handling is exercised."""
+#: Folders below a class that deep Maildirs deal their messages over: the folder itself, hidden and nested ones.
+NESTED = ("", "/.Archive", "/2024/.Old.Lists", "/a/b/c")
+
+
+def _write_maildirs(spark: SparkSession, sf: str, folder: str = "mail", nested: bool = False) -> str:
+    """Deliver every message as a file into ``<base>/<folder>/<class>/new`` (bad: toxic, good: the rest), or, when
+    ``nested``, into ``new`` of the folders below it; the names carry a Maildir flags part (``:2,S``) so the
+    colon handling is exercised."""
     base = f"{scratch_path(spark, 'maildir')}/{folder}"
     mail = _labelled_mail(spark, sf).withColumn("path", F.col("doc_id").cast("string"))
+    if nested:
+        mail = mail.withColumn("class", F.concat("class", _nested_folder()))
     write_maildir_files(mail, base, "class", "path", "content", info="2,S")
     return base
 
 
+def _nested_folder():
+    return F.element_at(F.array(*map(F.lit, NESTED)), (F.pmod("doc_id", F.lit(len(NESTED))) + 1).cast("int"))
+
+
 @register("maildir_scan", _LABELLED_EXPECTED_SQL)
 def q_maildir_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """K5 → S2/S1 → S3 → P1: messages written as Maildir files (names with
-    colons), scanned from cur/ and new/ of the good and bad folders, labelled
-    by list and parsed. The folder's name holds a pattern's signs."""
-    base = _write_maildirs(spark, sf, "[Mail]")
-    corpus = scan_corpus(spark, f"{base}/good", f"{base}/bad", subdirs=("cur", "new"))
+    """K5 → S2/S1 → S3 → P1: messages delivered as Maildir files (names with colons) into nested and hidden folders,
+    found at any depth below the good and bad folders, labelled by list and parsed. A folder's name holds a
+    pattern's signs."""
+    base = _write_maildirs(spark, sf, "[Mail]", nested=True)
+    corpus = scan_corpus(spark, f"{base}/good", f"{base}/bad", subdirs=("cur", "new"), any_depth=True)
     p = parse_mail(corpus.select("class", "label", "content"))
     return p.select("class", "label", "subject", "body", "mismatch")
 
 
 @register("maildir_manifest", """
-SELECT class, count(*) AS files FROM (
-  SELECT CASE WHEN l.toxic = 1 THEN 'bad' ELSE 'good' END AS class
-  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
-GROUP BY class
+SELECT CASE WHEN l.toxic = 1 THEN 'bad' ELSE 'good' END AS class,
+       substr(sha256(encode(d.doc_id::VARCHAR) || '\\x00'::BLOB || encode(coalesce(d.text, ''))), 1, 24) || '.mailsift:2,S' AS basename,
+       strlen(coalesce(d.text, ''))::BIGINT AS length, TRUE AS in_time
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
 """)
 def q_maildir_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    """K6 over real files: the manifest reads only file metadata (content is
-    never selected, so no file is opened); summarised as files per class."""
-    base = _write_maildirs(spark, sf)
-    corpus = scan_corpus(spark, f"{base}/good", f"{base}/bad", subdirs=("cur", "new"))
-    man = manifest(corpus.select("class", "basename", "length", "modificationTime"))
-    return man.groupBy("class").agg(F.count(F.lit(1)).alias("files"))
+    """K5 → S2 → K6 over real files: every document's text delivered as a file into nested and hidden folders, found at any
+    depth; class, name, size, and whether the file's second lies within the delivery. No file is opened."""
+    base = f"{scratch_path(spark, 'manifest')}/mail"
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    cls = F.when(F.col("toxic") == 1, "bad").otherwise("good")
+    mail = docs.select(F.concat(cls, _nested_folder()).alias("box"), F.col("doc_id").cast("string").alias("path"),
+                       F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    begun = time.time()
+    write_maildir_files(mail, base, "box", "path", "content", info="2,S")
+    ended = time.time()
+    man = manifest(list_corpus(spark, f"{base}/good", f"{base}/bad", subdirs=("cur", "new"), any_depth=True))
+    return man.select("class", "basename", "length", F.col("mtime").between(int(begun) - 1, int(ended) + 1).alias("in_time"))
 
 
 @register("stream_mail", _LABELLED_EXPECTED_SQL)
 def q_stream_mail(spark: SparkSession, sf: str) -> DataFrame:
-    """S7 + T1: the same Maildir files read as a file stream (declared schema,
-    colon-safe options, bounded files per trigger), parsed by the batch parse
-    job and written by an idempotent foreachBatch sink."""
+    """S7 + T1: the same Maildir files read as a stream of arrivals over both folders (seen names in shared storage),
+    parsed by the batch parse job and written by an idempotent foreachBatch sink."""
     base = _write_maildirs(spark, sf)
-    # one file source over both folders (a brace glob); the class comes from the path
-    src = stream_mail(spark, f"{escape_glob(base)}/{{good,bad}}/new")
+    src = stream_arrivals(spark, [f"{base}/good/new", f"{base}/bad/new"], scratch_path(spark, "arrivals"))
     cls = F.regexp_extract("path", r"/(good|bad)/new/[^/]*$", 1)
     src = src.select(cls.alias("class"), F.when(cls == "bad", 1).otherwise(0).alias("label"), "content")
     parsed = parse_mail(src).select("class", "label", "subject", "body", "mismatch")

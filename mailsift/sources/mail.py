@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .files import list_files, scan_files, with_content
+
 log = logging.getLogger(__name__)
 
 BINARY_SCHEMA = T.StructType(
@@ -116,15 +118,15 @@ def scan_mail(spark: SparkSession, paths, subdirs: tuple[str, ...] | None = None
 
     ``subdirs=("cur", "new")`` reads only those Maildir sub-directories (S2),
     directly below each root or, with ``any_depth``, wherever they occur below
-    it. A missing root is a warning and contributes no rows; a root listed
+    it; folders are then found and files listed and read by tasks (``files.scan_files``), for all roots at once.
+    A missing root is a warning and contributes no rows; a root listed
     twice is read twice (``unionByName`` keeps duplicates).
     """
+    if subdirs and any_depth:
+        return scan_files(spark, split_paths(paths), subdirs, any_depth=True)
     frames = []
     for root in split_paths(paths):
-        if subdirs and any_depth and _exists(spark, root):
-            targets = maildir_dirs(spark, root, subdirs)
-        else:
-            targets = [f"{root.rstrip('/')}/{s}" for s in subdirs] if subdirs else [root]
+        targets = [f"{root.rstrip('/')}/{s}" for s in subdirs] if subdirs else [root]
         present = []
         for t in targets:
             if _exists(spark, t):
@@ -151,8 +153,23 @@ def load_corpus(good: DataFrame, bad: DataFrame) -> DataFrame:
     return good.withColumn("label", F.lit(0)).unionByName(bad.withColumn("label", F.lit(1)), allowMissingColumns=True)
 
 
+def list_corpus(spark: SparkSession, good_paths, bad_paths, subdirs=None, any_depth: bool = False) -> DataFrame:
+    """S1/S2 + S3 without the bytes, for two path lists at once: ``class, folder, ord, subdir, basename, path, length,
+    modificationTime``."""
+    good, bad = split_paths(good_paths), split_paths(bad_paths)
+    files = list_files(spark, [*good, *bad], subdirs, any_depth)
+    is_bad = F.col("ord") >= len(good)
+    return files.select(F.when(is_bad, "bad").otherwise("good").alias("class"), F.col("root").alias("folder"),
+                        F.when(is_bad, F.col("ord") - len(good)).otherwise(F.col("ord")).alias("ord"),
+                        "subdir", "basename", "path", "length", "modificationTime")
+
+
 def scan_corpus(spark: SparkSession, good_paths, bad_paths, subdirs=None, any_depth: bool = False) -> DataFrame:
     """S1 + S3 for two path lists, with ``class`` = good/bad and the folder order ``ord``."""
+    if subdirs and any_depth:
+        return with_content(list_corpus(spark, good_paths, bad_paths, subdirs, any_depth)).withColumn(
+            "label", (F.col("class") == "bad").cast("int")).withColumn("root", F.col("folder"))
+
     def side(paths, cls):
         frames = []
         for i, p in enumerate(split_paths(paths)):
