@@ -12,14 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
 from ..functions.scoring import parse_score
 
 
 def score_decimal(text_col: str = "score_text") -> Column:
-    """Score text → exact decimal in [0, 1] (null when the verdict refuses it)."""
-    s = parse_score(text_col)
-    plain = F.trim(F.translate(F.col(text_col), "\n\r\t\x0b\f", "     "))
-    return F.when((s >= 0) & (s <= 1), plain.try_cast("decimal(38,18)"))
+    """Score text → exact decimal in [0, 1] (null when the verdict refuses it). The text is evaluated once."""
+    def exact(text):
+        plain = F.trim(F.translate(text, "\n\r\t\x0b\f", "     "))
+        return let(parse_score(text), lambda s: F.when((s >= 0) & (s <= 1), plain.try_cast("decimal(38,18)")))
+
+    return let(F.col(text_col), exact)
 
 
 def _bin(text_col: str, bins: int) -> Column:
@@ -36,10 +39,10 @@ def status_counts(df: DataFrame) -> DataFrame:
 
 def score_histogram(df: DataFrame, text_col: str = "score_text", bins: int = 20) -> DataFrame:
     """Counts per bin ``floor(score * bins)`` (a score of exactly 1 joins the last bin)."""
-    u = _bin(text_col, bins)
     # least() skips nulls, so invalid texts must stay null explicitly
-    b = F.when(u.isNotNull(), F.least(u, F.lit(bins - 1))).cast("int")
-    return (df.select(b.alias("bin")).filter(F.col("bin").isNotNull())
+    b = let(_bin(text_col, bins), lambda u: F.when(u.isNotNull(), F.least(u, F.lit(bins - 1))).cast("int"))
+    # the bin leaves a generator, so that the filter isn't pushed below it with a copy of the expression
+    return (df.select(F.explode(F.array(b)).alias("bin")).filter(F.col("bin").isNotNull())
             .groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
             .withColumn("lo", F.round(F.col("bin") / F.lit(bins), 4))
             .withColumn("hi", F.round((F.col("bin") + 1) / F.lit(bins), 4)))
@@ -53,8 +56,8 @@ def threshold_sweep(spark: SparkSession, df: DataFrame, truth: Column, text_col:
     i.e. iff ``floor(s * steps) >= k``. One grouped count per (bin, truth), then a
     running sum from the top bin.
     """
-    scored = df.select(_bin(text_col, steps).alias("bin"),
-                       truth.cast("boolean").alias("pos")).filter(F.col("bin").isNotNull())
+    scored = df.select(F.inline(F.array(F.struct(_bin(text_col, steps).alias("bin"), truth.cast("boolean").alias("pos"))))).filter(
+        F.col("bin").isNotNull())
     per_bin = scored.groupBy("bin").agg(
         F.count_if(F.col("pos")).alias("p"), F.count_if(~F.col("pos")).alias("q"))
     grid = spark.range(0, steps + 1).select(F.col("id").cast("int").alias("k"))
