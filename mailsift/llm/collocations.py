@@ -162,10 +162,13 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     bits = docs.sparkSession.sparkContext.broadcast(_bit_table(rows.mapInArrow(_pairs, "pair bigint, n bigint"), least))
     names = ", ".join(f"{w} string" for w in WORDS)
-    windows = rows.mapInArrow(_windows(bits), f"lang string, {names}, n bigint").groupBy("lang", *WORDS).agg(F.sum("n").alias("f"))
+    # whether a window is full is asked after the count: asked before, the two uses of the count would be two counts
+    windows = rows.mapInArrow(_windows(bits), f"lang string, {names}, n bigint").groupBy("lang", *WORDS).agg(
+        F.sum("n").alias("f"), F.max(F.col(WORDS[-1]).isNotNull()).alias("full"))
     # the windows are the longest phrases themselves; the rollup sums all shorter prefixes
-    whole = windows.where(F.col(WORDS[-1]).isNotNull()).select("lang", *WORDS, F.lit(LONGEST).alias("k"), "f")
-    shorter = windows.rollup("lang", *WORDS[:-1]).agg(F.sum("f").alias("f"), F.grouping_id().alias("rolled")).withColumn(
+    whole = windows.where("full").select("lang", *WORDS, F.lit(LONGEST).alias("k"), "f")
+    counted = F.when(F.col("full").isNotNull(), F.col("f"))
+    shorter = windows.rollup("lang", *WORDS[:-1]).agg(F.sum(counted).alias("f"), F.grouping_id().alias("rolled")).withColumn(
         "k", F.lit(LONGEST - 1) - F.bit_count("rolled"))
     # a prefix that ends in padding is a shorter one's own window
     last = F.element_at(F.array(*WORDS[:-1]), F.greatest("k", F.lit(1)))
