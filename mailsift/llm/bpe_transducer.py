@@ -32,7 +32,7 @@ MOST_STATES, MOST_PAIRS, MOST_SHAPES = 150_000, 400_000, 200_000
 #: Bytes of a block of a long pre-token; characters of a text that goes through piece by piece, and pieces of a block.
 BLOCK_BYTES, LONG_TEXT, BLOCK_PIECES = 4096, 1 << 20, 4096
 #: Chunks kept by a worker, in each of two generations.
-WORDS = 200_000
+WORDS = 400_000
 #: The pattern whose pre-tokens of letters and of ASCII signs are told without it.
 WORDS_AND_SIGNS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
