@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,6 +90,14 @@ def held(key: tuple, make: Callable):
     return _HELD[key]
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, with as many underscores behind it as it takes to be no column's name in any of ``tables``."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc32_text(column: str) -> Column:
     """crc32 of a column's text form, as the folds of the contracts use it."""
     return F.crc32(F.col(column).cast("string"))

@@ -3,18 +3,21 @@
 The sort key is the text's hash and then the id's hash, as hexadecimal digits, so equal texts stand together. Exact
 bytes and rows are counted below the boundaries of a grid over the key (cells); where a shard's border should fall inside a
 cell and no boundary is near enough, that cell alone gets a finer grid, and so on until every border lies within the
-tolerance. Only then rows move, once, to their cells; slots number them across cells. Equal texts share a shard
+tolerance. Cells of many rows (copies of one text, mostly) are then split further, down into the digits of the id, so that no
+task numbers more than a small share of the rows; no border moves for that. Only then rows move, once, to their cells; slots number them across cells. Equal texts share a shard
 unless their group alone is too large for the tolerance. All of it is DataFrame operations.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailsift.llm.common import unused
 from mailsift.session import scratch_path
 
 SHARDS = 40
@@ -24,6 +27,10 @@ ROW_BYTES = 16
 TOLERANCE = 0.005
 #: Digits of the key that one refinement adds, and digits of the whole key.
 DIGITS, KEY_DIGITS = 3, 32
+#: Digits of the text's hash, which equal texts share, and digits that a refinement for rows adds within them.
+TEXT_DIGITS, ROW_DIGITS = 16, 2
+#: A cell may hold this many rows, or 1/CELL_SHARE of all if that is more.
+CELL_ROWS, CELL_SHARE = 1_000, 1_024
 
 
 @dataclass(frozen=True)
@@ -63,6 +70,15 @@ def borders(cells: list[Cell], shards: int) -> tuple[list[int], list[tuple[int,
     return at, inside
 
 
+def finer_depth(cell: Cell, allowed: int) -> int:
+    """Digits of the grid that splits a cell of more than ``allowed`` rows: copies of a text part by their ids only, and
+    then into as many cells as their number asks for."""
+    n = len(cell.prefix)
+    if n < TEXT_DIGITS:
+        return min(TEXT_DIGITS, n + ROW_DIGITS)
+    return min(KEY_DIGITS, n + max(1, math.ceil(math.log(cell.rows / allowed, 16))))
+
+
 def refine(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> list[Cell]:
     """Cells in key order, fine enough for every border. ``rows``: (key, size).
 
@@ -81,6 +97,30 @@ def refine(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE)
     return cells
 
 
+def lighter(rows: DataFrame, cells: list[Cell], most: int) -> dict[str, list[Cell]]:
+    """For each cell of more than ``most`` rows the cells it is split into, in key order; none has more unless its rows share
+    one key (equal rows). Borders stay where they are.
+
+    A round collects 16 ** ROW_DIGITS counts a heavy cell at most, or 16 for each ``most`` rows.
+    """
+    found, open_ = {}, {c.prefix: c for c in cells if c.rows > most and len(c.prefix) < KEY_DIGITS}
+    parent = {p: p for p in open_}
+    while open_:
+        steps: dict[tuple[int, int], list[str]] = {}
+        for p, c in open_.items():
+            steps.setdefault((len(p), finer_depth(c, most)), []).append(p)
+        heavy = {}
+        for (n, depth), own in sorted(steps.items()):
+            for c in _cells(rows.where(F.substring("key", 1, n).isin(own)), depth):
+                top = parent[c.prefix[:n]]
+                if c.rows > most and len(c.prefix) < KEY_DIGITS:
+                    heavy[c.prefix], parent[c.prefix] = c, top
+                else:
+                    found.setdefault(top, []).append(c)
+        open_ = heavy
+    return {p: sorted(own, key=lambda c: c.prefix) for p, own in found.items()}
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text: str = "text",
           tolerance: float = TOLERANCE) -> DataFrame:
     """``docs`` with shard_size (bytes), shard (0 to ``shards`` - 1) and shard_slot (gapless from 0 in each shard, in key order).
@@ -94,33 +134,37 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text: s
     if clash:
         raise ValueError(f"columns {sorted(clash)} exist already")
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("bigint") + ROW_BYTES
-    keyed = docs.select("*", key_of(id_col, text).alias("__key"), size.alias("shard_size"))
+    key, held = unused("shard_key", docs), unused("shard_cell", docs)
+    keyed = docs.select("*", key_of(id_col, text).alias(key), size.alias("shard_size"))
     at = scratch_path(spark, "shard-keys")
-    keyed.select(F.col("__key").alias("key"), F.col("shard_size").alias("size")).write.parquet(at)
+    keyed.select(F.col(key).alias("key"), F.col("shard_size").alias("size")).write.parquet(at)
     cells = refine(spark.read.parquet(at), shards, tolerance)
     cuts = borders(cells, shards)[0]
 
+    parts = lighter(spark.read.parquet(at), cells, max(CELL_ROWS, sum(c.rows for c in cells) // CELL_SHARE))
+
     plan, number, slot = [], 0, 0
-    for i, c in enumerate(cells):
+    for i, whole in enumerate(cells):
         while number < len(cuts) and cuts[number] <= i:
             number, slot = number + 1, 0
-        plan.append((c.prefix, number, slot))
-        slot += c.rows
-    # cells are bounded in number: the first grid and one finer grid for a border and round
+        for c in parts.get(whole.prefix, [whole]):
+            plan.append((c.prefix, number, slot))
+            slot += c.rows
+    # cells are bounded in number: the first grid, and the finer ones that ``refine`` and ``lighter`` state
     table = spark.createDataFrame(plan, "cell string, shard int, before bigint")
-    depths = sorted({len(c.prefix) for c in cells}) or [DIGITS]
+    depths = sorted({len(p) for p, _, _ in plan}) or [DIGITS]
     placed = keyed
     found = []
     for n in depths:
+        prefix, place = unused(f"shard_prefix{n}", docs), unused(f"shard_place{n}", docs)
         own = F.broadcast(table.where(F.length("cell") == n).select(
-            F.col("cell").alias(f"__cell{n}"), F.struct("cell", "shard", "before").alias(f"__at{n}")))
-        placed = placed.join(own, F.substring("__key", 1, n) == F.col(f"__cell{n}"), "left")
-        found.append(F.col(f"__at{n}"))
-    inside = F.row_number().over(Window.partitionBy("__cell").orderBy("__key", "shard_size")) - 1
-    return placed.select(*docs.columns, "__key", "shard_size", F.coalesce(*found).alias("__at")).select(
-        "*", F.col("__at.cell").alias("__cell")).select(
-        *docs.columns, "shard_size", F.col("__at.shard").alias("shard"),
-        (F.col("__at.before") + inside).alias("shard_slot"))
+            F.col("cell").alias(prefix), F.struct("cell", "shard", "before").alias(place)))
+        placed = placed.join(own, F.substring(key, 1, n) == F.col(prefix), "left")
+        found.append(F.col(place))
+    inside = F.row_number().over(Window.partitionBy(F.col(held)["cell"]).orderBy(key, "shard_size")) - 1
+    return placed.select(*docs.columns, key, "shard_size", F.coalesce(*found).alias(held)).select(
+        *docs.columns, "shard_size", F.col(held)["shard"].alias("shard"),
+        (F.col(held)["before"] + inside).alias("shard_slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

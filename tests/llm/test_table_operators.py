@@ -219,6 +219,35 @@ def test_a_hot_text_is_split(spark):
     check_shards(rows, 10, 0.012 * sum(r.size for r in rows) / 10 + 64)
 
 
+def test_slots_follow_the_key_and_no_cell_is_hot(spark):
+    """A third of the texts empty: cells stay small, and shards and slots are those of one plain sort."""
+    df = spark.range(30000).selectExpr("id as doc_id", "if(id % 3 = 0, '', concat('some text ', id)) as text")
+    rows = df.select(sharding.key_of("doc_id", "text").alias("key"), (F.length("text") + 16).cast("bigint").alias("size")).cache()
+    cells = sharding.refine(rows, 1)
+    parts = sharding.lighter(rows, cells, 1000)
+    assert max(c.rows for c in cells) > 5000 and parts
+    flat = [p for c in cells for p in parts.get(c.prefix, [c])]
+    assert max(p.rows for p in flat) <= 1000 and len(flat) < 10_000
+    assert [p.prefix for p in flat] == sorted(p.prefix for p in flat) and sum(p.rows for p in flat) == 30000
+    key = {r.doc_id: r.key for r in df.select("doc_id", sharding.key_of("doc_id", "text").alias("key")).collect()}
+    for shards in (1, 8):
+        order = sorted(sharding.shard(df, shards).collect(), key=lambda r: key[r.doc_id])
+        assert [r.shard for r in order] == sorted(r.shard for r in order)
+        want, last = 0, -1
+        for r in order:
+            want = want + 1 if r.shard == last else 0
+            last = r.shard
+            assert r.shard_slot == want
+
+
+def test_shards_with_clashing_columns(spark):
+    df = spark.createDataFrame([(i, f"t{i % 4}", i, i, i) for i in range(9)],
+                               "doc_id bigint, text string, shard_key int, `shard_cell` int, __at int")
+    found = sharding.shard(df, 2)
+    assert found.columns == [*df.columns, "shard_size", "shard", "shard_slot"]
+    assert sorted(tuple(r)[:5] for r in found.collect()) == sorted(tuple(r) for r in df.collect())
+
+
 def test_shards_of_awkward_tables(spark, odd, empty, tmp_path):
     found = sharding.shard(odd, 3)
     rows = found.collect()
