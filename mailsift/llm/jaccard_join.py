@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import Memo, slices
+from mailsift.llm.common import Memo, slices, unused
 from mailsift.llm.components import components
 from mailsift.session import scratch_path
 
@@ -302,8 +302,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each class: that with the least id, once however often it is repeated."""
+    own, first, key = (unused(n, docs) for n in ("own_key", "first_id", "first_key"))
     firsts = near_duplicates(docs, id_col, text, threshold).where("key = first_key").select(
-        F.col("first_id").alias("__id"), F.col("key").alias("__key"))
-    rows = docs.withColumn("__own", text_key(text))
-    kept = rows.join(firsts, (F.col("__own") == F.col("__key")) & F.col(id_col).eqNullSafe(F.col("__id")))
-    return kept.dropDuplicates(["__own", id_col]).select(*docs.columns)
+        F.col("first_id").alias(first), F.col("key").alias(key))
+    rows = docs.withColumn(own, text_key(text))
+    kept = rows.join(firsts, (F.col(own) == F.col(key)) & F.col(id_col).eqNullSafe(F.col(first)))
+    return kept.dropDuplicates([own, id_col]).select(*docs.columns)
