@@ -94,6 +94,20 @@ def test_awkward_documents_through_all_stages(spark, odd):
     corpus_pipeline.STAGES[-1][1](spark, docs, SF001).collect()
 
 
+def test_extra_columns_pass_through_all_stages(spark, odd):
+    """Columns named like the stages' own temporary ones come back as they went in, also without n_chars."""
+    names = ["verdict", "found", "masked", "own_key", "first_id", "first_key", "__verdict", "__found", "__masked", "__own"]
+    docs = odd.drop("n_chars")
+    for n in names:
+        docs = docs.withColumn(n, F.concat(F.lit(n), F.coalesce(F.col("doc_id"), F.lit(0)).cast("string")))
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF001)
+        assert after.columns == columns
+        for r in after.collect():
+            assert [r[n] for n in names] == [n + str(r.doc_id or 0) for n in names]
+
+
 def test_empty_documents_through_all_stages(spark, empty):
     docs = empty
     for _, stage in corpus_pipeline.STAGES:
