@@ -49,7 +49,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the least id, of each near-duplicate class, once however often its row is repeated.
 
-    Null and empty texts have no shingles: equal ones are copies of each other and near nothing else.
+    A null text counts as an empty one; empty ones are copies of each other. Extra columns pass through, whatever their names.
     """
     return jaccard_join.keep_first(docs)
 
