@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .constants import DEFAULT_EMBEDDING_DIM, DEFAULT_THRESHOLD
 from .functions.scoring import check_threshold
 from .functions.vectors import parse_metadata, resolve_dims
-from .operators.model import classify, contract, load_model, save_model, score
+from .operators.model import KINDS, classify, load_model, save_model, score
 from .operators.parse import parse_mail
 from .operators.route import tag_headers, write_maildir_files
 from .plans.score import filter_mail
@@ -69,22 +69,20 @@ def ingest(spark: SparkSession, good, bad, output: str, maildir: bool = False, c
 
 
 def train_from_jsonl(spark: SparkSession, data: str, model_dir: str,
-                     embedding_dim: int = DEFAULT_EMBEDDING_DIM) -> dict:
-    """S5 → A1/A2 → E1 → E2 → A4 → K8."""
-    from .operators.features import training_stats
-    from .operators.model import accuracy, train
+                     embedding_dim: int = DEFAULT_EMBEDDING_DIM, kind: str = "logistic") -> dict:
+    """S5 → A1/A2 → E1 → E2 (``kind`` logistic, gbt, or svm with calibrated margins: E6) → A4 → K8."""
+    from .operators.model import accuracy
+    from .plans.train import build_model
 
     rows, rejects = read_training(spark, data)
     n_bad = rejects.count()
     if n_bad:
         log.warning("%d training lines rejected", n_bad)
-    _, counts, m = training_stats(rows, "label")
-    feats = features(rows.withColumn("parse_error", F.lit(None).cast("string")), m, embedding_dim)
-    model = train(feats.select("features", "label"), "features", "label", class_counts=counts)
-    acc = accuracy(score(feats, model), "score", "label").first()["accuracy"]
-    c = contract(model, m, embedding_dim, f"hashing-{embedding_dim}")
-    save_model(spark, model, model_dir, c)
-    return {"samples": sum(counts.values()), "rejected": n_bad, "accuracy": acc, **c}
+    trained, feats = build_model(rows.withColumn("parse_error", F.lit(None).cast("string")), "label",
+                                 embedding_dim=embedding_dim, kind=kind)
+    found = accuracy(score(feats, trained.model), "score", "label").first()["accuracy"]
+    save_model(spark, trained.model, model_dir, trained.contract)
+    return {"samples": trained.samples, "rejected": n_bad, "accuracy": found, **trained.contract}
 
 
 def _trained(spark: SparkSession, model_dir: str) -> Trained:
@@ -139,6 +137,7 @@ def main(argv=None) -> int:
     t.add_argument("--data", required=True)
     t.add_argument("--model-dir", required=True)
     t.add_argument("--embedding-dim", type=int, default=DEFAULT_EMBEDDING_DIM)
+    t.add_argument("--kind", choices=tuple(KINDS), default="logistic", help="svm: its margins are calibrated")
     f = sub.add_parser("filter")
     f.add_argument("--model-dir", required=True)
     f.add_argument("--input", nargs="+", required=True)
@@ -155,7 +154,7 @@ def main(argv=None) -> int:
     if args.cmd == "ingest":
         print(json.dumps(ingest(spark, args.good, args.bad, args.output, args.maildir, args.compact_to)))
     elif args.cmd == "train":
-        print(json.dumps(train_from_jsonl(spark, args.data, args.model_dir, args.embedding_dim)))
+        print(json.dumps(train_from_jsonl(spark, args.data, args.model_dir, args.embedding_dim, args.kind)))
     elif args.cmd == "filter":
         run_filter(spark, args.model_dir, args.input, args.output, args.mode, args.threshold, args.stream)
     else:

@@ -48,18 +48,19 @@ def score_histogram(df: DataFrame, text_col: str = "score_text", bins: int = 20)
             .withColumn("hi", F.round((F.col("bin") + 1) / F.lit(bins), 4)))
 
 
-def threshold_sweep(spark: SparkSession, df: DataFrame, truth: Column, text_col: str = "score_text",
-                    steps: int = 20) -> DataFrame:
-    """Confusion counts, precision and recall at thresholds k/steps, k = 0..steps.
-
-    A message is called spam at threshold k/steps iff its score ``s >= k/steps``,
-    i.e. iff ``floor(s * steps) >= k``. One grouped count per (bin, truth), then a
-    running sum from the top bin.
-    """
-    scored = df.select(F.inline(F.array(F.struct(_bin(text_col, steps).alias("bin"), truth.cast("boolean").alias("pos"))))).filter(
-        F.col("bin").isNotNull())
-    per_bin = scored.groupBy("bin").agg(
-        F.count_if(F.col("pos")).alias("p"), F.count_if(~F.col("pos")).alias("q"))
+def bin_counts(df: DataFrame, truth: Column, text_col: str = "score_text", steps: int = 20) -> DataFrame:
+    """Scored mail → messages per (``bin`` = floor(score * steps), ``pos``): at most ``2 * (steps + 1)`` rows of ``n``, also as a
+    stream's running aggregate. Texts that the verdict refuses and null truths don't count."""
+    one = F.struct(_bin(text_col, steps).alias("bin"), truth.cast("boolean").alias("pos"))
+    scored = df.select(F.inline(F.array(one))).filter(F.col("bin").isNotNull() & F.col("pos").isNotNull())
+    return scored.groupBy("bin", "pos").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sweep_counts(spark: SparkSession, counts: DataFrame, steps: int = 20) -> DataFrame:
+    """``bin_counts`` → confusion counts, precision and recall at thresholds k/steps, k = 0..steps."""
+    n = F.col("n")
+    per_bin = counts.groupBy("bin").agg(F.sum(F.when(F.col("pos"), n).otherwise(0)).alias("p"),
+                                        F.sum(F.when(F.col("pos"), 0).otherwise(n)).alias("q"))
     grid = spark.range(0, steps + 1).select(F.col("id").cast("int").alias("k"))
     # grid (steps+1 rows) left-joined with at most steps+1 bins; the running sum
     # spans those few rows only.
@@ -78,3 +79,14 @@ def threshold_sweep(spark: SparkSession, df: DataFrame, truth: Column, text_col:
         F.when(F.col("tp") + F.col("fp") > 0, F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 6)).alias("precision"),
         F.when(F.col("P") > 0, F.round(F.col("tp") / F.col("P"), 6)).alias("recall"),
     )
+
+
+def threshold_sweep(spark: SparkSession, df: DataFrame, truth: Column, text_col: str = "score_text",
+                    steps: int = 20) -> DataFrame:
+    """Confusion counts, precision and recall at thresholds k/steps, k = 0..steps.
+
+    A message is called spam at threshold k/steps iff its score ``s >= k/steps``,
+    i.e. iff ``floor(s * steps) >= k``. One grouped count per (bin, truth), then a
+    running sum from the top bin.
+    """
+    return sweep_counts(spark, bin_counts(df, truth, text_col, steps), steps)

@@ -12,6 +12,7 @@ import time
 
 from collections.abc import Callable
 
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,8 @@ from ..operators.embed import limit_tokens, tokenizer
 from ..operators.features import class_weights, join_embeddings, mean_pool, metadata_width, standardise_metadata
 from ..operators.html import html_to_text
 from ..operators.measure import score_histogram, status_counts, threshold_sweep
-from ..operators.model import accuracy, classify, contract, load_model, predicted_class, save_model, score, train
+from ..operators.model import (Linear, accuracy, calibrate, classify, contract, fit_curve, load_model, predicted_class,
+                               save_model, score, train, train_calibrated)
 from ..operators.parse import parse_counts, parse_mail
 from ..operators.route import deliver, route_tagged, tag_headers, with_verdict, write_maildir_files
 from ..session import scratch_path, table
@@ -36,9 +38,10 @@ from ..sources.synthetic import MISMATCH_KEYS, SENDER_PAIRS, mail_body, syntheti
 from ..sources.training import read_training, write_training
 from ..streaming.arrivals import stream_arrivals
 from ..streaming.score import run_to_table, stream_table
+from ..streaming.statistics import run_statistics, running_sweep
 from . import oracle as O
 from .score import score_parsed
-from .train import build_model
+from .train import Trained, build_model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -480,7 +483,7 @@ def q_score_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return score_histogram(_event_scores(table(spark, sf, "events")), "score_text", 30)
 
 
-@register("threshold_sweep", f"""
+_SWEEP_SQL = f"""
 WITH s AS (SELECT CAST(replace(score_text, '.', '') AS INTEGER) * 300 // 10000 AS bin,
                   event_type = 'purchase' AS pos
            FROM {_VERDICT_SQL} v WHERE error IS NULL),
@@ -492,13 +495,30 @@ SELECT round(k / 300.0, 4) AS threshold, tp, fp, p_all - tp AS fn, n_all - fp AS
        CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) END AS precision,
        CASE WHEN p_all > 0 THEN round(tp / p_all, 6) END AS recall
 FROM c
-""")
+"""
+
+
+@register("threshold_sweep", _SWEEP_SQL)
 def q_threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """Precision/recall at thresholds k/300 with purchase events as the positive class."""
     v = with_verdict(_event_scores(table(spark, sf, "events")), "score_text", 0.5).filter(F.col("error").isNull())
     return threshold_sweep(spark, v, F.col("event_type") == "purchase", "score_text", 300)
 
 
+@register("stream_sweep", _SWEEP_SQL)
+def q_stream_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """A5 as running statistics: the events arrive as files by day of the month, a few in each batch of a stream; counts per
+    (bin, truth) are carried from batch to batch, and the sweep is read from the last version."""
+    base = scratch_path(spark, "sweep")
+    e = table(spark, sf, "events").withColumn("day", F.dayofmonth("ts"))
+    e.repartition("day").write.partitionBy("day").parquet(f"{base}/events")
+    src = stream_table(spark, f"{base}/events", e.schema, "parquet", max_files_per_trigger=8)
+    scored = _event_scores(src).where(F.col("score_text") != "")
+    run_statistics(scored, F.col("event_type") == "purchase", f"{base}/counts", f"{base}/checkpoint",
+                   steps=300).awaitTermination()
+    return running_sweep(spark, f"{base}/counts", 300)
+
+
 # ------------------------------------------------------------------ SPF (X14) and auth flags
 
 # --- fixed test cases: (X-SPF-Status, Received-SPF list, Authentication-Results list) by doc_id % 8
@@ -1032,6 +1052,89 @@ def q_domain_list_mismatch(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", H.reply_to_mismatch("fd", "rd", F.col("from_free"), F.col("reply_free")).alias("mismatch"))
 
 
+# ------------------------------------------------------------------ an encoder that fails (E5), calibrated margins
+
+#: Signs whose shares of a text are the embedding of ``encoder_fallback``'s encoder, and its positions for words.
+_SIGNS, _POSITIONS = " etaoins", 512
+_SIGN_WEIGHTS = tuple((k % 5) - 2.0 for k in range(len(_SIGNS)))
+
+
+def _make_sign_encoder():
+    """An encoder without truncation, as sentence encoders are: it fails on a text of more words than it has positions."""
+    def encode(texts):
+        if any(t.count(" ") >= _POSITIONS for t in texts):
+            raise ValueError(f"more than {_POSITIONS} words")
+        return [[t.count(c) / len(t) for c in _SIGNS] for t in texts]
+
+    return encode
+
+
+_COMBINED_SQL = "('Subject: ' || coalesce(source, '') || chr(10) || coalesce(text, ''))"
+_SIGN_SUM_SQL = " + ".join(
+    f"(length(c) - length(replace(c, '{sign}', '')))::DOUBLE / length(c) * {w}" for sign, w in zip(_SIGNS, _SIGN_WEIGHTS))
+
+
+@register("encoder_fallback", f"""
+SELECT doc_id, failed AS scored_by_fallback,
+       CASE WHEN failed THEN '0.5000' ELSE printf('%.4f', 1.0 / (1.0 + exp(-({_SIGN_SUM_SQL} + 0.1)))) END AS score_text,
+       CASE WHEN failed OR {_SIGN_SUM_SQL} + 0.1 >= 0 THEN 'Yes' ELSE 'No' END AS status
+FROM (SELECT doc_id, {_COMBINED_SQL} AS c, coalesce(text, '') = '' OR len(string_split({_COMBINED_SQL}, ' ')) > {_POSITIONS} AS failed
+      FROM documents)
+""")
+def q_encoder_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """E1 + E5 with an encoder that fails on texts of more than 512 words: each of them is told from the batch it came in
+    and scored 0.5000, all others get their score (fixed coefficients)."""
+    d = table(spark, sf, "documents").select(
+        "doc_id", F.col("source").alias("subject"), F.col("text").alias("body"), F.lit(None).cast("string").alias("parse_error"),
+        F.octet_length("text").alias("content_length"), F.lit(None).cast("array<double>").alias("metadata_features"))
+    model = Linear(Vectors.dense(_SIGN_WEIGHTS), 0.1)
+    trained = Trained(model, 0, model.numFeatures, contract(model, 0, model.numFeatures, "custom"), "custom",
+                      make_encode=_make_sign_encoder)
+    return score_parsed(d, trained).select("doc_id", "scored_by_fallback", "score_text", "status")
+
+
+_MARGIN_BINS = 64
+
+
+@register("calibrated_margins", f"""
+WITH m AS (SELECT vec_id, label % 2 AS y, ln(s / (1 - s)) AS m FROM {_FIXED_SCORE_SQL}),
+ q AS (SELECT vec_id, y, m / (1 + abs(m)) AS u FROM m),
+ b AS (SELECT least(floor((u + 1) * {_MARGIN_BINS // 2}), {_MARGIN_BINS - 1})::INTEGER AS bin, count(*) AS n, sum(y) AS pos FROM q GROUP BY 1),
+ c AS (SELECT row_number() OVER (ORDER BY bin) AS i, (bin + 0.5) / {_MARGIN_BINS // 2} - 1 AS x,
+              sum(n) OVER (ORDER BY bin) AS cn, sum(pos) OVER (ORDER BY bin) AS cp, n, pos FROM b),
+ r AS (SELECT j.i AS j, k.i AS k, (k.cp - j.cp + j.pos)::DOUBLE / (k.cn - j.cn + j.n) AS mean FROM c j JOIN c k ON j.i <= k.i),
+ lo AS (SELECT c.i, r.j, min(r.mean) AS least FROM c JOIN r ON r.j <= c.i AND r.k >= c.i GROUP BY c.i, r.j),
+ f AS (SELECT i, max(least) AS p FROM lo GROUP BY i),
+ g AS (SELECT c.x, f.p, lead(c.x) OVER (ORDER BY c.i) AS x1, lead(f.p) OVER (ORDER BY c.i) AS p1 FROM c JOIN f USING (i))
+SELECT vec_id, round(CASE WHEN g.x IS NULL THEN (SELECT arg_min(p, x) FROM g) WHEN x1 IS NULL THEN p
+                          ELSE p + (p1 - p) * (u - g.x) / (x1 - g.x) END, 6) AS score
+FROM q ASOF LEFT JOIN g ON q.u >= g.x
+""")
+def q_calibrated_margins(spark: SparkSession, sf: str) -> DataFrame:
+    """E6's isotonic calibration of fixed margins over every embedding, label mod 2 as the class."""
+    m = _fixed_scores(spark, sf).select("vec_id", (F.col("label") % 2).alias("y"),
+                                        F.ln(F.col("s") / (F.lit(1.0) - F.col("s"))).alias("margin"))
+    return calibrate(m, fit_curve(m, "margin", "y", _MARGIN_BINS), "margin").select("vec_id", F.round("score", 6).alias("score"))
+
+
+@register("calibrated_svm", """
+SELECT vec_id, TRUE AS a_probability, TRUE AS same_after_reload, TRUE AS decided FROM embeddings
+""")
+def q_calibrated_svm(spark: SparkSession, sf: str) -> DataFrame:
+    """E6 + K8 + X12: a linear SVM calibrated out of fold on every embedding (label mod 2), saved and loaded; every score is a
+    probability, the same from the loaded model, and has a verdict."""
+    e = table(spark, sf, "embeddings").select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("features"), F.pmod("label", F.lit(2)).alias("label"))
+    model = train_calibrated(e, "features", "label")
+    path = scratch_path(spark, "svm")
+    save_model(spark, model, path, contract(model, 0, model.numFeatures, "precomputed"))
+    loaded, _ = load_model(spark, path)
+    s = with_verdict(score(score(e, model, out="before"), loaded, out="p").withColumn("score_text", score_text("p")), "score_text")
+    return s.select("vec_id", F.col("p").between(0.0, 1.0).alias("a_probability"),
+                    (F.col("p") == F.col("before")).alias("same_after_reload"),
+                    F.col("status").isin("Yes", "No").alias("decided"))
+
+
 # ------------------------------------------------------------------ the filter as a stream (T1 + T2 with a trained model)
 
 @register("stream_filter")
