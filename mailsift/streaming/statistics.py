@@ -39,7 +39,8 @@ def counts_sink(out_path: str):
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.coalesce(1).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(
+        # a shuffle of a few rows: coalesced, the aggregate of all partitions would be one task's
+        batch.repartition(1).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(
             f"{out_path}/batch_id={batch_id}")
         found = versions(spark, out_path)
         before = [v for v in found if v < batch_id]

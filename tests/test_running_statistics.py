@@ -48,3 +48,19 @@ def test_a_run_with_a_new_checkpoint_replaces_later_versions(spark, tmp_path):
     fresh = bin_counts(_scored(spark, 0), F.col("spam"))
     counts_sink(out)(fresh, 0)
     assert versions(spark, out) == [0] and _rows(read_counts(spark, out)) == _rows(fresh)
+
+
+def test_the_counts_of_all_partitions_are_not_one_tasks(spark, tmp_path):
+    """One file is written, by a task of its own: what is counted before it stays in as many tasks as it was."""
+    from mailsift.streaming.statistics import counts_sink, read_counts
+
+    def task():
+        from pyspark import TaskContext
+
+        return TaskContext.get().partitionId()
+
+    rows = spark.range(0, 8, 1, 8).select(F.col("id").cast("int").alias("bin"), F.lit(True).alias("pos"),
+                                          F.udf(task, "int")().cast("long").alias("n"))
+    counts_sink(str(tmp_path / "c"))(rows, 0)
+    assert sorted(r.n for r in read_counts(spark, str(tmp_path / "c")).collect()) == list(range(8))
+    assert len(list((tmp_path / "c/batch_id=0").glob("*.parquet"))) == 1
