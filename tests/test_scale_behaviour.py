@@ -171,3 +171,10 @@ def test_deliver_maildir_routes_by_verdict(spark, tmp_path):
     assert sorted(os.listdir(tmp_path)) == ["ham", "spam"]
     assert [open(tmp_path / "spam" / "new" / f, "rb").read() for f in os.listdir(tmp_path / "spam" / "new")] == [b"m1"]
     assert len(os.listdir(tmp_path / "ham" / "new")) == 1 and not os.listdir(tmp_path / "ham" / "tmp")
+
+
+@pytest.mark.parametrize("name", ["html_text", "parse_mail"])
+def test_python_holds_few_texts_at_once(spark, name):
+    """Rows go to Python 100 at a time, not in Arrow batches of up to 10,000 whatever their size."""
+    plan = _plan(E.queries()[name](spark, SF001))
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
