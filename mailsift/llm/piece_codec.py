@@ -306,16 +306,17 @@ class PieceCodec:
                     sizes.append(size)
         return ids, sizes
 
-    def _word(self, word: str) -> tuple[tuple[int, ...], str, bytes]:
-        """(ids, their digits, sizes as bytes) of a word with its space marks.
+    def _word(self, word: str) -> tuple[tuple[int, ...], str, bytes, bytes]:
+        """(ids, their digits, sizes as bytes, bytes the ids decode to) of a word with its space marks.
 
         Sizes count normalised bytes, or source bytes (a mark is one) where the map is ``plain``.
         """
         ids, sizes = self.pieces(word, 1 if self.plain else 3)
-        return tuple(ids), ",".join(map(self.digits.__getitem__, ids)), array("q", sizes).tobytes()
+        return (tuple(ids), ",".join(map(self.digits.__getitem__, ids)), array("q", sizes).tobytes(),
+                b"".join(map(self.surface.__getitem__, ids)))
 
     def parts(self, text: str) -> tuple[list[tuple], np.ndarray]:
-        """The words' (ids, digits, sizes), in order, and the end of each piece in source bytes."""
+        """The words' (ids, digits, sizes, decoded bytes), in order, and the end of each piece in source bytes."""
         if not text:
             return [], np.zeros(0, np.int64)
         if self.plain and MARK not in text:
@@ -325,7 +326,7 @@ class PieceCodec:
         data, source = normalise(self.model, text)
         if self.plain or not self.model.cut_at_marks:
             ids, sizes = self.pieces(data.decode())
-            words = [(ids, ",".join(map(self.digits.__getitem__, ids)))]
+            words = [(ids, ",".join(map(self.digits.__getitem__, ids)), b"", b"".join(map(self.surface.__getitem__, ids)))]
         else:
             words = list(map(self.words.__getitem__, self.model.word.findall(data.decode())))
             sizes = np.frombuffer(b"".join([w[2] for w in words]), np.int64)
@@ -336,17 +337,30 @@ class PieceCodec:
         words, ends = self.parts(text)
         return list(chain.from_iterable([w[0] for w in words])), ends
 
-    def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        """UTF-8 of the ids' text. Bytes that aren't UTF-8 become U+FFFD, one each."""
-        ids = list(ids)
-        m = self.model
-        marks = 0  # of the first piece, and of all before the first text where the model trims
+    def _leading(self, ids: Iterable[int]) -> int:
+        """Marks of the first piece, and of all before the first text where the model trims: they aren't decoded."""
+        m, marks = self.model, 0
         for i in ids if m.dummy_prefix or m.trim else ():
             piece, _, kind = m.pieces[i]
             if kind != CONTROL:
                 marks += kind != UNKNOWN and piece.startswith(MARK)
                 if piece != MARK or not m.trim:
                     break
+        return marks
+
+    def decode_words(self, words: list[tuple]) -> bytes:
+        """``decode_bytes`` of the ids of encoded words, whose bytes were looked up when the words were encoded."""
+        raw = b"".join([w[3] for w in words])
+        try:
+            raw.decode()
+        except UnicodeError:
+            return self.decode_bytes(chain.from_iterable([w[0] for w in words]))
+        return raw[self._leading(chain.from_iterable(w[0] for w in words)):]
+
+    def decode_bytes(self, ids: Iterable[int]) -> bytes:
+        """UTF-8 of the ids' text. Bytes that aren't UTF-8 become U+FFFD, one each."""
+        ids = list(ids)
+        m, marks = self.model, self._leading(ids)
         raw = b"".join(map(self.surface.__getitem__, ids))
         try:
             if not self.controls.isdisjoint(ids):
@@ -413,10 +427,9 @@ def digests(c: PieceCodec):
         out = [[], [], [], []]
         for text in texts:
             words, ends = c.parts(text or "")
-            ids = list(chain.from_iterable([w[0] for w in words]))
             digits = ",".join([w[1] for w in words if w[1]])
-            hashed = (digits.encode(), c.decode_bytes(ids), ends.tobytes())
-            for column, value in zip(out, (len(ids), *(hashlib.sha256(h).hexdigest() for h in hashed)), strict=True):
+            hashed = (digits.encode(), c.decode_words(words), ends.tobytes())
+            for column, value in zip(out, (len(ends), *(hashlib.sha256(h).hexdigest() for h in hashed)), strict=True):
                 column.append(value)
         return out
 

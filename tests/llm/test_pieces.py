@@ -120,3 +120,18 @@ def test_columns_and_query(spark, odd, empty, raw):
         assert row.e.ends[-1:] == ([len(row.text.encode())] if row.text else [])
         assert row.r.spans_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}q", *row.e.ends)).hexdigest()
     assert empty.select(piece_codec.round_trip(spark).alias("r")).count() == 0
+
+
+def test_words_decode_as_their_ids_do(raw, monkeypatch):
+    """The round trip looks the bytes up once a word, not once an id, and gives what decoding all ids gives."""
+    rules = _field(3, 0) + _field(4, 1)
+    small = _model([("<unk>", 0, 2), ("<0xE2>", 0, 6), ("▁a", -1, 1), ("▁", -2, 1), ("a", -3, 1), ("b", -4, 1)], rules)
+    for model in (raw, small):
+        codec = PieceCodec(model)
+        texts = [*(row[1] or "" for row in ODD), " a  b ", "aa\n\nab ⁇ x", *_strings("ab ▁é\n日", 100)]
+        want = [(len(ids), codec.decode_bytes(ids)) for ids, _ in map(codec.encode, texts)]
+        with monkeypatch.context() as patch:
+            patch.setattr(codec, "decode_bytes", None)
+            found = piece_codec.digests(codec)(texts)
+        assert found[0] == [n for n, _ in want]
+        assert found[2] == [hashlib.sha256(b).hexdigest() for _, b in want]
