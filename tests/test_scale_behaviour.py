@@ -173,8 +173,19 @@ def test_deliver_maildir_routes_by_verdict(spark, tmp_path):
     assert len(os.listdir(tmp_path / "ham" / "new")) == 1 and not os.listdir(tmp_path / "ham" / "tmp")
 
 
-@pytest.mark.parametrize("name", ["html_text", "parse_mail"])
-def test_python_holds_few_texts_at_once(spark, name):
-    """Rows go to Python 100 at a time, not in Arrow batches of up to 10,000 whatever their size."""
-    plan = _plan(E.queries()[name](spark, SF001))
-    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+def test_python_works_on_slices_of_a_batch():
+    """However many rows a batch has, only some bytes of them are Python objects at once; a large value comes alone."""
+    import pyarrow as pa
+
+    from mailsift.batches import SLICE_BYTES, by_slices
+
+    seen = []
+
+    def work(texts):
+        seen.append(sum(len(t or "") for t in texts))
+        return pa.array([{"n": len(t or ""), "t": t} for t in texts], pa.struct([("n", pa.int64()), ("t", pa.string())]))
+
+    rows = ["x" * 1000] * 5000 + [None, "y" * (2 * SLICE_BYTES), ""]
+    out = list(by_slices(work)(iter([pa.array(rows), pa.array([], pa.string())])))
+    assert out[0].to_pylist() == [{"n": len(r or ""), "t": r} for r in rows] and len(out[1]) == 0
+    assert sorted(seen)[-1] == 2 * SLICE_BYTES and sorted(seen)[-2] <= SLICE_BYTES and len(seen) >= 7
