@@ -131,3 +131,33 @@ def test_delivery_base_is_qualified(spark, tmp_path):
     from mailsift.operators.route import qualified
 
     assert qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
+
+
+def test_hashed_words_are_those_of_mllib(spark):
+    """The batched encoder gives the numbers of RegexTokenizer, HashingTF and Normalizer to the last bit."""
+    from pyspark.ml.feature import HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    from mailsift.operators.embed import hash_words, tokenizer
+
+    texts = ["", " ", "\n", "a", "The the THE tHe", "x_1 2nd ²½ Ⅷ ٣ a‿b", "ÉTÉ été été", "İstanbul ΟΔΟΣ ΣΑΣ.Σ ß ẞ",
+             "Привет, мир! 你好世界 😀😀 नमस्ते", "a\x00b c d​e", "z" * 1000 + " " + "я" * 1001,
+             *("ü" + "abcdefghij"[:n] * 2 + " " + "é" * n for n in range(10))]
+    df = spark.createDataFrame(list(enumerate([*texts, " ".join(texts)])), "i int, text string")
+    for dim in (7, 384):
+        tf = HashingTF(inputCol="tok", outputCol="tf", numFeatures=dim).transform(tokenizer("text", "tok").transform(df))
+        want = Normalizer(inputCol="tf", outputCol="nv", p=2.0).transform(tf).select("i", vector_to_array("nv").alias("v"))
+        want = {r.i: r.v for r in want.collect()}
+        got = {r.i: r.embedding for r in embed_hashing(df, dim=dim).collect()}
+        assert got == want and hash_words([*texts, " ".join(texts)], dim).tolist() == [want[i] for i in sorted(want)]
+    nulls = spark.createDataFrame([(1, None), (2, "a")], "i int, text string")
+    assert [r.embedding is None for r in embed_hashing(nulls, dim=3).orderBy("i").collect()] == [True, False]
+
+
+def test_whitespace_runs_are_those_of_the_class(spark):
+    from mailsift.constants import WS_CLASS
+    from mailsift.functions.text import WS_RUN
+
+    points = spark.createDataFrame([(chr(c),) for c in range(0x11000) if not 0xD800 <= c <= 0xDFFF], "c string")
+    one = points.where(F.col("c").rlike("[" + WS_CLASS + "]") != F.col("c").rlike(WS_RUN))
+    assert one.count() == 0 and points.where(F.col("c").rlike(WS_RUN)).count() == 29
