@@ -56,7 +56,7 @@ def test_smaller_bounds_stay(default_session):
         assert (s.conf.get(ROWS), s.conf.get(BYTES)) == (rows, size)
 
 
-def test_delivered_streams_are_bounded_too(default_session, tmp_path, monkeypatch):
+def test_delivered_streams_are_bounded_too(spark, tmp_path, monkeypatch):
     from pyspark.ml.linalg import Vectors
 
     from mailsift.operators.model import Linear, contract
@@ -70,5 +70,11 @@ def test_delivered_streams_are_bounded_too(default_session, tmp_path, monkeypatc
     seen = []
     monkeypatch.setattr(score, "deliver_maildir", lambda batch, base: seen.append(
         (batch.count(), *(int(batch.sparkSession.conf.get(k)) for k in (ROWS, BYTES)))))
-    score.filter_files_stream(default_session, trained, [str(tmp_path / "in")], f"{tmp_path}/out", mode="deliver").awaitTermination()
+    before = spark.conf.get(ROWS)
+    spark.conf.set(ROWS, "10000")
+    try:
+        score.filter_files_stream(spark, trained, [str(tmp_path / "in")], f"{tmp_path}/out", mode="deliver").awaitTermination()
+        assert spark.conf.get(ROWS) == "10000"
+    finally:
+        spark.conf.set(ROWS, before)
     assert seen == [(1, 1024, 4 << 20)]
